@@ -211,3 +211,342 @@ def _elo(spark, sf, max_rows=None):
 
 query("elo_before", ELO_SQL)(_elo)
 query("elo_before_time_slices", ELO_SQL)(lambda spark, sf: _elo(spark, sf, max_rows=700))
+
+
+@query(
+    "elo_after",
+    _elo_sql("""
+, last AS (
+  SELECT format, gender, ratings FROM fold
+  QUALIFY row_number() OVER (PARTITION BY format, gender ORDER BY k DESC) = 1
+),
+seen AS (SELECT DISTINCT format, gender, team FROM flagged WHERE played)
+SELECT s.format, s.gender AS sex, s.team, round(l.ratings[n.n_nationkey + 1], 6) AS rating
+FROM seen s JOIN last l USING (format, gender) JOIN nation n ON n.n_name = s.team
+"""),
+)
+def ratings_after(spark, sf):
+    scores = contest_scores(C.prepare(V.contests(spark, sf)))
+    return elo_after(scores).select("format", "sex", "team", *_r("rating"))
+
+
+# --- state before a date: same-day contests stay hidden ----------------------
+DATE_FORM = """
+cum AS (
+  SELECT format, gender, team, date, sum(1) OVER w AS n, sum(won) OVER w AS wins,
+    sum(won) OVER (w ROWS 4 PRECEDING) AS w5, match_id
+  FROM flagged WHERE played WINDOW w AS (PARTITION BY format, gender, team ORDER BY date, match_id)
+),
+daily AS (
+  SELECT * FROM cum
+  QUALIFY row_number() OVER (PARTITION BY format, gender, team, date ORDER BY match_id DESC) = 1
+)
+"""
+
+
+def _date_sql(source: str) -> str:
+    return f"""
+WITH {V.CONTESTS}, {V.REQUESTS}, {DATE_FORM},
+asked AS ({source})
+SELECT a.match_id, a.team, coalesce(d.n, 0) AS matches_before, coalesce(d.wins, 0) AS wins_before,
+  coalesce(d.w5, 0) AS wins_last_5, round(d.w5 / nullif(least(d.n, 5), 0), 6) AS win_rate_last_5
+FROM asked a ASOF LEFT JOIN daily d
+  ON a.format = d.format AND a.gender = d.gender AND a.team = d.team AND a.date > d.date
+"""
+
+
+def _date_columns(df):
+    return df.select("match_id", "team", "matches_before", "wins_before", "wins_last_5", *_r("win_rate_last_5"))
+
+
+@query("team_form_before_day", _date_sql("SELECT match_id, format, gender, date, team FROM flagged"))
+def team_form_before_day(spark, sf):
+    log = C.team_rows(C.prepare(V.contests(spark, sf), as_of="date"))
+    return _date_columns(C.team_form(log).where("asks"))
+
+
+def contests_and_requests(spark, sf):
+    return V.contests(spark, sf).unionByName(V.requests(spark, sf), allowMissingColumns=True)
+
+
+@query(
+    "snapshot_for_requests",
+    _date_sql("""SELECT match_id, format, gender, date, team1 AS team FROM requests
+      UNION ALL SELECT match_id, format, gender, date, team2 FROM requests"""),
+)
+def snapshot_for_requests(spark, sf):
+    log = C.team_rows(C.prepare(contests_and_requests(spark, sf)))
+    return _date_columns(C.team_form(log).where("asked"))
+
+
+# --- participants -----------------------------------------------------------
+_ORD = "date_diff('day', DATE '1970-01-01', date) * 1000000000 + match_id"
+
+PLAYER_CUM = f"""
+bat AS (
+  SELECT c.format, s.player, {_ORD.replace('match_id', 'c.match_id')} AS ord, s.quantity AS runs,
+    s.numbers AS balls, CAST(s.returned > 0 AS INT) AS outs
+  FROM spells s JOIN contests c USING (match_id)
+),
+batcum AS (
+  SELECT format, player, ord, count(*) OVER w AS bat_innings, sum(runs) OVER w AS bat_runs,
+    sum(balls) OVER w AS bat_balls, sum(outs) OVER w AS bat_outs,
+    sum(runs) OVER (w ROWS 4 PRECEDING) AS r5, sum(balls) OVER (w ROWS 4 PRECEDING) AS b5
+  FROM bat WINDOW w AS (PARTITION BY format, player ORDER BY ord)
+),
+bowl AS (
+  SELECT c.format, s.player, {_ORD.replace('match_id', 'c.match_id')} AS ord, s.quantity AS runs,
+    s.n * 6 AS balls, s.finished AS wickets
+  FROM spells s JOIN contests c USING (match_id) WHERE s.finished > 0
+),
+bowlcum AS (
+  SELECT format, player, ord, sum(balls) OVER w AS bowl_balls, sum(runs) OVER w AS bowl_runs,
+    sum(wickets) OVER w AS bowl_wickets, sum(runs) OVER (w ROWS 4 PRECEDING) AS r5,
+    sum(balls) OVER (w ROWS 4 PRECEDING) AS b5, sum(wickets) OVER (w ROWS 4 PRECEDING) AS w5
+  FROM bowl WINDOW w AS (PARTITION BY format, player ORDER BY ord)
+)
+"""
+
+# ``probe`` (match_id, side, role, pos, format, player, ord) has to precede this.
+PLAYER_STATE = """
+state AS (
+  SELECT p.match_id, p.side, p.role, p.pos, p.format, p.player,
+    coalesce(b.bat_innings, 0) AS bat_innings, coalesce(b.bat_runs, 0) AS bat_runs,
+    b.bat_runs / nullif(b.bat_outs, 0) AS batting_average, b.r5 AS recent_runs,
+    100.0 * b.r5 / nullif(b.b5, 0) AS recent_strike_rate,
+    coalesce(w.bowl_balls, 0) AS bowl_balls, coalesce(w.bowl_wickets, 0) AS bowl_wickets,
+    6.0 * w.bowl_runs / nullif(w.bowl_balls, 0) AS bowling_economy, w.w5 AS recent_wickets,
+    6.0 * w.r5 / nullif(w.b5, 0) AS recent_economy
+  FROM probe p
+  ASOF LEFT JOIN batcum b ON p.format = b.format AND p.player = b.player AND p.ord > b.ord
+  ASOF LEFT JOIN bowlcum w ON p.format = w.format AND p.player = w.player AND p.ord > w.ord
+)
+"""
+
+CURRENT_PROBE = f"""
+probe AS (
+  SELECT m.match_id, m.side, 0 AS role, m.l_suppkey AS pos, c.format, m.player,
+    {_ORD.replace('match_id', 'c.match_id')} AS ord
+  FROM members m JOIN contests c USING (match_id)
+)
+"""
+
+
+def _current_state(spark, sf, max_rows=None):
+    prepared = C.prepare(V.contests_with_lineups(spark, sf))
+    rows = C.team_rows(prepared)
+    members = P.lineup_members(rows, F.col("xi"))
+    return P.player_state(prepared, V.batting(spark, sf), V.bowling(spark, sf), members, max_rows)
+
+
+PLAYER_SQL = f"""
+WITH {V.CONTESTS}, {V.SPELLS}, {V.LINEUPS}, {PLAYER_CUM}, {CURRENT_PROBE}, {PLAYER_STATE}
+SELECT match_id, side, player, bat_innings, round(bat_runs, 6) AS bat_runs,
+  round(batting_average, 6) AS batting_average, round(recent_runs, 6) AS recent_runs,
+  round(recent_strike_rate, 6) AS recent_strike_rate, bowl_balls, bowl_wickets,
+  round(bowling_economy, 6) AS bowling_economy, recent_wickets,
+  round(recent_economy, 6) AS recent_economy
+FROM state
+"""
+
+
+def _player_columns(state):
+    return state.select(
+        "match_id", "side", "player", "bat_innings", "bowl_wickets", "recent_wickets",
+        F.col("bowl_balls").cast("long").alias("bowl_balls"),
+        *_r("bat_runs", "batting_average", "recent_runs", "recent_strike_rate", "bowling_economy",
+            "recent_economy"),
+    )
+
+
+query("player_form_asof", PLAYER_SQL)(lambda spark, sf: _player_columns(_current_state(spark, sf)))
+query("player_form_split_keys", PLAYER_SQL)(
+    lambda spark, sf: _player_columns(_current_state(spark, sf, max_rows=400))
+)
+
+
+@query(
+    "lineup_snapshot",
+    f"""
+WITH {V.CONTESTS}, {V.SPELLS}, {V.LINEUPS}, {PLAYER_CUM}, {CURRENT_PROBE}, {PLAYER_STATE}
+SELECT match_id, side, count(batting_average) AS xi_batters_with_history,
+  round(avg(batting_average), 6) AS xi_mean_batting_average,
+  round(avg(recent_runs), 6) AS xi_mean_recent_runs,
+  count(bowling_economy) AS xi_bowlers_with_history,
+  round(avg(bowling_economy), 6) AS xi_mean_bowling_economy,
+  round(avg(recent_wickets), 6) AS xi_mean_recent_wickets
+FROM state GROUP BY match_id, side
+""",
+)
+def lineup_snapshot(spark, sf):
+    return P.lineup_snapshot(_current_state(spark, sf)).select(
+        "match_id", "side", "xi_batters_with_history", "xi_bowlers_with_history",
+        *_r("xi_mean_batting_average", "xi_mean_recent_runs", "xi_mean_bowling_economy",
+            "xi_mean_recent_wickets"),
+    )
+
+
+PREVIOUS_XI = """
+team_xi AS (
+  SELECT f.match_id, f.date, f.format, f.gender, f.side, f.team, l.xi
+  FROM flagged f LEFT JOIN lineups l USING (match_id, side)
+  WHERE f.match_id IN (SELECT match_id FROM lineups)
+),
+one_back AS (
+  SELECT *, last_value(xi IGNORE NULLS) OVER w AS previous_xi, lag(date) OVER o AS last_date
+  FROM team_xi
+  WINDOW o AS (PARTITION BY format, gender, team ORDER BY date, match_id),
+    w AS (PARTITION BY format, gender, team ORDER BY date, match_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+previous AS (
+  SELECT *, last_value(CASE WHEN xi IS NOT NULL THEN {'xi': previous_xi} END IGNORE NULLS) OVER w
+      AS two_back, date_diff('day', last_date, date) AS rest_days
+  FROM one_back
+  WINDOW w AS (PARTITION BY format, gender, team ORDER BY date, match_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+"""
+
+
+def _overlap(a: str, b: str) -> str:
+    return f"round(len(list_intersect({a}, {b})) / nullif(len({a}), 0), 6)"
+
+
+@query(
+    "previous_lineups",
+    f"""
+WITH {V.CONTESTS}, {V.LINEUPS}, {PREVIOUS_XI}
+SELECT match_id, team, rest_days, CASE WHEN rest_days IS NOT NULL THEN round(ln(1 + least(greatest(rest_days, 0), 120)), 6) END AS log_rest_days,
+  CAST(previous_xi IS NOT NULL AS INT) AS previous_xi_known,
+  CASE WHEN two_back.xi IS NOT NULL AND previous_xi IS NOT NULL
+    THEN {_overlap('previous_xi', 'two_back.xi')} END AS previous_roster_stability,
+  CASE WHEN xi IS NOT NULL AND previous_xi IS NOT NULL THEN {_overlap('xi', 'previous_xi')} END
+    AS current_previous_xi_overlap
+FROM previous
+""",
+)
+def previous_lineups(spark, sf):
+    from tallyline.functions.scoring import log_rest_days, overlap_ratio
+
+    rows = P.previous_lineups(C.team_rows(C.prepare(V.contests_with_lineups(spark, sf))))
+    one, two = F.col("previous_xi"), F.col("previous_previous_xi")
+    return rows.select(
+        "match_id", "team", "rest_days",
+        F.round(log_rest_days(F.col("rest_days")), 6).alias("log_rest_days"),
+        one.isNotNull().cast("int").alias("previous_xi_known"),
+        F.round(overlap_ratio(one, two), 6).alias("previous_roster_stability"),
+        F.round(overlap_ratio(F.col("xi"), one), 6).alias("current_previous_xi_overlap"),
+    )
+
+
+def _strength_sql(role: int, label: str) -> str:
+    def mean(value, where=None):
+        inside = f"CASE WHEN {where} THEN {value} END" if where else value
+        return f"round(avg(CASE WHEN role = {role} THEN {inside} END), 9)"
+
+    bat, bowl = "rb <= 7 AND bat_innings > 0", "rw <= 5 AND bowl_balls > 0"
+    return f"""
+  {mean('batting_average')} AS {label}_xi_mean_batting_average,
+  {mean('recent_runs')} AS {label}_xi_mean_recent_runs,
+  {mean('bowling_economy')} AS {label}_xi_mean_bowling_economy,
+  {mean('recent_wickets')} AS {label}_xi_mean_recent_wickets,
+  {mean('recent_runs', bat)} AS {label}_xi_core_batting_recent_runs,
+  {mean('recent_strike_rate', bat)} AS {label}_xi_core_batting_recent_strike_rate,
+  {mean('recent_wickets', bowl)} AS {label}_xi_core_bowling_recent_wickets,
+  {mean('recent_economy', bowl)} AS {label}_xi_core_bowling_recent_economy"""
+
+
+ROSTER_SQL = f"""
+WITH {V.CONTESTS}, {V.SPELLS}, {V.LINEUPS}, {PREVIOUS_XI}, {PLAYER_CUM},
+probe AS (
+  SELECT match_id, side, 0 AS role, format, {_ORD} AS ord, unnest(xi) AS player,
+    generate_subscripts(xi, 1) AS pos FROM previous
+  UNION ALL
+  SELECT match_id, side, 1 AS role, format, {_ORD} AS ord, unnest(previous_xi) AS player,
+    generate_subscripts(previous_xi, 1) AS pos FROM previous
+), {PLAYER_STATE},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY match_id, side, role ORDER BY bat_innings DESC, pos) AS rb,
+    row_number() OVER (PARTITION BY match_id, side, role ORDER BY bowl_balls DESC, pos) AS rw
+  FROM state
+),
+strength AS (
+  SELECT match_id, side, {_strength_sql(1, 'previous')}, {_strength_sql(0, 'current')}
+  FROM ranked GROUP BY match_id, side
+)
+SELECT p.team, s.* EXCLUDE (side) FROM strength s JOIN previous p USING (match_id, side)
+WHERE p.format = 'T20'
+"""
+
+
+@query("roster_strength", ROSTER_SQL)
+def roster_strength(spark, sf):
+    prepared = C.prepare(V.contests_with_lineups(spark, sf))
+    side = P.roster_features(
+        C.team_rows(prepared), prepared, V.batting(spark, sf), V.bowling(spark, sf)
+    )
+    names = [f"{l}_xi_{n}" for l in ("previous", "current") for n in (*P.MEANS, *P.CORES)]
+    # A side with neither list known has no strength row in the SQL.
+    known = side.where("previous_xi_known = 1 OR current_xi_known = 1")
+    return known.select("match_id", "team", *[F.round(n, 9).alias(n) for n in names])
+
+
+@query(
+    "batting_innings",
+    f"""
+WITH {V.DELIVERIES}, d AS (SELECT *, seq % 11 AS striker, CASE WHEN wicket AND seq % 3 > 0 THEN seq % 11 END AS player_out FROM deliveries)
+SELECT match_id, innings, CAST(striker AS VARCHAR) AS player, CAST(sum(runs_total) AS BIGINT) AS runs,
+  count(*) FILTER (WHERE NOT is_wide) AS balls, coalesce(bool_or(wicket AND player_out = striker), false) AS out,
+  min(seq) AS first_seq
+FROM d GROUP BY match_id, innings, striker
+""",
+)
+def batting_innings(spark, sf):
+    striker = (F.col("seq") % 11).cast("string")
+    d = V.deliveries(spark, sf).select(
+        "*", striker.alias("striker"), F.col("runs_total").alias("runs_batter"),
+        F.when(F.col("wicket") & (F.col("seq") % 3 > 0), striker).alias("player_out"),
+    )
+    return P.batting_innings(d)
+
+
+@query(
+    "bowling_spells",
+    f"""
+WITH {V.DELIVERIES}, d AS (SELECT *, seq % 7 AS bowler,
+  CASE seq % 3 WHEN 0 THEN 'run out' WHEN 1 THEN 'Caught' END AS wicket_type FROM deliveries)
+SELECT match_id, innings, CAST(bowler AS VARCHAR) AS player, CAST(sum(runs_total) AS BIGINT) AS runs,
+  count(*) FILTER (WHERE NOT is_wide AND NOT is_noball) AS balls,
+  count(*) FILTER (WHERE wicket AND coalesce(wicket_type, '') <> 'run out') AS wickets, min(seq) AS first_seq
+FROM d GROUP BY match_id, innings, bowler
+""",
+)
+def bowling_spells(spark, sf):
+    third = F.col("seq") % 3
+    d = V.deliveries(spark, sf).select(
+        "*", (F.col("seq") % 7).cast("string").alias("bowler"),
+        F.when(third == 0, "run out").when(third == 1, "Caught").alias("wicket_type"),
+    )
+    return P.bowling_spells(d)
+
+
+@query(
+    "prematch_features",
+    f"""
+WITH {V.CONTESTS}
+SELECT format, mode AS prediction_mode, count(*) AS n, sum(won) AS wins,
+  count(*) FILTER (WHERE mode = 'POST_TOSS' AND toss_winner = team) AS won_toss
+FROM flagged CROSS JOIN (VALUES ('PRE_TOSS'), ('POST_TOSS')) m(mode)
+WHERE result_type = 'win' GROUP BY format, mode
+""",
+)
+def prematch_summary(spark, sf):
+    """The whole feature build with ratings and lineups, summed up per format and mode."""
+    history = team_history(
+        V.contests_with_lineups(spark, sf), V.batting(spark, sf), V.bowling(spark, sf)
+    )
+    return prematch_features(history).groupBy("format", "prediction_mode").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("team_win").alias("wins"),
+        F.count_if("team_won_toss").alias("won_toss"),
+    )

@@ -12,8 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Stating the schema saves the footer-reading job that inference would start.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+    "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def contests(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,3 +255,39 @@ scored AS (
   FROM labels JOIN documents USING (doc_id)
 )
 """
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One question per customer: its nation against another, on a day of its own."""
+    customer = table(spark, sf, "customer")
+    nation = table(spark, sf, "nation")
+    key, home = F.col("c_custkey"), F.col("c_nationkey")
+    asked = customer.select(
+        (-(key + 1)).alias("match_id"),
+        F.date_add(F.lit("1996-01-01").cast("date"), (key % 2000).cast("int")).alias("date"),
+        F.when(key % 2 == 0, "T20I").otherwise("T20").alias("format"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "female").otherwise("male").alias("gender"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("venue"),
+        "c_nationkey",
+        ((home + 1 + key % 24) % 25).cast("int").alias("away_key"),
+        F.col("c_acctbal").alias("balance"),
+    )
+    first = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("team1"))
+    second = nation.select(F.col("n_nationkey").alias("away_key"), F.col("n_name").alias("team2"))
+    return asked.join(first, "c_nationkey").join(second, "away_key").select(
+        "match_id", "date", "format", "gender", "venue", "team1", "team2", "balance",
+        F.lit(True).alias("is_request"),
+    )
+
+
+REQUESTS = """
+requests AS (
+  SELECT -(c_custkey + 1) AS match_id, DATE '1996-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS date,
+    CASE WHEN c_custkey % 2 = 0 THEN 'T20I' ELSE 'T20' END AS format,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'female' ELSE 'male' END AS gender,
+    CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS venue, h.n_name AS team1, a.n_name AS team2,
+    c_acctbal AS balance
+  FROM customer c JOIN nation h ON h.n_nationkey = c.c_nationkey
+  JOIN nation a ON a.n_nationkey = (c.c_nationkey + 1 + c_custkey % 24) % 25
+)
+"""

@@ -25,13 +25,11 @@ MAX_CHUNKS = 2_000
 
 def input_bytes(df: DataFrame) -> int | None:
     """Total size of the leaves a plan reads, or None when Spark cannot tell."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
-        )
-    except Exception:  # a session without the JVM bridge: treat the size as unknown
+    plan = getattr(df, "_jdf", None)
+    if plan is None:  # a remote session has no plan object: the size is unknown
         return None
+    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
