@@ -26,7 +26,7 @@ MIN_FOLDS_IMPROVED = 2
 MAX_MEAN_FOLD_DELTA = -0.001
 MAX_WORST_FOLD_DELTA = 0.003
 # ----------------------------------------------------------------------------
-SCORE_BUCKETS = 256
+SCORE_BUCKETS = 4096
 
 
 def clipped(p: Column) -> Column:
@@ -54,7 +54,7 @@ def below(hist: DataFrame, groups: Sequence[str], value: str, weights: Sequence[
     """For distinct (group, value) rows: ``<w>_below``, the weight at smaller values.
 
     Values are cut into buckets between the group's extremes; a window runs inside
-    a bucket and another over the (at most 256) bucket totals.
+    a bucket and another over the (at most 4096) bucket totals.
     """
     span = hist.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     bucketed = hist.join(span, list(groups)).withColumn(
