@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.functions.binding import bind
 from tallyline.functions.outcomes import NOT_A_WICKET, other_team, result_of
 from tallyline.functions.scoring import is_legal, overs_notation
 from tallyline.functions.text import canonical_competition, contest_format
@@ -231,33 +232,36 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     in any table. Inside an accepted one a value of the wrong type costs only
     itself: every field is taken out of the variant on its own.
     """
-    raw = documents.select("path", "match_id", F.try_parse_json("text").alias("_v"))
-    doc = F.struct(
-        _info(F.col("_v")).alias("info"),
-        F.transform(_items(F.col("_v"), "$.innings"), _innings).alias("innings"),
-    )
-    parsed = raw.select(
-        "path", "match_id", doc.alias("doc"),
-        F.col("_v").isNull().alias("_malformed"),
-        _object(F.col("_v")).alias("_is_object"),
+    record = bind(F.try_parse_json("text"), lambda v: bind(_document(v), lambda d: _judged(v, d)))
+    return documents.select("path", "match_id", record.alias("_r")).select("path", "match_id", "_r.*")
+
+
+def _document(v: Column) -> Column:
+    return F.struct(
+        _info(v).alias("info"), F.transform(_items(v, "$.innings"), _innings).alias("innings")
     )
-    teams = F.filter("doc.info.teams", lambda t: t != "")
+
+
+def _judged(v: Column, doc: Column) -> Column:
+    teams = F.filter(doc["info"]["teams"], lambda t: t != "")
     nameless = F.transform(
-        "doc.innings", lambda i: i.isNotNull() & (F.coalesce(i["team"], F.lit("")) == "")
+        doc["innings"], lambda i: i.isNotNull() & (F.coalesce(i["team"], F.lit("")) == "")
     )
     bad_innings = F.array_position(nameless, True)
     reason = (
-        F.when(F.col("_malformed"), MALFORMED)
-        .when(~F.col("_is_object"), NOT_AN_OBJECT)
-        .when(F.col("doc.info").isNull(), NO_INFO)
+        F.when(v.isNull(), MALFORMED)
+        .when(~_object(v), NOT_AN_OBJECT)
+        .when(doc["info"].isNull(), NO_INFO)
         .when(F.coalesce(F.size(teams), F.lit(0)) < 2, NO_TEAMS)
         .when(
             bad_innings > 0,
             F.concat(F.lit("Innings "), bad_innings.cast("string"), F.lit(" is missing a batting team")),
         )
     )
-    first_date = F.try_element_at("doc.info.dates", F.lit(1))
-    return parsed.select("path", "match_id", "doc", iso_date(first_date).alias("date"), reason.alias("reason"))
+    first_date = F.try_element_at(doc["info"]["dates"], F.lit(1))
+    return F.struct(
+        doc.alias("doc"), iso_date(first_date).alias("date"), reason.alias("reason")
+    )
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

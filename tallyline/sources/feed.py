@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline import schemas
+from tallyline.functions.binding import bind
 from tallyline.functions.scoring import live_metrics, overs_text_to_balls
 from tallyline.functions.text import blank_to_null, canonical_team, clean, has_any
 from tallyline.sources.documents import iso_date
@@ -181,95 +182,122 @@ def normalize(raws: DataFrame, strict: bool = False, keep: tuple[str, ...] = ())
         ).alias("_raw"),
     )
     team1, team2 = F.col("team1"), F.col("team2")
+    base = base.select(
+        "*",
+        feed_format(F.col("match_type_raw"), F.col("name"), strict).alias("format"),
+        feed_competition(F.col("name"), strict).alias("competition"),
+        feed_gender(F.col("name"), team1, team2).alias("gender"),
+        F.when(F.col("_toss") == "bowl", "field").otherwise(F.col("_toss")).alias("toss_decision"),
+    )
     labels = F.transform("_raw", lambda s: label_team(s["inning"], team1, team2))
-    base = base.withColumns(
-        {
-            "format": feed_format(F.col("match_type_raw"), F.col("name"), strict),
-            "competition": feed_competition(F.col("name"), strict),
-            "gender": feed_gender(F.col("name"), team1, team2),
-            "toss_decision": F.when(F.col("_toss") == "bowl", "field").otherwise(F.col("_toss")),
-            "_sides": labels,
-        }
+    sides = bind(labels, lambda known: _alternate(known, team1, team2))
+    scores = bind(sides, _scores)
+    state = bind(scores, lambda s: bind(_state(s), lambda st: _verdict(s, st)))
+    out = base.select(
+        *keep, "match_id", "name", "match_type_raw", "format", "competition", "gender", "status", "venue",
+        "date", "team1", "team2", "toss_winner", "toss_decision", "match_started", "match_ended",
+        F.col("format").isin("T20", "T20I").alias("supported_format"), state.alias("_s"),
     )
-    # Sides alternate: a side known once gives the other, a repeat is corrected.
-    one, two = F.try_element_at("_sides", F.lit(1)), F.try_element_at("_sides", F.lit(2))
+    return out.select("*", "_s.*").drop("_s")
+
+
+def _alternate(known: Column, team1: Column, team2: Column) -> Column:
+    """Sides alternate: one known side gives the other, a repeat is corrected."""
+    one, two = F.try_element_at(known, F.lit(1)), F.try_element_at(known, F.lit(2))
 
     def other(side: Column) -> Column:
         return F.when(side == team1, team2).otherwise(team1)
 
-    fixed_one = F.when(one.isNull() & two.isNotNull(), other(two)).otherwise(one)
-    fixed_two = F.when(one.isNotNull() & (two.isNull() | (one == two)), other(one)).otherwise(two)
-    pair = F.when(F.size("_raw") >= 2, F.array(fixed_one, fixed_two)).otherwise(F.col("_sides"))
-    base = base.withColumn("_sides", pair)
-    t20 = F.col("format").isin("T20", "T20I")
+    first = F.when(one.isNull() & two.isNotNull(), other(two)).otherwise(one)
+    second = F.when(one.isNotNull() & (two.isNull() | (one == two)), other(one)).otherwise(two)
+    return F.when(F.size(known) >= 2, F.array(first, second)).otherwise(known)
+
+
+def _number(text: Column) -> Column:
+    empty = F.coalesce(text, F.lit("")) == ""
+    return F.when(empty, 0).otherwise(text.try_cast("double").try_cast("int"))
 
-    def number(text: Column) -> Column:
-        empty = F.coalesce(text, F.lit("")) == ""
-        return F.when(empty, 0).otherwise(text.try_cast("double").try_cast("int"))
 
-    indexed = F.transform(
+def _scores(sides: Column) -> Column:
+    """Score entries with numbers, legal balls and the side that bats."""
+    t20 = F.col("format").isin("T20", "T20I")
+    entries = F.transform(
         "_raw",
         lambda s, i: F.struct(
             (i + 1).alias("entry"),
-            number(s["r"]).alias("runs"),
-            number(s["w"]).alias("wickets"),
+            _number(s["r"]).alias("runs"),
+            _number(s["w"]).alias("wickets"),
             overs_text(s["o"]).alias("overs_text"),
             F.when(t20, overs_text_to_balls(overs_text(s["o"]))).alias("legal_balls"),
             F.coalesce(s["inning"], F.lit("")).alias("innings_label"),
-            F.get("_sides", i).alias("batting_team"),
+            F.get(sides, i).alias("batting_team"),
         ),
     )
-    base = base.withColumn(
-        "scores", F.filter(indexed, lambda s: s["runs"].isNotNull() & s["wickets"].isNotNull())
+    return F.filter(entries, lambda s: s["runs"].isNotNull() & s["wickets"].isNotNull())
+
+
+def _state(scores: Column) -> Column:
+    target, rain = derive_target(F.col("status"), scores)
+    current = F.try_element_at(scores, F.lit(-1))
+    return F.struct(
+        target.alias("target"),
+        rain.alias("rain"),
+        F.when(F.size(scores) > 0, F.least(F.size(scores), F.lit(2))).alias("innings_number"),
+        *[current[n].alias(n) for n in ("batting_team", "runs", "wickets", "legal_balls")],
+        is_terminal(F.col("status"), F.col("match_ended")).alias("terminal"),
     )
-    target, rain = derive_target(F.col("status"), F.col("scores"))
-    scores = F.col("scores")
+
+
+def _verdict(scores: Column, state: Column) -> Column:
+    """All derived columns of a record, with its warnings and refusals."""
+    t20 = F.col("format").isin("T20", "T20I")
     unknown_side = F.transform(
         F.filter(scores, lambda s: s["batting_team"].isNull()),
-        lambda s: F.concat(F.lit("Could not identify batting team for score entry "), s["entry"].cast("string"), F.lit(".")),
+        lambda s: F.concat(
+            F.lit("Could not identify batting team for score entry "), s["entry"].cast("string"), F.lit(".")
+        ),
     )
     bad_overs = F.transform(
         F.filter(scores, lambda s: t20 & s["legal_balls"].isNull()),
-        lambda s: F.concat(F.lit("Could not parse overs for score entry "), s["entry"].cast("string"),
-                           F.lit(": '"), s["overs_text"], F.lit("'.")),
+        lambda s: F.concat(
+            F.lit("Could not parse overs for score entry "), s["entry"].cast("string"), F.lit(": '"),
+            s["overs_text"], F.lit("'."),
+        ),
     )
-    current = F.try_element_at(scores, F.lit(-1))
-    league = [
+    notes = F.array(
+        state["rain"],
         F.when(F.col("competition") == "The Hundred", HUNDRED_WARNING),
         F.when((F.col("format") == "T20") & (F.col("competition") != "IPL"), OUTSIDE_WARNING),
-    ]
-    out = base.select(
-        *keep, "match_id", "name", "match_type_raw", "format", "competition", "gender", "status", "venue",
-        "date", "team1", "team2", "toss_winner", "toss_decision", "match_started", "match_ended", "scores",
-        target.alias("target"),
-        F.concat(unknown_side, bad_overs, F.array_compact(F.array(rain, *league))).alias("warnings"),
-        F.when(F.size(scores) > 0, F.least(F.size(scores), F.lit(2))).alias("innings_number"),
-        current["batting_team"].alias("batting_team"),
-        current["runs"].alias("runs"),
-        current["wickets"].alias("wickets"),
-        current["legal_balls"].alias("legal_balls"),
-        is_terminal(F.col("status"), F.col("match_ended")).alias("terminal"),
-        t20.alias("supported_format"),
     )
-    return out.withColumn("refusals", refusals()).withColumn(
-        "predictable",
-        (F.size("refusals") == 0) & F.col("date").isNotNull(),
+    refused = refusals(scores, state)
+    names = ("target", "innings_number", "batting_team", "runs", "wickets", "legal_balls", "terminal")
+    return bind(
+        refused,
+        lambda why: F.struct(
+            scores.alias("scores"),
+            *[state[n].alias(n) for n in names],
+            F.concat(unknown_side, bad_overs, F.array_compact(notes)).alias("warnings"),
+            why.alias("refusals"),
+            ((F.size(why) == 0) & F.col("date").isNotNull()).alias("predictable"),
+        ),
     )
 
 
-def refusals() -> Column:
+def refusals(scores: Column, state: Column) -> Column:
     """Why a record cannot be scored, in a fixed order."""
-    has_score = F.size("scores") > 0
+    t20 = F.col("format").isin("T20", "T20I")
     return F.array_compact(
         F.array(
             F.when(~F.col("match_started"), "match has not started"),
-            F.when(F.col("terminal"), "match is already terminal"),
-            F.when(~F.col("supported_format"), F.concat(F.lit("unsupported format "), "format")),
-            F.when(~has_score, "no score available").when(
-                F.col("legal_balls").isNull(), "overs could not be parsed"
+            F.when(state["terminal"], "match is already terminal"),
+            F.when(~t20, F.concat(F.lit("unsupported format "), "format")),
+            F.when(F.size(scores) == 0, "no score available").when(
+                state["legal_balls"].isNull(), "overs could not be parsed"
+            ),
+            F.when(F.coalesce(state["batting_team"], F.lit("")) == "", "batting team is ambiguous"),
+            F.when(
+                (state["innings_number"] == 2) & state["target"].isNull(), "chase target is unavailable"
             ),
-            F.when(F.coalesce("batting_team", F.lit("")) == "", "batting team is ambiguous"),
-            F.when((F.col("innings_number") == 2) & F.col("target").isNull(), "chase target is unavailable"),
         )
     )
 
