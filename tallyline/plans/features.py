@@ -42,6 +42,7 @@ def team_history(
     *,
     as_of: str = "sequence",
     ratings_in: DataFrame | None = None,
+    only_requests: bool = False,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Team rows with every history column as it stood before the contest.
@@ -51,6 +52,8 @@ def team_history(
     ``match_id``, and the opponent's columns come from the pair without another.
     """
     prepared = C.prepare(contests, as_of)
+    if only_requests:  # history rows end at the windows and reach no join
+        prepared = prepared.withColumn("asks", F.col("asks") & F.col("asked"))
     rows = C.team_rows(prepared)
     rows = C.team_at_venue(C.head_to_head(C.team_form(rows, max_rows), max_rows), max_rows)
     rows = rows.where("asks")
