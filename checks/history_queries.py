@@ -173,14 +173,14 @@ query("venue_record_split_keys", VENUE_RECORD_SQL)(lambda spark, sf: _venue_reco
 
 
 # Step k plays the k-th contest of every pool; a pool's ratings travel as one list.
-def _elo_sql(tail: str) -> str:
+def _elo_sql(tail: str, tie: str = "match_id") -> str:
     return f"""
 WITH RECURSIVE {V.CONTESTS},
 steps AS MATERIALIZED (
   SELECT match_id, format, gender, h.n_nationkey + 1 AS i, a.n_nationkey + 1 AS j,
     CASE WHEN winner = team1 THEN 1.0 WHEN winner = team2 THEN 0.0 WHEN result_type = 'draw' THEN 0.5 END
       AS score,
-    row_number() OVER (PARTITION BY format, gender ORDER BY date, match_id) AS k
+    row_number() OVER (PARTITION BY format, gender ORDER BY date, {tie}) AS k
   FROM contests JOIN nation h ON h.n_name = team1 JOIN nation a ON a.n_name = team2
 ),
 fold AS (

@@ -127,7 +127,7 @@ p AS (SELECT *, 1 / (1 + pow(10, -gap / 400)) AS p1 FROM two)
 SELECT match_id AS request_id, team1, team2, round(p1, 6) AS team1_probability, n1 AS team1_history_matches, n2 AS team2_history_matches,
   CASE WHEN greatest(p1, 1 - p1) < 0.55 THEN 'very close' WHEN greatest(p1, 1 - p1) < 0.62 THEN 'slight'
     WHEN greatest(p1, 1 - p1) < 0.72 THEN 'moderate' ELSE 'strong' END AS edge FROM p
-""")
+""", tie="CAST(match_id AS VARCHAR)")  # served ids are text, and so is their order
 
 
 def scoring_requests(spark, sf):

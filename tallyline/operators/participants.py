@@ -14,6 +14,7 @@ from tallyline.functions.outcomes import credited_to_bowler
 from tallyline.functions.scoring import log_rest_days, overlap_ratio, rate
 from tallyline.operators.contests import ORDER, POOL
 from tallyline.operators.history import running
+from tallyline.operators.sizing import key_limit
 
 RECENT = 5
 BATTING_CORE, BOWLING_CORE = 7, 5
@@ -111,6 +112,7 @@ def player_state(
     event = F.col("is_event") == 1
     bats = event & (F.col("part") == 0)
     bowls = event & (F.col("part") == 1)
+    max_rows = key_limit(log, KEY, max_rows)
     log = running(
         log, KEY, MOMENT,
         totals={"bat_innings": F.lit(1), "bat_runs": F.col("runs"), "bat_balls": F.col("balls"),
@@ -193,6 +195,7 @@ def previous_lineups(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     """The last two known lineups and the days since the last contest of each team row."""
     key = [*POOL, "team"]
     event = (F.col("kind") == 1) & ~F.col("asked")
+    max_rows = key_limit(rows, key, max_rows)
     out = running(
         rows, key, ORDER,
         latest={"previous_xi": F.col("xi"), "_last_date": F.col("date")},

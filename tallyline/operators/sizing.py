@@ -21,6 +21,8 @@ MAX_ROWS_PER_KEY = 4_000_000
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 BROADCAST_BYTES = 32 * 1024 * 1024
 MAX_CHUNKS = 2_000
+# In place of a row limit: the key is known to fit, do not look again.
+UNSPLIT = -1
 
 
 def input_bytes(df: DataFrame) -> int | None:
@@ -53,10 +55,9 @@ def hot_key_bounds(
     approximate quantiles may differ between executions, and both readers of the
     cut points have to see the same ones.
     """
-    if max_rows is None:
-        if is_small(df):
-            return None
-        max_rows = MAX_ROWS_PER_KEY
+    if max_rows == UNSPLIT or (max_rows is None and is_small(df)):
+        return None
+    max_rows = max_rows or MAX_ROWS_PER_KEY
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     largest = counts.agg(F.max("_n")).first()[0]
     if largest is None:
@@ -72,6 +73,18 @@ def hot_key_bounds(
     return pin(bounds)
 
 
+def key_limit(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> int | None:
+    """Count a key once for several windows on it or on longer keys.
+
+    A longer key holds no more rows than the key it extends, so when none of
+    ``keys`` is too big, ``UNSPLIT`` is right for all of them.
+    """
+    if max_rows == UNSPLIT or (max_rows is None and is_small(df)):
+        return UNSPLIT
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return UNSPLIT if largest is None or largest <= (max_rows or MAX_ROWS_PER_KEY) else max_rows
+
+
 def with_chunk(df: DataFrame, keys: Sequence[str], time: str, bounds: DataFrame) -> DataFrame:
     """Add ``_chunk``: how many cut points of the row's key lie before its time."""
     moment = F.col(time)

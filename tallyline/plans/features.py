@@ -11,6 +11,7 @@ from tallyline.functions.outcomes import exclusion_reason, toss_columns
 from tallyline.functions.text import MODES
 from tallyline.operators import contests as C
 from tallyline.operators.elo import contest_scores, elo_before, team_ratings
+from tallyline.operators.sizing import key_limit
 from tallyline.operators.participants import lineup_members, lineup_snapshot, player_state
 
 FORM = [
@@ -55,7 +56,8 @@ def team_history(
     if only_requests:  # history rows end at the windows and reach no join
         prepared = prepared.withColumn("asks", F.col("asks") & F.col("asked"))
     rows = C.team_rows(prepared)
-    rows = C.team_at_venue(C.head_to_head(C.team_form(rows, max_rows), max_rows), max_rows)
+    limit = key_limit(rows, [*C.POOL, "team"], max_rows)
+    rows = C.team_at_venue(C.head_to_head(C.team_form(rows, limit), limit), limit)
     rows = rows.where("asks")
     rows = rows.join(C.venue_record(prepared, max_rows), "match_id", "left")
     ratings = elo_before(contest_scores(prepared), ratings_in=ratings_in, max_rows=max_rows)
