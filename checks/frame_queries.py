@@ -174,7 +174,7 @@ def features(spark, sf, lineups=False):
         from tallyline.operators import participants as P
 
         members = P.lineup_members(rows, F.col("xi"))
-        state = P.player_state(prepared, V.batting(spark, sf), V.bowling(spark, sf), members)
+        state = P.player_state(prepared, *V.batting_and_bowling(spark, sf), members)
         rows = rows.join(P.lineup_snapshot(state), ["match_id", "side"], "left").withColumn(
             "lineup_status",
             F.when(F.col("xi").isNotNull(), "LINEUP_KNOWN").otherwise("LINEUP_UNKNOWN"),

@@ -336,7 +336,7 @@ def _current_state(spark, sf, max_rows=None):
     prepared = C.prepare(V.contests_with_lineups(spark, sf))
     rows = C.team_rows(prepared)
     members = P.lineup_members(rows, F.col("xi"))
-    return P.player_state(prepared, V.batting(spark, sf), V.bowling(spark, sf), members, max_rows)
+    return P.player_state(prepared, *V.batting_and_bowling(spark, sf), members, max_rows)
 
 
 PLAYER_SQL = f"""
@@ -484,7 +484,7 @@ WHERE p.format = 'T20'
 def roster_strength(spark, sf):
     prepared = C.prepare(V.contests_with_lineups(spark, sf))
     side = P.roster_features(
-        C.team_rows(prepared), prepared, V.batting(spark, sf), V.bowling(spark, sf)
+        C.team_rows(prepared), prepared, *V.batting_and_bowling(spark, sf)
     )
     names = [f"{l}_xi_{n}" for l in ("previous", "current") for n in (*P.MEANS, *P.CORES)]
     # A side with neither list known has no strength row in the SQL.
@@ -544,7 +544,7 @@ WHERE result_type = 'win' GROUP BY format, mode
 def prematch_summary(spark, sf):
     """The whole feature build with ratings and lineups, summed up per format and mode."""
     history = team_history(
-        V.contests_with_lineups(spark, sf), V.batting(spark, sf), V.bowling(spark, sf)
+        V.contests_with_lineups(spark, sf), *V.batting_and_bowling(spark, sf)
     )
     return prematch_features(history).groupBy("format", "prediction_mode").agg(
         F.count(F.lit(1)).alias("n"), F.sum("team_win").alias("wins"),

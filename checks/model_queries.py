@@ -150,7 +150,7 @@ def batch_score(spark, sf):
         M.Bundle(M.ELO, (M.ELO_FEATURE,), "PRE_TOSS", "T20", feature_family=M.ROSTER_FAMILY),
     ]
     good, _ = S.score_requests(
-        scoring_requests(spark, sf), V.contests_with_lineups(spark, sf), V.batting(spark, sf), V.bowling(spark, sf), bundles
+        scoring_requests(spark, sf), V.contests_with_lineups(spark, sf), *V.batting_and_bowling(spark, sf), bundles
     )
     return good.select(
         "request_id", "team1", "team2", F.round("team1_probability", 6).alias("team1_probability"),

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.session import staged
+
 
 # Stating the schema saves the footer-reading job that inference would start.
 SCHEMAS = {
@@ -165,22 +167,25 @@ spells AS (
 """
 
 
-def batting(spark: SparkSession, sf: str) -> DataFrame:
-    return spells(spark, sf).select(
+def batting_and_bowling(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both event tables from one stored spell table, as a corpus would have them."""
+    stored = staged(spells(spark, sf))
+    batting = stored.select(
         "match_id", F.lit(1).alias("innings"), "player", F.col("quantity").alias("runs"),
         F.col("numbers").alias("balls"), (F.col("returned") > 0).alias("out"), "first_seq",
     )
-
-
-def bowling(spark: SparkSession, sf: str) -> DataFrame:
-    return spells(spark, sf).where("finished > 0").select(
+    bowling = stored.where("finished > 0").select(
         "match_id", F.lit(2).alias("innings"), "player", (F.col("n") * 6).alias("balls"),
         F.col("quantity").alias("runs"), F.col("finished").alias("wickets"), "first_seq",
     )
+    return batting, bowling
 
 
 def contests_with_lineups(spark: SparkSession, sf: str) -> DataFrame:
-    """Contests with each side's list: the order's suppliers of odd and of even lines."""
+    """Contests with each side's list: the order's suppliers of odd and of even lines.
+
+    Stored, like the match table of a corpus, because history reads it several times.
+    """
     odd = (F.col("l_linenumber") % 2) == 1
     lists = (
         table(spark, sf, "lineitem")
@@ -197,7 +202,7 @@ def contests_with_lineups(spark: SparkSession, sf: str) -> DataFrame:
             ]
         )
     )
-    return contests(spark, sf).join(lists, "match_id")
+    return staged(contests(spark, sf).join(lists, "match_id"))
 
 
 LINEUPS = """

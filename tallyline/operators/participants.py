@@ -99,49 +99,51 @@ def player_state(
         *KEY, "date", F.when(F.col("asked"), 0).otherwise(1).alias("day_part"), "match_id",
         F.lit(0).alias("is_event"), "side", "role", "pos",
     )
-    log = events.unionByName(probes, allowMissingColumns=True)
-    # Probes of several lists of one contest share a moment; their own columns
-    # make the order total without changing what they see.
-    log = log.withColumns(
+    max_rows = key_limit(events.select(*KEY).unionByName(probes.select(*KEY)), KEY, max_rows)
+    # The record after each event, per kind, over plain row frames ...
+    values = {n: F.col(n) for n in ("runs", "balls", "outs", "wickets")}
+    recorded = running(
+        events, [*KEY, "part"], MOMENT,
+        totals={"n": F.lit(1), **{f"all_{n}": c for n, c in values.items()}},
+        recent={f"last_{n}": (values[n], RECENT) for n in ("runs", "balls", "wickets")},
+        include_current=True, max_rows=max_rows,
+    )
+    record = F.struct("n", *[f"all_{n}" for n in values], "last_runs", "last_balls", "last_wickets")
+    recorded = recorded.select(
+        *KEY, *[c for c in MOMENT if c not in KEY],
+        F.when(F.col("part") == 0, record).alias("_bat"), F.when(F.col("part") == 1, record).alias("_bowl"),
+    )
+    # ... and then the newest record of each kind before every probe. Probes of
+    # several lists of one contest share a moment; their own columns make the
+    # order total without changing what they see.
+    log = recorded.unionByName(probes, allowMissingColumns=True).withColumns(
         {
             "part": F.coalesce("part", F.col("side")),
             "innings": F.coalesce("innings", F.col("role")),
             "first_seq": F.coalesce("first_seq", F.col("pos").cast("long")),
         }
     )
-    event = F.col("is_event") == 1
-    bats = event & (F.col("part") == 0)
-    bowls = event & (F.col("part") == 1)
-    max_rows = key_limit(log, KEY, max_rows)
-    log = running(
-        log, KEY, MOMENT,
-        totals={"bat_innings": F.lit(1), "bat_runs": F.col("runs"), "bat_balls": F.col("balls"),
-                "bat_outs": F.col("outs")},
-        recent={"_bat_runs5": (F.col("runs"), RECENT), "_bat_balls5": (F.col("balls"), RECENT)},
-        counts=bats, max_rows=max_rows,
-    )
     log = running(
-        log, KEY, MOMENT,
-        totals={"bowl_spells": F.lit(1), "bowl_balls": F.col("balls"), "bowl_runs": F.col("runs"),
-                "bowl_wickets": F.col("wickets")},
-        recent={"_bowl_runs5": (F.col("runs"), RECENT), "_bowl_balls5": (F.col("balls"), RECENT),
-                "_bowl_wickets5": (F.col("wickets"), RECENT)},
-        counts=bowls, max_rows=max_rows,
+        log, KEY, MOMENT, latest={"bat": F.col("_bat"), "bowl": F.col("_bowl")}, max_rows=max_rows
     )
-    batted, bowled = F.col("bat_innings") > 0, F.col("bowl_spells") > 0
+
+    def zero(value: Column) -> Column:
+        return F.coalesce(value, F.lit(0))
+
+    bat, bowl = F.col("bat"), F.col("bowl")
     return log.where(F.col("is_event") == 0).select(
         "match_id", "side", "role", "pos", *KEY,
-        "bat_innings", "bat_runs", "bat_balls",
-        rate(F.col("bat_runs"), F.col("bat_outs")).alias("batting_average"),
-        (rate(F.col("bat_runs"), F.col("bat_balls")) * 100).alias("strike_rate"),
-        F.when(batted, F.col("_bat_runs5")).alias("recent_runs"),
-        F.when(F.col("_bat_balls5") > 0, rate(F.col("_bat_runs5"), F.col("_bat_balls5")) * 100)
-        .alias("recent_strike_rate"),
-        "bowl_balls", "bowl_runs", "bowl_wickets",
-        rate(F.col("bowl_runs"), F.col("bowl_balls") / 6).alias("bowling_economy"),
-        F.when(bowled, F.col("_bowl_wickets5")).alias("recent_wickets"),
-        F.when(F.col("_bowl_balls5") > 0, rate(F.col("_bowl_runs5"), F.col("_bowl_balls5") / 6))
-        .alias("recent_economy"),
+        zero(bat["n"]).alias("bat_innings"), zero(bat["all_runs"]).alias("bat_runs"),
+        zero(bat["all_balls"]).alias("bat_balls"),
+        rate(bat["all_runs"], bat["all_outs"]).alias("batting_average"),
+        (rate(bat["all_runs"], bat["all_balls"]) * 100).alias("strike_rate"),
+        bat["last_runs"].alias("recent_runs"),
+        (rate(bat["last_runs"], bat["last_balls"]) * 100).alias("recent_strike_rate"),
+        zero(bowl["all_balls"]).alias("bowl_balls"), zero(bowl["all_runs"]).alias("bowl_runs"),
+        zero(bowl["all_wickets"]).alias("bowl_wickets"),
+        rate(bowl["all_runs"], bowl["all_balls"] / 6).alias("bowling_economy"),
+        bowl["last_wickets"].alias("recent_wickets"),
+        rate(bowl["last_runs"], bowl["last_balls"] / 6).alias("recent_economy"),
     )
 
 

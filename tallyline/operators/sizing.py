@@ -18,7 +18,7 @@ from tallyline.session import pin
 MAX_ROWS_PER_KEY = 4_000_000
 # Inputs below this many bytes cannot hold a key of MAX_ROWS_PER_KEY rows that
 # would trouble a task, so the counting pass is skipped.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
 BROADCAST_BYTES = 32 * 1024 * 1024
 MAX_CHUNKS = 2_000
 # In place of a row limit: the key is known to fit, do not look again.
