@@ -30,7 +30,8 @@ def input_bytes(df: DataFrame) -> int | None:
     plan = getattr(df, "_jdf", None)
     if plan is None:  # a remote session has no plan object: the size is unknown
         return None
-    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
+    # The analyzed plan is there already; optimising it only to ask would cost more.
+    leaves = plan.queryExecution().analyzed().collectLeaves()
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
