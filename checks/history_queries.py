@@ -8,7 +8,6 @@ from checks import views as V
 from tallyline.operators import contests as C
 from tallyline.operators import participants as P
 from tallyline.operators.elo import contest_scores, elo_after, elo_before
-from tallyline.operators.history import running
 from tallyline.plans.features import prematch_features, team_history
 
 QUERIES, SQL = {}, {}

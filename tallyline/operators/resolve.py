@@ -47,10 +47,9 @@ def known(fields: DataFrame) -> DataFrame:
 
 
 def reliability(kind: Column) -> Column:
-    out = F
-    for name, level in RELIABILITY.items():
-        out = out.when(kind == name, level)
-    return out.otherwise("unknown")
+    return F.when(kind == "live", RELIABILITY["live"]).when(
+        kind == "search", RELIABILITY["search"]
+    ).otherwise("unknown")
 
 
 def resolve(fields: DataFrame) -> DataFrame:
