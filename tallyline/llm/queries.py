@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import packing, token_orc
+from tallyline.llm import near_dedup, packing, token_orc
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -34,3 +34,9 @@ def op4(spark, sf):
     """Every document's pieces with their sequence and place."""
     packed = packing.packed_pieces(read(spark, sf, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op7_hyperminhash_dedup")
+def op7(spark, sf):
+    """Classes of documents that share four fifths of their 4-word shingles."""
+    return near_dedup.duplicate_classes(read(spark, sf, "documents"), size=4, threshold=0.8)
