@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import near_dedup, packing, token_orc
+from tallyline.llm import decontaminate, near_dedup, packing, substring_dedup, token_orc
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -40,3 +40,17 @@ def op4(spark, sf):
 def op7(spark, sf):
     """Classes of documents that share four fifths of their 4-word shingles."""
     return near_dedup.duplicate_classes(read(spark, sf, "documents"), size=4, threshold=0.8)
+
+
+@query("op2_sentence_spans")
+def op2(spark, sf):
+    """Every document without the sentences that later copies of a repeated run cover."""
+    done = substring_dedup.remove_repeats(read(spark, sf, "documents"))
+    return done.select("doc_id", "text", F.length("text").alias("n_chars"), "n_sentences", "n_removed")
+
+
+@query("op6_suffix_array_decontamination")
+def op6(spark, sf):
+    """Benchmark words found in every document, and whether they spoil it."""
+    found = decontaminate.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
