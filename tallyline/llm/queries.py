@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, near_dedup, packing, substring_dedup, token_orc
+from tallyline.llm import decontaminate, near_dedup, packing, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -54,3 +54,9 @@ def op6(spark, sf):
     """Benchmark words found in every document, and whether they spoil it."""
     found = decontaminate.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op10_kneser_ney_toxicity")
+def op10(spark, sf):
+    """A toxicity score for every document."""
+    return toxicity.toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
