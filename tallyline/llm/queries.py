@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, near_dedup, packing, substring_dedup, token_orc, toxicity
+from tallyline.llm import decontaminate, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -60,3 +60,9 @@ def op6(spark, sf):
 def op10(spark, sf):
     """A toxicity score for every document."""
     return toxicity.toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op8_pu_quality")
+def op8(spark, sf):
+    """A quality score for every document."""
+    return quality.quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
