@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
+from tallyline.llm import decontaminate, licenses, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -66,3 +66,9 @@ def op10(spark, sf):
 def op8(spark, sf):
     """A quality score for every document."""
     return quality.quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query("op9_license_scan")
+def op9(spark, sf):
+    """License phrases and labels of every document."""
+    return licenses.scan_licenses(read(spark, sf, "documents")).drop("detections")
