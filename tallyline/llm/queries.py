@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, licenses, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
+from tallyline.llm import decontaminate, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -72,3 +72,9 @@ def op8(spark, sf):
 def op9(spark, sf):
     """License phrases and labels of every document."""
     return licenses.scan_licenses(read(spark, sf, "documents")).drop("detections")
+
+
+@query("op3_pivot_range_join")
+def op3(spark, sf):
+    """Links and components of vectors with a cosine of 0.93 or more."""
+    return metric_join.linked_vectors(read(spark, sf, "embeddings"), threshold=0.93)
