@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
+from tallyline.llm import decontaminate, html_text, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -78,3 +78,9 @@ def op9(spark, sf):
 def op3(spark, sf):
     """Links and components of vectors with a cosine of 0.93 or more."""
     return metric_join.linked_vectors(read(spark, sf, "embeddings"), threshold=0.93)
+
+
+@query("op5_min_cut_text")
+def op5(spark, sf):
+    """The main text of every page."""
+    return html_text.extract(read(spark, sf, "pages"))
