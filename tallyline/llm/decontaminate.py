@@ -111,47 +111,51 @@ def search(texts: list[str | None], tests: Tests) -> list[tuple[int, np.ndarray,
     return out
 
 
+def _searched(docs: DataFrame, carried: list[str], text: str, benchmark: DataFrame, window: int, share: int) -> DataFrame:
+    """The carried columns as __0, __1 ... and the verdict on `text` of every row."""
+    spark = docs.sparkSession
+    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+    size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    none = F.array().cast("array<int>")
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(carried)],
+        F.col(text).alias("text"),
+        F.lit(0).cast("long").alias("n_words"),
+        none.alias("starts"),
+        none.alias("sizes"),
+        F.array().cast("array<string>").alias("items"),
+    )
+    head = ", ".join(f"`__{k}` {rows.schema[k].dataType.simpleString()}" for k in range(len(carried)))
+    for b in range(blocks):
+        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        shared = spark.sparkContext.broadcast(Tests(sorted(tuple(r) for r in part.collect()), window))
+        rows = mapped(rows, _finder(shared, len(carried)), f"{head}, text string, {_FOUND}")
+    return mapped(rows, _judge(share, len(carried)), f"{head}, {_JUDGED}")
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256, contaminated, spans and items beside doc_id for every row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, starts, sizes and items of every row.
 
     A window is `window` consecutive words of an item (item_id, text), or a shorter item's
     words as a whole. A document word inside any occurrence of a window is hit; a document is
-    contaminated when it has hits and at least one word in `share` is hit. `spans` lists the
-    hit stretches as (first word, words), `items` the items found. Null and wordless texts and
-    items match nothing; an empty benchmark leaves all documents clean. Repeated rows are
+    contaminated when it has hits and at least one word in `share` is hit. `starts` and
+    `sizes` give the hit stretches in words, `items` the items found. Null and wordless texts
+    and items match nothing; an empty benchmark leaves all documents clean. Repeated rows are
     judged each for itself, other columns are not read.
     """
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
-    size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    plain = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")
-    )
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for b in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Tests(sorted(tuple(r) for r in part.collect()), window))
-        passes.append(mapped(plain, _finder(shared), f"doc_id {kind}, version long, {_FOUND}"))
-    if blocks == 1:
-        return mapped(passes[0].drop("version"), _judge(share), f"doc_id {kind}, {_JUDGED}")
-    # The passes of one row meet here; copies of a row have the same findings.
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    merged = found.groupBy("doc_id", "version").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("starts")).alias("starts"),
-        F.flatten(F.collect_list("sizes")).alias("sizes"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    rows = plain.select(F.col("doc_id").alias("d"), F.col("version").alias("v"))
-    joined = rows.join(merged, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")))
-    return mapped(joined.select("doc_id", "n_words", "starts", "sizes", "items"), _judge(share), f"doc_id {kind}, {_JUDGED}")
+    return _searched(docs, [id_col], text_col, benchmark, window, share).withColumnRenamed("__0", "doc_id")
+
+
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: int = 20, text_col: str = "text"
+) -> DataFrame:
+    """The rows of `docs` that `contamination` finds clean, with all their columns."""
+    found = _searched(docs, docs.columns, text_col, benchmark, window, share).where("not contaminated")
+    return found.select(*[F.col(f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 _FOUND = "n_words long, starts array<int>, sizes array<int>, items array<string>"
@@ -161,23 +165,27 @@ _JUDGED = (
 )
 
 
-def _finder(shared) -> Callable[[pa.RecordBatch], pa.Table | None]:
+def _finder(shared, carried: int) -> Callable[[pa.RecordBatch], pa.Table | None]:
+    """Adds the findings of a block of the benchmark to those of earlier blocks."""
+
     def run(batch: pa.RecordBatch) -> pa.Table | None:
         tables, names = [], np.array(shared.value.items, dtype=object)
         for k in range(0, batch.num_rows, 1024):
             some = batch.slice(k, 1024)
+            before = [some.column(carried + c).to_pylist() for c in (2, 3, 4)]
             n, starts, sizes, items = [], [], [], []
-            for words, own, found in search(some.column(2).to_pylist(), shared.value):
+            texts = some.column(carried).to_pylist()
+            for (words, own, found), s, z, i in zip(search(texts, shared.value), *before):
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
                 n.append(words)
-                starts.append(edges[::2])
-                sizes.append(edges[1::2] - edges[::2])
-                items.append(list(names[sorted(found)]) if found else [])
+                starts.append(np.concatenate((np.array(s, np.int64), edges[::2])))
+                sizes.append(np.concatenate((np.array(z, np.int64), edges[1::2] - edges[::2])))
+                items.append([*i, *names[sorted(found)]] if found else i)
             columns = [pa.array(n, pa.int64()), ragged(starts, pa.int32()), ragged(sizes, pa.int32())]
             tables.append(
                 pa.Table.from_arrays(
-                    [some.column(0), some.column(1), *columns, pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "version", "n_words", "starts", "sizes", "items"],
+                    [*some.columns[: carried + 1], *columns, pa.array(items, pa.list_(pa.string()))],
+                    [*some.schema.names[: carried + 1], "n_words", "starts", "sizes", "items"],
                 )
             )
         return pa.concat_tables(tables) if tables else None
@@ -185,17 +193,16 @@ def _finder(shared) -> Callable[[pa.RecordBatch], pa.Table | None]:
     return run
 
 
-def _judge(share: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+def _judge(share: int, carried: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hits, counts, names, bad, starts, sizes = [], [], [], [], [], []
-        for n, s, k, items in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-            reached, own = 0, []
+        for n, s, k, items in zip(*(batch.column(carried + i).to_pylist() for i in range(1, 5))):
+            own: list[list[int]] = []
             for lo, size in sorted(zip(s, k)):
-                if own and lo <= reached:
+                if own and lo <= own[-1][0] + own[-1][1]:
                     own[-1][1] = max(own[-1][1], lo + size - own[-1][0])
                 else:
                     own.append([lo, size])
-                reached = own[-1][0] + own[-1][1]
             hit = sum(x[1] for x in own)
             hits.append(hit)
             counts.append(len(items))
@@ -204,10 +211,11 @@ def _judge(share: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
             starts.append(np.array([x[0] for x in own], np.int32))
             sizes.append(np.array([x[1] for x in own], np.int32))
         fields = [
-            ("doc_id", batch.column(0)), ("n_words", batch.column(1)), ("n_hit", pa.array(hits, pa.int64())),
+            *[(f"__{i}", batch.column(i)) for i in range(carried)],
+            ("n_words", batch.column(carried + 1)), ("n_hit", pa.array(hits, pa.int64())),
             ("n_items", pa.array(counts, pa.int64())), ("items_sha256", pa.array(names, pa.string())),
             ("contaminated", pa.array(bad, pa.bool_())), ("starts", ragged(starts, pa.int32())),
-            ("sizes", ragged(sizes, pa.int32())), ("items", batch.column(4)),
+            ("sizes", ragged(sizes, pa.int32())), ("items", batch.column(carried + 4)),
         ]
         return pa.RecordBatch.from_arrays([x for _, x in fields], [x for x, _ in fields])
 

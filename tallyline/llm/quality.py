@@ -9,6 +9,7 @@ statistics minimises  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,62 +109,68 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
     return edges, w
 
 
-def quality(
-    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "quality",
-) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row.
-
-    Learns from `labels` (doc_id, `label_col` 0 or 1) where crc32(doc_id) mod 5 is not 0, and
-    from documents without a label; each kind gives `FIT_ROWS` rows at most. Null and empty
-    texts are scored by their statistics, which are zeros. Rows that repeat are scored each
-    for itself; a null id is not held out. Without positives or unlabelled rows every score is
-    the class prior, without labels 0.5. Other columns are not read.
-    """
+def quality_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
+    """A column function from a text to its score, learned as `quality` says."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = training_labels(labels, "doc_id", label_col)
     prior, some = known.agg(F.avg("label"), F.count("*")).first()
     prior = 0.5 if not some else float(prior)
     pick = F.xxhash64("id", F.lit(3))
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     trusted = known.where("label = 1").select(F.col("label_id").alias("id"), F.lit(1).alias("kind"))
     any_label = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
-    web = ids.distinct().join(any_label, "id", "left_anti").select("id", F.lit(0).alias("kind"))
+    web = ids.join(any_label, "id", "left_anti").select("id", F.lit(0).alias("kind"))
     # Two samples of FIT_ROWS ids at most, so this table is small enough to send everywhere.
-    chosen = trusted.join(ids.distinct(), "id", "left_semi").orderBy(pick).limit(FIT_ROWS).unionByName(
-        web.orderBy(pick).limit(FIT_ROWS)
-    )
-    table = pa.Table.from_pandas(chosen.toPandas(), preserve_index=False)
-    kinds = dict(zip(table["id"].to_pylist(), table["kind"].to_pylist()))
+    trusted = trusted.join(ids, "id", "left_semi").orderBy(pick).limit(FIT_ROWS)
+    chosen = trusted.unionByName(web.orderBy(pick).limit(FIT_ROWS))
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([statistics(t) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, N_FEATURES)
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "kind"])
-
-    model = None
-    if kinds:
-        side = docs.sparkSession.createDataFrame(list(kinds.items()), "id long, kind int")
-        rows = plain.join(F.broadcast(side), F.col("doc_id").cast("long") == F.col("id")).select("text", "kind")
-        seen = mapped(rows, gather, "x array<double>, kind int").toPandas()
-        x = np.array(seen["x"].tolist()).reshape(len(seen), N_FEATURES)
-        kind = seen["kind"].to_numpy()
-        if (kind == 1).any() and (kind == 0).any():
-            model = fit_pu(x[kind == 1], x[kind == 0], prior)
-
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, N_FEATURES)
+        x = [statistics(t) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "kind"])
+
+    rows = plain.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("id")).select("text", "kind")
+    seen = mapped(rows, gather, "x array<double>, kind int").toPandas()
+    kind, model = seen["kind"].to_numpy(), None
+    if (kind == 1).any() and (kind == 0).any():
+        x = np.array(seen["x"].tolist())
+        order = np.lexsort(x.T)  # the fit does not depend on how the rows arrive
+        x, kind = x[order], kind[order]
+        model = fit_pu(x[kind == 1], x[kind == 0], prior)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts]).reshape(len(texts), N_FEATURES)
         if model is None:
-            scores = np.full(batch.num_rows, prior)
-        else:
-            edges, w = model
-            scores = 1 / (1 + np.exp(-np.clip(w[_binned(x, edges)].sum(axis=1) + w[-1], -30, 30)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
-
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    scored = mapped(plain, score, f"doc_id {kind}, score double")
+            return pd.Series(np.full(len(texts), prior))
+        edges, w = model
+        return pd.Series(1 / (1 + np.exp(-np.clip(w[_binned(x, edges)].sum(axis=1) + w[-1], -30, 30))))
+
+    return score
+
+
+def quality(
+    docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row.
+
+    Learns from `labels` (doc_id, `label_col` 0 or 1) where crc32(doc_id) mod 5 is not 0, and
+    from documents without a label; each kind gives `FIT_ROWS` ids at most. Null and empty
+    texts are scored by their statistics, which are zeros. Rows that repeat are scored each
+    for itself; a null id is not held out. Without positives or unlabelled rows every score is
+    the class prior, without labels 0.5. Other columns are not read.
+    """
+    score = quality_scorer(docs, labels, id_col, text_col, label_col)
+    scored = docs.select(F.col(id_col).alias("doc_id"), score(F.col(text_col)).alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text", **columns: str) -> DataFrame:
+    """The rows of `docs` whose score is `threshold` or more, with all their columns."""
+    score = quality_scorer(docs, labels, text_col=text_col, **columns)
+    return docs.where(score(F.col(text_col)) >= threshold)

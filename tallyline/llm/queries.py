@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -84,3 +85,6 @@ def op3(spark, sf):
 def op5(spark, sf):
     """The main text of every page."""
     return html_text.extract(read(spark, sf, "pages"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
