@@ -22,6 +22,86 @@ def query(name, sql=None):
     return register
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# Links (a, b) with a > b are followed to the smallest id.
+ROOTS = """
+reach(id, other) AS (
+    SELECT a, b FROM (SELECT a, b FROM links UNION SELECT b, a FROM links)
+    UNION
+    SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON r.other = l.a
+),
+roots AS (SELECT id, least(id, min(other)) AS root FROM reach GROUP BY id)
+"""
+
+LINKED_VECTORS = f"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len([x FOR x IN embedding IF isfinite(x)])
+      AND list_sum([x * x FOR x IN embedding::DOUBLE[]]) > 0
+),
+links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y
+      ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id > y.vec_id
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+),
+{ROOTS},
+counts AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON counts.id = vec_id LEFT JOIN roots ON roots.id = vec_id
+"""
+
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+CONTAMINATION = f"""
+WITH items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ALNUM}') AS w
+    FROM benchmark WHERE text IS NOT NULL
+),
+wins AS (
+    SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[j : j + least(len(w), 13) - 1], ' ') AS s
+    FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(j) WHERE len(w) > 0
+),
+docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ALNUM}'), []) AS w FROM documents
+),
+places AS (
+    SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS s
+    FROM docs, (SELECT DISTINCT k FROM wins) ks, unnest(range(1, len(w) - k + 2)) t(p)
+),
+found AS (SELECT DISTINCT doc_id, p, k, item FROM places JOIN wins USING (k, s)),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM found, unnest(range(p, p + k)) u(q) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items
+    FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[p : p + 3], ' ') FOR p IN range(1, len(w) - 2)] END)) AS s
+    FROM words
+),
+reps AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT rep, n, unnest(s) AS x FROM reps),
+links AS (
+    SELECT l.rep AS a, r.rep AS b FROM shingles l JOIN shingles r ON l.x = r.x AND l.rep > r.rep
+    WHERE 100 * least(l.n, r.n) >= 80 * greatest(l.n, r.n)
+    GROUP BY l.rep, r.rep, l.n, r.n HAVING 100 * count(*) >= 80 * (l.n + r.n - count(*))
+),
+{ROOTS}
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(root, rep, doc_id) AS component_id, coalesce(root, rep, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN reps USING (s) LEFT JOIN roots ON roots.id = rep
+"""
+
+
 @query("op1_token_orc")
 def op1(spark, sf):
     """Ids of every document, written as ORC and read back."""
@@ -37,7 +117,7 @@ def op4(spark, sf):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-@query("op7_hyperminhash_dedup")
+@query("op7_hyperminhash_dedup", NEAR_DUPLICATES)
 def op7(spark, sf):
     """Classes of documents that share four fifths of their 4-word shingles."""
     return near_dedup.duplicate_classes(read(spark, sf, "documents"), size=4, threshold=0.8)
@@ -50,7 +130,7 @@ def op2(spark, sf):
     return done.select("doc_id", "text", F.length("text").alias("n_chars"), "n_sentences", "n_removed")
 
 
-@query("op6_suffix_array_decontamination")
+@query("op6_suffix_array_decontamination", CONTAMINATION)
 def op6(spark, sf):
     """Benchmark words found in every document, and whether they spoil it."""
     found = decontaminate.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -75,7 +155,7 @@ def op9(spark, sf):
     return licenses.scan_licenses(read(spark, sf, "documents")).drop("detections")
 
 
-@query("op3_pivot_range_join")
+@query("op3_pivot_range_join", LINKED_VECTORS)
 def op3(spark, sf):
     """Links and components of vectors with a cosine of 0.93 or more."""
     return metric_join.linked_vectors(read(spark, sf, "embeddings"), threshold=0.93)
