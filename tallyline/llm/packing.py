@@ -25,8 +25,8 @@ from tallyline.session import staged
 GROUP_PIECES = 16_384
 # Rounds over what is left in bins that are not full.
 ROUNDS = 4
-# Moves and swaps that a group may make before it is taken as it is.
-MAX_EXCHANGES = 20_000
+# Pieces that the search for moves and swaps may look at in a group before it is taken as it is.
+MAX_LOOKS = 3_000_000
 
 
 def pieces_of(
@@ -111,7 +111,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def exchange(bins: list[list[int]], lengths: list[int], capacity: int, limit: int = MAX_EXCHANGES) -> list[list[int]]:
+def exchange(bins: list[list[int]], lengths: list[int], capacity: int, limit: int = MAX_LOOKS) -> list[list[int]]:
     """Empty bins by moving one piece, or swapping one or two pieces for one, into fuller bins.
 
     Every step takes ids from the emptiest bin that still gives and adds them to a bin that is
@@ -130,7 +130,7 @@ def exchange(bins: list[list[int]], lengths: list[int], capacity: int, limit: in
             break
         giver = min(givers, key=lambda k: (fill[k], k))
         step = _step(bins, lengths, fill, live, giver, capacity)
-        limit -= 1
+        limit -= sum(len(bins[k]) for k in live)
         if step is None:
             stuck.add(giver)
             continue
@@ -144,7 +144,7 @@ def exchange(bins: list[list[int]], lengths: list[int], capacity: int, limit: in
         moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
         fill[giver] -= moved
         fill[taker] += moved
-        stuck.discard(taker)
+        stuck.clear()
         if not bins[giver]:
             live.discard(giver)
     return [b for b in bins if b]
