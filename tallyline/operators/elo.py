@@ -6,10 +6,9 @@ Arrow batches: memory grows with teams, never with contests.
 
 A pool with more contests than one task should walk is cut by time into slices
 that run side by side. A slice needs the ratings at its start; those are guessed,
-all slices run, and each slice's end becomes the next slice's start until no
-start moves any more. Slice k is exact after k rounds at the latest, so this ends
-with the sequential answer; because a rating gap shrinks with every contest it
-usually ends after a few rounds.
+all slices run, and each slice's end becomes the next slice's start; slices whose
+start moved run again, until none does. Slice k is exact after k rounds at the
+latest, so this ends with the sequential answer.
 """
 
 from __future__ import annotations
@@ -29,8 +28,11 @@ K_FACTOR = 20.0
 # ----------------------------------------------------------------------------
 
 POOL = ["format", "sex"]
+ORDER = ["date", "kind", "match_id"]
 SEED, CONTEST = 0, 1
-TOLERANCE = 1e-9
+# Slices run again until no rating at their start moves by more: at 0 they end with
+# the very numbers of one walk over all contests.
+TOLERANCE = 0.0
 
 
 def contest_scores(prepared: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def _run(
     staged = rows if seeds is None else rows.unionByName(_as_seed(seeds, rows))
     key = [*POOL, "_chunk"]
     ordered = staged.repartition(*key).sortWithinPartitions(
-        *key, "_row", "date", "kind", "match_id"
+        *key, "_row", *ORDER
     )
     kind = dict(rows.dtypes)["match_id"]
     out = f"match_id {kind}, elo1 double, elo2 double" if emit_contests else _STATE
@@ -148,33 +150,40 @@ def _settle(rows, bounds, seeds, k, initial, tolerance) -> DataFrame:
         first = first.join(known, [*POOL, "team"], "left").select(
             *POOL, "_chunk", "team", F.coalesce("_given", "rating").alias("rating")
         )
-    starts = pin(first)
     hot = rows.where("_hot")
-    rounds = bounds.agg(F.max(F.size("_bounds"))).first()[0] + 1
     by_team = Window.partitionBy(*POOL, "team").orderBy("_chunk")
-    for _ in range(rounds):
-        ends = _run(hot, starts, False, k, initial).withColumnRenamed("rating", "_end")
+    state = pin(first.withColumn("_end", F.lit(None).cast("double")).withColumn("_moved", F.lit(True)))
+    while True:
+        # Slices whose starts have not moved would only repeat their walk; a pool's first
+        # slice to run is exact afterwards, so this ends after as many rounds as slices.
+        moved = pin(state.where("_moved").select(*POOL, "_chunk").distinct())
+        again = F.broadcast(moved)
+        starts = state.join(again, [*POOL, "_chunk"], "left_semi").select(*POOL, "_chunk", "team", "rating")
+        ran = hot.join(again, [*POOL, "_chunk"], "left_semi")
+        ends = _run(ran, starts, False, k, initial).withColumnRenamed("rating", "_new")
+        joined = state.join(ends, [*POOL, "_chunk", "team"], "left").withColumn("_end", F.coalesce("_new", "_end"))
         # Every slice is seeded with every team, so each end row has a next start.
-        joined = starts.join(ends, [*POOL, "_chunk", "team"], "left").withColumn(
-            "_next", F.coalesce(F.lag("_end").over(by_team), F.col("rating"))
+        following = F.coalesce(F.lag("_end").over(by_team), F.col("rating"))
+        state = pin(
+            joined.withColumn("_next", following).select(
+                *POOL, "_chunk", "team", F.col("_next").alias("rating"), "_end",
+                (F.abs(F.col("_next") - F.col("rating")) > tolerance).alias("_moved"),
+            )
         )
-        moved = pin(joined.select(*POOL, "_chunk", "team", "rating", "_next"))
-        gap = moved.agg(F.max(F.abs(F.col("rating") - F.col("_next")))).first()[0]
-        starts = moved.select(*POOL, "_chunk", "team", F.col("_next").alias("rating"))
-        if gap is None or gap <= tolerance:
+        if state.where("_moved").isEmpty():
             break
-    return starts
+    return state.select(*POOL, "_chunk", "team", "rating")
 
 
 def _staged(scores, ratings_in, max_rows, k, initial, tolerance):
-    bounds = hot_key_bounds(scores, POOL, "date", max_rows)
+    bounds = hot_key_bounds(scores, POOL, ORDER, max_rows)
     seeds = None
     if ratings_in is not None:
         seeds = ratings_in.select(*POOL, "team", "rating")
     if bounds is None:
         rows = scores.select("*", F.lit(0).alias("_chunk"), F.lit(CONTEST).alias("_row"))
         return rows, None if seeds is None else seeds.withColumn("_chunk", F.lit(0))
-    rows = with_chunk(scores, POOL, "date", bounds).withColumn("_row", F.lit(CONTEST))
+    rows = with_chunk(scores, POOL, ORDER, bounds).withColumn("_row", F.lit(CONTEST))
     rows = pin(rows)
     starts = _settle(rows, bounds, seeds, k, initial, tolerance)
     rows = rows.drop("_hot")

@@ -16,6 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tallyline.operators.sizing import hot_key_bounds, with_chunk
 
@@ -39,7 +40,7 @@ def running(
     ``totals``: name -> value summed over all earlier counting rows (0 if none).
     ``recent``: name -> (value, n) summed over the last n counting rows.
     ``latest``: name -> value of the last counting row where it is not NULL.
-    ``order`` must be a total order inside a key; its first column is the time.
+    ``order`` must be a total order inside a key; keys that are too big are cut along it.
     """
     totals, recent, latest = dict(totals or {}), dict(recent or {}), dict(latest or {})
     values = {
@@ -52,7 +53,7 @@ def running(
     staged = staged.select(
         "*", *[F.when(F.col("_counts"), c).alias(name) for name, c in values.items()]
     )
-    bounds = hot_key_bounds(staged, keys, order[0], max_rows)
+    bounds = hot_key_bounds(staged, keys, order, max_rows)
     every_row_counts = counts is None
     if bounds is None:
         out = _windowed(
@@ -60,7 +61,7 @@ def running(
         )
         return out.select(*names, *totals, *recent, *latest)
 
-    staged = with_chunk(staged, keys, order[0], bounds)
+    staged = with_chunk(staged, keys, order, bounds)
     carry = _carry(staged, list(keys), order, totals, recent, latest, bounds)
     out = _windowed(
         staged, [*keys, "_chunk"], order, totals, recent, latest, every_row_counts, include_current
@@ -75,19 +76,21 @@ def running(
         from_end = F.slice(
             tail, F.greatest(F.size(tail) - missing, F.lit(0)) + 1, F.greatest(missing, F.lit(1))
         )
-        extra = F.when(
-            F.col("_tail").isNotNull() & (missing > 0),
-            F.aggregate(
-                from_end, F.lit(0.0), lambda acc, v: acc + F.coalesce(v.cast("double"), F.lit(0.0))
-            ),
-        ).otherwise(0.0)
+        # In the sum's own type, so that long and decimal sums are as exact as unsplit ones.
         kind = out.schema[name].dataType
-        added.append((F.col(name) + extra.cast(kind)).alias(name))
+        zero = F.lit(0).cast(kind)
+        extra = F.when(F.col("_tail").isNotNull() & (missing > 0), _sum(from_end, kind)).otherwise(zero)
+        added.append((F.col(name) + extra).cast(kind).alias(name))
     for name in latest:
         added.append(F.coalesce(F.col(name), F.col(f"_c_{name}")).alias(name))
     return out.select(*names, *added)
 
 
+def _sum(values: Column, kind: DataType) -> Column:
+    zero = F.lit(0).cast(kind)
+    return F.aggregate(values, zero, lambda acc, v: (acc + F.coalesce(v.cast(kind), zero)).cast(kind))
+
+
 def _windowed(df, keys, order, totals, recent, latest, every_row_counts, include_current):
     by_order = Window.partitionBy(*keys).orderBy(*order)
     until = 0 if include_current else -1

@@ -1,77 +1,51 @@
-"""How big is an input, and which keys are too big for one task.
+"""Which keys are too big for one task, and where to cut them.
 
-Both questions are answered before a plan is chosen: a broadcast needs a proven
-bound, and a per-key window needs to know that no key outgrows a task.
+Decisions follow counted rows alone: a per-key window needs to know that no key
+outgrows a task, whatever the bytes that hold it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.session import pin
 
 # Rows of one key that one task may sort; beyond it the key is split by time.
 MAX_ROWS_PER_KEY = 4_000_000
-# Inputs below this many bytes cannot hold a key of MAX_ROWS_PER_KEY rows that
-# would trouble a task, so the counting pass is skipped.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-BROADCAST_BYTES = 32 * 1024 * 1024
-MAX_CHUNKS = 2_000
 # In place of a row limit: the key is known to fit, do not look again.
 UNSPLIT = -1
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Total size of the leaves a plan reads, or None when Spark cannot tell."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:  # a remote session has no plan object: the size is unknown
-        return None
-    # The analyzed plan is there already; optimising it only to ask would cost more.
-    leaves = plan.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    size = input_bytes(df)
-    return size is not None and size <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the leaves read are provably small."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def hot_key_bounds(
-    df: DataFrame, keys: Sequence[str], time: str, max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
 ) -> DataFrame | None:
-    """Cut points in ``time`` for each key holding more than ``max_rows`` rows.
+    """Cut points in ``order`` for each key holding more than ``max_rows`` rows.
 
     Returns None when no key is that big. The result has the key columns and
-    ``_bounds`` (ascending, distinct); it holds at most total/max_rows keys and
-    about as many cut points, which makes it safe to broadcast. It is pinned:
-    approximate quantiles may differ between executions, and both readers of the
-    cut points have to see the same ones.
+    ``_bounds``, the first places of all pieces but the first, as structs of the
+    order columns, ascending. The rows of the big keys are dealt into ranges of
+    about half ``max_rows``, so there are at most about 2 x rows / max_rows cut
+    points in all, however many keys share them: few enough to broadcast. The
+    table is pinned, since both readers of the cut points must see the same ones.
+    Rows with a null in their key are not split.
     """
-    if max_rows == UNSPLIT or (max_rows is None and is_small(df)):
+    if max_rows == UNSPLIT:
         return None
     max_rows = max_rows or MAX_ROWS_PER_KEY
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
-    largest = counts.agg(F.max("_n")).first()[0]
-    if largest is None:
+    counts = pin(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).dropna(subset=list(keys)))
+    total = counts.agg(F.sum("_n")).first()[0]
+    if total is None:
         return None
-    pieces = min(math.ceil(largest / max_rows), MAX_CHUNKS)
-    fractions = [i / pieces for i in range(1, pieces)]
-    hot = df.join(F.broadcast(counts.select(*keys)), list(keys), "left_semi")
-    bounds = hot.groupBy(*keys).agg(
-        F.array_sort(
-            F.array_distinct(F.percentile_approx(F.col(time), F.array(*map(F.lit, fractions))))
-        ).alias("_bounds")
-    )
-    return pin(bounds)
+    hot = df.join(F.broadcast(counts), list(keys), "left_semi").select(*keys, F.struct(*order).alias("_at"))
+    dealt = hot.repartitionByRange(-(-2 * total // max_rows), *keys, "_at")
+    firsts = dealt.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(F.min("_at").alias("_at"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_at"))
+    cuts = firsts.withColumn("_k", rank)
+    inner = F.array_sort(F.collect_list(F.when(F.col("_k") > 1, F.col("_at"))))
+    return pin(cuts.groupBy(*keys).agg(inner.alias("_bounds")))
 
 
 def key_limit(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> int | None:
@@ -80,21 +54,20 @@ def key_limit(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -
     A longer key holds no more rows than the key it extends, so when none of
     ``keys`` is too big, ``UNSPLIT`` is right for all of them.
     """
-    if max_rows == UNSPLIT or (max_rows is None and is_small(df)):
+    if max_rows == UNSPLIT:
         return UNSPLIT
     largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     return UNSPLIT if largest is None or largest <= (max_rows or MAX_ROWS_PER_KEY) else max_rows
 
 
-def with_chunk(df: DataFrame, keys: Sequence[str], time: str, bounds: DataFrame) -> DataFrame:
-    """Add ``_chunk``: how many cut points of the row's key lie before its time."""
-    moment = F.col(time)
+def with_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """Add ``_chunk``: how many cut points of the row's key are not behind the row."""
+    place = F.struct(*order)
     return (
         df.join(F.broadcast(bounds), list(keys), "left")
         .withColumn("_hot", F.col("_bounds").isNotNull())
         .withColumn(
-            "_chunk",
-            F.when(F.col("_hot"), F.size(F.filter("_bounds", lambda b: b < moment))).otherwise(0),
+            "_chunk", F.when(F.col("_hot"), F.size(F.filter("_bounds", lambda b: b <= place))).otherwise(0)
         )
         .drop("_bounds")
     )

@@ -50,9 +50,10 @@ def build_feature_datasets(
         first = dated.orderBy("date", "match_id", "path").limit(limit).select("path")
         dated = dated.join(first, "path", "left_semi")
     every = D.matches(dated)
-    unique = dedupe_contests(every) if dedupe else every
+    # Filtered first: a copy that passes must not be lost to one that does not.
     keep = passes_filters(F.col("format"), F.col("competition"), formats, competitions)
-    chosen = staged(unique.where(keep))
+    passing = every.where(keep)
+    chosen = staged(dedupe_contests(passing) if dedupe else passing)
     kept_docs = dated.join(chosen.select("path"), "path", "left_semi")
     innings, balls = D.innings(kept_docs), staged(D.deliveries(kept_docs))
     contests = T.with_first_innings(chosen, innings)
@@ -65,7 +66,7 @@ def build_feature_datasets(
         states = live_states(chosen, innings, balls)
         T.write_live(states, f"{output}/live_states")
         live = spark.read.schema(states.schema).parquet(f"{output}/live_states")
-    report = staged(build_report(parsed, dated, every, unique, chosen, prematch, live))
+    report = staged(build_report(parsed, dated, every, passing, chosen, prematch, live))
     T.write_report(report, f"{output}/build_report")
     return report
 
@@ -91,7 +92,7 @@ def _map_of(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def build_report(parsed, dated, every, unique, chosen, prematch, live) -> DataFrame:
+def build_report(parsed, dated, every, passing, chosen, prematch, live) -> DataFrame:
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias(name))
 
@@ -105,7 +106,7 @@ def build_report(parsed, dated, every, unique, chosen, prematch, live) -> DataFr
         count(parsed.where("date is null"), "_undated"),
         count(D.quarantine(dated), "_rejected"),
         count(every, "matches_parsed"),
-        count(unique, "_unique"),
+        count(passing, "_passing"),
         count(chosen, "_chosen"),
         count(planned if live is not None else planned.limit(0), "_planned"),
         count(prematch, "prematch_rows"),
@@ -121,8 +122,8 @@ def build_report(parsed, dated, every, unique, chosen, prematch, live) -> DataFr
         F.create_map(
             F.lit(NO_DATE), F.col("_undated"),
             F.lit("parse_error"), F.col("_rejected"),
-            F.lit("duplicate_match_id"), F.col("matches_parsed") - F.col("_unique"),
-            F.lit("filtered"), F.col("_unique") - F.col("_chosen"),
+            F.lit("duplicate_match_id"), F.col("_passing") - F.col("_chosen"),
+            F.lit("filtered"), F.col("matches_parsed") - F.col("_passing"),
             F.lit("live_format_planned"), F.col("_planned"),
         ),
         lambda _, n: n > 0,

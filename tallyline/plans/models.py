@@ -188,13 +188,16 @@ REGISTRY = (
 )
 
 
-def registry_rows(spark: SparkSession, bundles: Sequence[Bundle]) -> DataFrame:
-    rows = [
+def registry_values(bundles: Sequence[Bundle]) -> list[tuple]:
+    return [
         (b.prediction_mode, b.domain, b.model_name, list(b.features), b.innings_number,
          b.feature_family, b.trained_through, b.path)
         for b in bundles
     ]
-    return spark.createDataFrame(rows, REGISTRY)
+
+
+def registry_rows(spark: SparkSession, bundles: Sequence[Bundle]) -> DataFrame:
+    return spark.createDataFrame(registry_values(bundles), REGISTRY)
 
 
 def save(spark: SparkSession, bundles: Sequence[Bundle], root: str) -> DataFrame:
@@ -264,31 +267,31 @@ def with_route(requests: DataFrame) -> DataFrame:
     )
 
 
-def unroutable(requests: DataFrame) -> DataFrame:
-    return with_route(requests).where(F.col("model_family").isNull())
-
-
-def bundle_problem(
-    b: Bundle, expected_mode: str, expected_domain: str, expected_family: str | None, innings: int | None
-) -> str | None:
-    """Why a stored model must not serve a route, or None."""
-    if b.prediction_mode != expected_mode:
-        return f"Artifact prediction_mode is {b.prediction_mode!r}, expected {expected_mode!r}"
-    if not b.features:
-        return "Model bundle has an empty feature list"
-    if b.model_name != ELO and b.model is None:
-        return f"Model bundle {b.model_name!r} contains no fitted estimator"
-    if expected_domain == "LIVE":
-        if innings is not None and b.innings_number != innings:
-            return f"Live artifact is for innings {b.innings_number}, request is innings {innings}"
-        return None
-    if b.domain and b.domain != expected_domain:
-        return f"Artifact domain/format is {b.domain!r}, expected {expected_domain!r}."
-    if expected_family and b.feature_family != expected_family:
-        return f"Artifact feature_family is {b.feature_family!r}, expected {expected_family!r}"
-    if not expected_family and b.feature_family == ROSTER_FAMILY and expected_domain == "T20I":
-        return "Roster-aware T20 artifacts cannot be used for T20I predictions"
-    return None
+def route_fit(registry: DataFrame) -> DataFrame:
+    """Every stored model beside each route of its mode, with what speaks against the pair.
+
+    ``registry`` has the registry columns and ``fitted``. ``problems`` is an array of
+    codes, empty where the model may serve the route; a model whose mode no route asks
+    for is not in the result. A live model is bound to its innings, any other to its
+    domain and to the feature family of the route; a T20I route takes all families but
+    the roster one, a model without a domain serves any.
+    """
+    live = F.col("expected_domain") == "LIVE"
+    other_family = F.when(
+        F.col("expected_family").isNotNull(), ~F.col("feature_family").eqNullSafe(F.col("expected_family"))
+    ).otherwise((F.col("feature_family") == ROSTER_FAMILY) & (F.col("expected_domain") == "T20I"))
+    against = {
+        "no_features": F.size("features") == 0,
+        "not_fitted": (F.col("model_name") != ELO) & ~F.col("fitted"),
+        "other_innings": live & ~F.col("innings_number").eqNullSafe(F.col("route_innings")),
+        "other_domain": ~live & (F.col("domain") != "") & (F.col("domain") != F.col("expected_domain")),
+        "other_family": ~live & other_family,
+    }
+    asked = routes(registry.sparkSession).withColumnRenamed("prediction_mode", "route_mode")
+    pairs = registry.join(F.broadcast(asked), F.col("prediction_mode") == F.col("expected_mode"))
+    return pairs.withColumn(
+        "problems", F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, rule in against.items()]))
+    )
 
 
 def routed_probability(bundles: Mapping[str, Bundle], df: DataFrame, name: str = "p") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import confidence
@@ -136,14 +136,16 @@ def _apply(bundle: M.Bundle, frame: DataFrame, keys: dict) -> DataFrame:
     return scored.select("*", why.alias("drivers"), F.lit(bundle.model_name).alias("model_name"))
 
 
-def serving(bundles: Sequence[M.Bundle]) -> dict[tuple, M.Bundle]:
-    """Route key -> the bundle that may serve it; a mismatched bundle serves nothing."""
-    out = {}
-    for format_, mode, innings, _, expected_mode, domain, family, _ in M.ROUTES:
-        for b in bundles:
-            if M.bundle_problem(b, expected_mode, domain, family, innings) is None:
-                out[format_, mode, innings] = b
-    return out
+def serving(spark: SparkSession, bundles: Sequence[M.Bundle]) -> dict[tuple, M.Bundle]:
+    """Route key -> the bundle that may serve it, the last of several; others serve nothing."""
+    table = spark.createDataFrame(
+        [(*row, b.model is not None, n) for n, (b, row) in enumerate(zip(bundles, M.registry_values(bundles)))],
+        f"{M.REGISTRY}, fitted boolean, number int",
+    )
+    fits = M.route_fit(table).where(F.size("problems") == 0)
+    # Eight routes at most for each model.
+    rows = fits.select("match_format", "route_mode", "route_innings", "number").orderBy("number").collect()
+    return {(r.match_format, r.route_mode, r.route_innings): bundles[r.number] for r in rows}
 
 
 def score_requests(
@@ -160,7 +162,7 @@ def score_requests(
 
     Features are stored once, then each model scores only the rows routed to it.
     """
-    served = serving(bundles)
+    served = serving(requests.sparkSession, bundles)
     checked = M.with_route(validate(requests))
     can_serve = F.lit(False)
     for format_, mode, innings in served:

@@ -85,17 +85,25 @@ def test_router_folds_and_acceptance(spark, tmp_path):
         T.train_domain(df, mode="PRE_TOSS", domain="T20", features=["x"], train_end="2030-01-01", valid_end="2031-01-01", candidates=FAST[:1])
 
 
-def test_bundle_checks():
-    b = M.Bundle(M.ELO, ("d",), "PRE_TOSS", "T20I")
-    assert M.bundle_problem(b, "PRE_TOSS", "T20I", None, None) is None
-    assert "prediction_mode" in M.bundle_problem(b, "POST_TOSS", "T20I", None, None)
-    assert "domain" in M.bundle_problem(b, "PRE_TOSS", "T20", None, None)
-    assert "empty" in M.bundle_problem(M.Bundle(M.ELO, (), "PRE_TOSS", "T20I"), "PRE_TOSS", "T20I", None, None)
-    assert "estimator" in M.bundle_problem(M.Bundle(M.LOGISTIC, ("x",), "PRE_TOSS", "T20I"), "PRE_TOSS", "T20I", None, None)
-    live = M.Bundle(M.ELO, ("d",), M.LIVE_MODE, "LIVE", innings_number=1)
-    assert "innings" in M.bundle_problem(live, M.LIVE_MODE, "LIVE", None, 2)
-    roster = M.Bundle(M.ELO, ("d",), "PRE_TOSS", "T20I", feature_family=M.ROSTER_FAMILY)
-    assert "Roster" in M.bundle_problem(roster, "PRE_TOSS", "T20I", None, None)
+def test_models_that_fit_a_route(spark):
+    kinds = [
+        M.Bundle(M.ELO, ("d",), "PRE_TOSS", "T20I"),
+        M.Bundle(M.ELO, (), "PRE_TOSS", "T20I"),
+        M.Bundle(M.LOGISTIC, ("x",), "PRE_TOSS", "T20I"),
+        M.Bundle(M.ELO, ("d",), M.LIVE_MODE, "LIVE", innings_number=1),
+        M.Bundle(M.ELO, ("d",), "PRE_TOSS", "T20I", feature_family=M.ROSTER_FAMILY),
+        M.Bundle(M.ELO, ("d",), "PRE_TOSS", "T20", feature_family=M.ROSTER_FAMILY),
+    ]
+    table = spark.createDataFrame(
+        [(*row, False, n) for n, row in enumerate(M.registry_values(kinds))], f"{M.REGISTRY}, fitted boolean, number int"
+    )
+    got = {(r.number, r.match_format, r.route_innings): set(r.problems) for r in M.route_fit(table).collect()}
+    assert got[0, "T20I", None] == set() and got[0, "T20", None] == {"other_domain", "other_family"}
+    assert got[1, "T20I", None] == {"no_features"} and got[2, "T20I", None] == {"not_fitted"}
+    assert got[3, "T20", 1] == set() and got[3, "T20", 2] == {"other_innings"}
+    assert got[4, "T20I", None] == {"other_family"} and got[5, "T20", None] == set()
+    assert all(k[0] != 0 or k[2] is None for k in got)
+
 
 
 CONTESTS = "match_id string, date date, format string, gender string, venue string, team1 string, team2 string, winner string, result_type string, team1_players array<string>, team2_players array<string>"
