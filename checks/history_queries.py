@@ -8,7 +8,7 @@ from checks import views as V
 from tallyline.operators import contests as C
 from tallyline.operators import participants as P
 from tallyline.operators.elo import contest_scores, elo_after, elo_before
-from tallyline.plans.features import prematch_features, team_history
+from tallyline.plans.features import HISTORY, prematch_features, team_history
 
 QUERIES, SQL = {}, {}
 
@@ -364,9 +364,7 @@ query("player_form_split_keys", PLAYER_SQL)(
 )
 
 
-@query(
-    "lineup_snapshot",
-    f"""
+LINEUP_SQL = f"""
 WITH {V.CONTESTS}, {V.SPELLS}, {V.LINEUPS}, {PLAYER_CUM}, {CURRENT_PROBE}, {PLAYER_STATE}
 SELECT match_id, side, count(batting_average) AS xi_batters_with_history,
   round(avg(batting_average), 6) AS xi_mean_batting_average,
@@ -375,8 +373,10 @@ SELECT match_id, side, count(batting_average) AS xi_batters_with_history,
   round(avg(bowling_economy), 6) AS xi_mean_bowling_economy,
   round(avg(recent_wickets), 6) AS xi_mean_recent_wickets
 FROM state GROUP BY match_id, side
-""",
-)
+"""
+
+
+@query("lineup_snapshot", LINEUP_SQL)
 def lineup_snapshot(spark, sf):
     return P.lineup_snapshot(_current_state(spark, sf)).select(
         "match_id", "side", "xi_batters_with_history", "xi_bowlers_with_history",
@@ -530,22 +530,47 @@ def bowling_spells(spark, sf):
     return P.bowling_spells(d)
 
 
-@query(
-    "prematch_features",
-    f"""
-WITH {V.CONTESTS}
-SELECT format, mode AS prediction_mode, count(*) AS n, sum(won) AS wins,
-  count(*) FILTER (WHERE mode = 'POST_TOSS' AND toss_winner = team) AS won_toss
-FROM flagged CROSS JOIN (VALUES ('PRE_TOSS'), ('POST_TOSS')) m(mode)
-WHERE result_type = 'win' GROUP BY format, mode
-""",
+PREMATCH_SQL = f"""
+WITH {V.CONTESTS}, {V.LINEUPS},
+form AS ({FORM_SQL}),
+meetings AS ({H2H_SQL}),
+at_ground AS ({VENUE_SQL}),
+ground AS ({VENUE_RECORD_SQL}),
+rated AS ({_elo_sql("SELECT match_id, elo1, elo2 FROM fold WHERE k > 0")}),
+snapshot AS ({LINEUP_SQL}),
+sides AS (
+  SELECT f.match_id, f.date, f.format, f.competition, f.venue, f.gender, f.side, f.team, f.opponent, f.won AS team_win, f.toss_winner,
+    CASE WHEN f.side = 1 THEN elo1 ELSE elo2 END AS own, CASE WHEN f.side = 1 THEN elo2 ELSE elo1 END AS other
+  FROM flagged f JOIN rated USING (match_id) WHERE f.result_type = 'win'
 )
-def prematch_summary(spark, sf):
-    """The whole feature build with ratings and lineups, summed up per format and mode."""
+SELECT s.match_id, CAST(s.date AS VARCHAR) AS date, s.format, s.competition, s.venue, s.gender, s.team, s.opponent, s.team_win,
+  mode AS prediction_mode, mode = 'POST_TOSS' AND s.toss_winner = s.team AS team_won_toss,
+  f.* EXCLUDE (match_id, team), m.* EXCLUDE (match_id, team), v.* EXCLUDE (match_id, team), g.* EXCLUDE (match_id),
+  round(own, 6) AS team_elo_before, round(other, 6) AS opponent_elo_before, round(own - other, 6) AS elo_difference,
+  CASE WHEN l.xi IS NOT NULL THEN 'LINEUP_KNOWN' ELSE 'LINEUP_UNKNOWN' END AS lineup_status,
+  x.* EXCLUDE (match_id, side)
+FROM sides s CROSS JOIN (VALUES ('PRE_TOSS'), ('POST_TOSS')) k(mode)
+JOIN form f ON (f.match_id, f.team) = (s.match_id, s.team)
+JOIN meetings m ON (m.match_id, m.team) = (s.match_id, s.team)
+JOIN at_ground v ON (v.match_id, v.team) = (s.match_id, s.team)
+JOIN ground g ON g.match_id = s.match_id
+LEFT JOIN lineups l ON (l.match_id, l.side) = (s.match_id, s.side)
+LEFT JOIN snapshot x ON (x.match_id, x.side) = (s.match_id, s.side)
+"""
+
+
+@query("prematch_features", PREMATCH_SQL)
+def prematch_table(spark, sf):
+    """The whole feature build, every history column of every side and mode."""
     history = team_history(
         V.contests_with_lineups(spark, sf), *V.batting_and_bowling(spark, sf)
     )
-    return prematch_features(history).groupBy("format", "prediction_mode").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("team_win").alias("wins"),
-        F.count_if("team_won_toss").alias("won_toss"),
+    built = prematch_features(history)
+    facts = ["match_id", "format", "competition", "venue", "gender", "team", "opponent", "team_win", "prediction_mode"]
+    kinds = dict(built.dtypes)
+    return built.select(
+        *facts,
+        F.col("date").cast("string").alias("date"),
+        F.coalesce("team_won_toss", F.lit(False)).alias("team_won_toss"),
+        *[F.round(n, 6).alias(n) if kinds[n] == "double" else F.col(n) for n in HISTORY],
     )
