@@ -6,8 +6,9 @@ collision-corrected estimate drops the hopeless ones, full shingle sets decide t
 
 Candidates are never all pairs of a bucket. First every member meets one hub of its bucket.
 When linked members are one component, only members outside the largest component go on;
-they meet the others block by block, and the Jaccard distance, which is a metric, excludes
-those whose measured distance to the common hub differs by more than a link allows.
+they meet the others block by block. The Jaccard distance, which is a metric, excludes those
+whose measured distance to the common hub differs by more than a link allows; for the others
+what each set lacks of the hub's and has beside it gives their similarity exactly.
 """
 
 from __future__ import annotations
@@ -178,10 +179,56 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
     )
 
 
-def _outside(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components in a bucket that sketches and the distance to its hub allow.
+def _measure(stars: DataFrame, full: DataFrame) -> DataFrame:
+    """(id, hub, common, total, lost, extra): the full sets compared, and how a set differs from its hub's."""
 
-    `members`: band, id, component, n, registers, far (distance to the bucket's hub or null).
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common, total, lost, extra = [], [], [], []
+        for x, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+            lost.append(np.setdiff1d(h, x, assume_unique=True))
+            extra.append(np.setdiff1d(x, h, assume_unique=True))
+            common.append(len(h) - len(lost[-1]))
+            total.append(len(h) + len(extra[-1]))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64()),
+             pa.array([v.tobytes() for v in lost], pa.binary()), pa.array([v.tobytes() for v in extra], pa.binary())],
+            ["id", "hub", "common", "total", "lost", "extra"],
+        )
+
+    one = full.select("id", F.col("hashes").alias("x"))
+    two = full.select(F.col("id").alias("hub"), F.col("hashes").alias("h"))
+    pairs = stars.join(one, "id").join(two, "hub").select("id", "hub", "x", "h")
+    return mapped(pairs, run, "id long, hub long, common long, total long, lost binary, extra binary")
+
+
+class _Differences:
+    """How the sets of a batch's rows differ from their hub's; rows without that are unknown."""
+
+    def __init__(self, flat: pa.StructArray, n: np.ndarray) -> None:
+        raw = [flat.field(k).to_pylist() for k in ("lost", "extra")]
+        self.known = np.array([x is not None for x in raw[0]], bool)
+        self.sets = [[np.frombuffer(x or b"", np.uint64) for x in column] for column in raw]
+        self.sizes = [np.array([len(x) for x in column], np.int64) for column in self.sets]
+        self.hub = n + self.sizes[0] - self.sizes[1]
+
+    def common(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of a row's set with those of others of its hub."""
+        both = []
+        for sets, sizes in zip(self.sets, self.sizes):
+            owner = np.repeat(np.arange(len(others)), sizes[others])
+            flat = np.concatenate([sets[i] for i in others]) if len(others) else np.empty(0, np.uint64)
+            both.append(np.bincount(owner, np.isin(flat, sets[one]), len(others)).astype(np.int64))
+        lost, extra = both
+        return self.hub[one] - (self.sizes[0][one] + self.sizes[0][others] - lost) + extra
+
+
+def _outside(members: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """Links between components of a bucket, and pairs that may link: (a, b, sure).
+
+    `members`: band, id, component, hub; `facts`: id, hub, n, registers, far (the distance to
+    the hub), lost and extra, null where they were not measured. Of the sure links of a row
+    with one component, one is given.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -191,25 +238,30 @@ def _outside(members: DataFrame, threshold: float) -> DataFrame:
         asks, home = (flat.field(k).to_numpy(zero_copy_only=False).astype(bool) for k in ("asks", "home"))
         far = flat.field("far").to_numpy(zero_copy_only=False).astype(np.float64)
         regs = np.frombuffer(b"".join(flat.field("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        left, right = [], []
+        differ = _Differences(flat, n)
+        found: list[tuple[np.ndarray, np.ndarray, bool]] = []
         for lo, hi in zip(ends[:-1], ends[1:]):
-            q, t = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(home[lo:hi])
-            for k in range(0, len(q), 32):
-                some = q[k : k + 32]
-                gap = np.abs(far[some][:, None] - far[t][None, :])
-                small = np.minimum(n[some][:, None], n[t][None, :])
-                large = np.maximum(n[some][:, None], n[t][None, :])
-                ok = (comp[some][:, None] != comp[t][None, :]) & ~(gap > 1 - threshold + 1e-9)
-                ok &= small >= threshold * large - 1e-6
-                i, j = np.nonzero(ok)
-                for z in range(0, len(i), 8192):
-                    x, y = some[i[z : z + 8192]], t[j[z : z + 8192]]
-                    size = np.maximum(n[x], n[y])
-                    good = estimate((regs[x] == regs[y]).mean(axis=1), size) >= _floor(threshold, size)
-                    left.append(ids[x[good]])
-                    right.append(ids[y[good]])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            t = lo + np.flatnonzero(home[lo:hi])
+            for one in lo + np.flatnonzero(asks[lo:hi]):
+                ok = (comp[t] != comp[one]) & ~(np.abs(far[t] - far[one]) > 1 - threshold + 1e-9)
+                ok &= np.minimum(n[t], n[one]) >= threshold * np.maximum(n[t], n[one]) - 1e-6
+                others = t[ok]
+                size = np.maximum(n[others], n[one])
+                good = estimate((regs[others] == regs[one]).mean(axis=1), size) >= _floor(threshold, size)
+                others = others[good]
+                exact = others[differ.known[others]] if differ.known[one] else others[:0]
+                if len(exact):
+                    both = differ.common(one, exact)
+                    linked = exact[both >= threshold * (n[exact] + n[one] - both) - 1e-9]
+                    linked = linked[np.unique(comp[linked], return_index=True)[1]]
+                    found.append((np.full(len(linked), ids[one]), ids[linked], True))
+                open_ = others if not differ.known[one] else others[~differ.known[others]]
+                found.append((np.full(len(open_), ids[one]), ids[open_], False))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        sure = np.concatenate([np.full(len(f[0]), f[2]) for f in found]) if found else np.empty(0, bool)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"]
+        )
 
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("band").agg(
@@ -219,15 +271,16 @@ def _outside(members: DataFrame, threshold: float) -> DataFrame:
     )
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     asks = F.col("component") != F.col("main")
-    placed = members.join(main.where("parts > 1"), "band").select(
-        "band", "id", "component", "n", "registers", "far", asks.alias("asks"), own.alias("own"), "blocks"
+    # Sketches and sets join the members of mixed buckets only.
+    placed = members.join(main.where("parts > 1"), "band").join(facts, ["id", "hub"]).select(
+        "band", "id", "component", "n", "registers", "far", "lost", "extra", asks.alias("asks"), own.alias("own"), "blocks"
     )
     everywhere = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
     dealt = placed.withColumn("block", F.explode(everywhere)).withColumn("home", F.col("block") == F.col("own"))
     grouped = dealt.groupBy("band", "block").agg(
-        F.collect_list(F.struct("id", "component", "n", "registers", "far", "asks", "home")).alias("rows")
+        F.collect_list(F.struct("id", "component", "n", "registers", "far", "lost", "extra", "asks", "home")).alias("rows")
     )
-    return mapped(grouped.select("rows"), run, "a long, b long").distinct()
+    return mapped(grouped.select("rows"), run, "a long, b long, sure boolean").distinct()
 
 
 def duplicate_classes(
@@ -271,29 +324,25 @@ def duplicate_classes(
         .where(F.length("hashes") > 0)
         .dropDuplicates()
     )
-    stars = (
-        members.join(hubs, "band")
-        .where("id != hub")
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        .distinct()
+    met = members.join(hubs, "band")
+    stars = met.where("id != hub").select("id", "hub").distinct()
+    hopeful = _hopeful(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), sets, threshold)
+    measured = staged(_measure(hopeful.select(F.col("a").alias("id"), F.col("b").alias("hub")), full))
+    enough = F.col("common") >= threshold * F.col("total") - 1e-9
+    first = staged(components(measured.where(enough), "id", "hub"))
+    # A hub differs from itself in nothing.
+    itself = hubs.select(F.col("hub").alias("id"), "hub").distinct().select(
+        "id", "hub", F.lit(0.0).alias("far"), F.lit(b"").alias("lost"), F.lit(b"").alias("extra")
     )
-    measured = staged(_verify(_hopeful(stars, sets, threshold), full))
-    links = measured.where(F.col("common") >= threshold * F.col("total") - 1e-9).select("a", "b")
-    first = staged(components(links))
-    far = measured.select("a", "b", (1 - F.col("common") / F.col("total")).alias("far"))
-    placed = (
-        members.join(hubs, "band")
-        .join(first, "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
-        .withColumn("a", F.least("id", "hub"))
-        .withColumn("b", F.greatest("id", "hub"))
-        .join(far, ["a", "b"], "left")
-        .withColumn("far", F.when(F.col("id") == F.col("hub"), 0.0).otherwise(F.col("far")))
-        .join(sets.select("id", "n", "registers"), "id")
-        .select("band", "id", "component", "n", "registers", "far")
+    differ = measured.select("id", "hub", (1 - F.col("common") / F.col("total")).alias("far"), "lost", "extra").unionByName(itself)
+    facts = (
+        met.select("id", "hub").distinct().join(differ, ["id", "hub"], "left").join(sets.select("id", "n", "registers"), "id")
     )
-    rest = _outside(placed, threshold).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-    second = _verify(rest, full).where(F.col("common") >= threshold * F.col("total") - 1e-9).select("a", "b")
+    placed = met.join(first, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), "hub")
+    outside = staged(_outside(placed, facts, threshold))
+    known = measured.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    rest = outside.where(~F.col("sure")).select("a", "b").join(known, ["a", "b"], "left_anti")
+    second = _verify(rest, full).where(enough).select("a", "b").unionByName(outside.where("sure").select("a", "b"))
     # Copies with equal sets, and texts that share an id, hang on the smallest id of their set.
     copies = sk.join(sets.select("set_hash", F.col("id").alias("rep")), "set_hash").select("doc_id", "rep").distinct()
     shared_ids = copies.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
