@@ -23,6 +23,22 @@ NO_VENUE = "No venue supplied; venue-specific features are unavailable."
 XI_NOT_SUPPLIED = (
     "Both playing XIs were not supplied; XI-strength features may be partially or fully unavailable."
 )
+EDGE_NONE = "probability is close to 50%"
+EDGE_SLIGHT = "probability edge is only slight"
+EDGE_MODERATE = "probability edge is moderate"
+EDGE_STRONG = "probability edge is strong"
+NEARLY_DECIDED = "terminal live state is nearly decided"
+STILL_EARLY = "first innings is still early"
+USES_STATE = "live model can use current match state"
+T20I_STRONGER = "T20I models have stronger historical discrimination"
+DOMAIN_UNKNOWN = "unsupported domain defaults to low confidence"
+SAMPLE_SPARSE = "historical sample is sparse"
+SAMPLE_MODEST = "historical sample is modest"
+SAMPLE_USABLE = "both teams have usable historical depth"
+PREVIOUS_XI_GAP = "previous-XI history is missing or incomplete"
+CURRENT_XI_GAP = "current playing XI is incomplete"
+VENUE_GAP = "venue is unknown"
+FILES_GAP = "some historical files failed to parse"
 # ----------------------------------------------------------------------------
 
 LOW, MEDIUM, HIGH = 0, 1, 2
@@ -66,39 +82,39 @@ def assess(
     pre = t20 & (upper == "PRE_TOSS")
     separation = _first_rule(
         [
-            (p < 0.55, LOW, "probability is close to 50%"),
-            (p < 0.62, MEDIUM, "probability edge is only slight"),
-            (p < 0.72, MEDIUM, "probability edge is moderate"),
-            (None, HIGH, "probability edge is strong"),
+            (p < 0.55, LOW, EDGE_NONE),
+            (p < 0.62, MEDIUM, EDGE_SLIGHT),
+            (p < 0.72, MEDIUM, EDGE_MODERATE),
+            (None, HIGH, EDGE_STRONG),
         ]
     )
     early = (innings == 1) & (F.coalesce(balls, F.lit(0)) < 12)
     domain = _first_rule(
         [
-            (live & _is(terminal, True) & (p >= 0.95), HIGH, "terminal live state is nearly decided"),
-            (live & early, MEDIUM, "first innings is still early"),
-            (live, HIGH, "live model can use current match state"),
-            (format_ == "T20I", HIGH, "T20I models have stronger historical discrimination"),
+            (live & _is(terminal, True) & (p >= 0.95), HIGH, NEARLY_DECIDED),
+            (live & early, MEDIUM, STILL_EARLY),
+            (live, HIGH, USES_STATE),
+            (format_ == "T20I", HIGH, T20I_STRONGER),
             (pre & (p < 0.62), LOW, LIMITED_PRE),
             (pre, MEDIUM, LIMITED_PRE),
             (t20, MEDIUM, LIMITED_POST),
-            (None, LOW, "unsupported domain defaults to low confidence"),
+            (None, LOW, DOMAIN_UNKNOWN),
         ]
     )
     sample = F.least(history1, history2)
     depth = _first_rule(
         [
-            (sample < 5, LOW, "historical sample is sparse"),
-            (sample < 15, MEDIUM, "historical sample is modest"),
-            (None, HIGH, "both teams have usable historical depth"),
+            (sample < 5, LOW, SAMPLE_SPARSE),
+            (sample < 15, MEDIUM, SAMPLE_MODEST),
+            (None, HIGH, SAMPLE_USABLE),
         ]
     )
     after_toss = upper.isin("POST_TOSS", "LIVE")
     gaps = [
-        (_is(previous_xi_complete, False), LOW, "previous-XI history is missing or incomplete"),
-        (_is(lineup_complete, False) & after_toss, MEDIUM, "current playing XI is incomplete"),
-        (~venue_known & ~live, MEDIUM, "venue is unknown"),
-        (F.coalesce(parse_errors, F.lit(0)) != 0, MEDIUM, "some historical files failed to parse"),
+        (_is(previous_xi_complete, False), LOW, PREVIOUS_XI_GAP),
+        (_is(lineup_complete, False) & after_toss, MEDIUM, CURRENT_XI_GAP),
+        (~venue_known & ~live, MEDIUM, VENUE_GAP),
+        (F.coalesce(parse_errors, F.lit(0)) != 0, MEDIUM, FILES_GAP),
     ]
     ceilings = [F.when(c, level).otherwise(HIGH) for c, level, _ in gaps]
     rank = F.least(separation[0], domain[0], depth[0], *ceilings)

@@ -18,6 +18,21 @@ from tallyline.functions.text import (
 HUNDRED_REFUSED = (
     "The Hundred is not a T20 format and is not supported by the production prediction router."
 )
+MODE_UNKNOWN = "Unsupported prediction mode. Allowed: PRE_TOSS, POST_TOSS, LIVE."
+SAME_TEAMS = "team1 and team2 must be different"
+TOSS_MISSING = "POST_TOSS predictions require toss_winner and toss_decision."
+TOSS_WINNER_OTHER = "toss_winner must be one of team1/team2"
+TOSS_DECISION_OTHER = "toss_decision must be bat, field, or bowl"
+BATTING_MISSING = "LIVE predictions require batting_team."
+INNINGS_MISSING = "LIVE predictions require innings_number 1 or 2."
+STATE_MISSING = "LIVE predictions require runs, wickets, and legal_balls."
+RUNS_NEGATIVE = "runs cannot be negative"
+WICKETS_RANGE = "wickets must be between 0 and 10"
+BALLS_NEGATIVE = "legal_balls cannot be negative"
+TARGET_MISSING = "A positive target is required for innings 2"
+TARGET_EARLY = "target must be omitted for innings 1"
+BATTING_OTHER = "batting_team must be team1 or team2"
+ROUTED_ONLY = "'. Production routing supports T20I and T20 only."
 # ----------------------------------------------------------------------------
 
 
@@ -37,7 +52,7 @@ def format_reject_reason(value: Column, competition: Column) -> Column:
         .when(
             label.isNull(),
             F.concat(F.lit("Unsupported format '"), F.coalesce(value, F.lit("")),
-                     F.lit("'. Production routing supports T20I and T20 only.")),
+                     F.lit(ROUTED_ONLY)),
         )
         .when(
             ~label.isin("T20I", "T20"),
@@ -85,28 +100,28 @@ def validate(requests: DataFrame) -> DataFrame:
         return F.when(condition, text)
 
     reasons = [
-        rule(c("prediction_mode").isNull(), "Unsupported prediction mode. Allowed: PRE_TOSS, POST_TOSS, LIVE."),
+        rule(c("prediction_mode").isNull(), MODE_UNKNOWN),
         format_reject_reason(c("format"), c("competition")),
-        rule(F.lower("team1_name") == F.lower("team2_name"), "team1 and team2 must be different"),
-        rule(post & ~toss_given, "POST_TOSS predictions require toss_winner and toss_decision."),
+        rule(F.lower("team1_name") == F.lower("team2_name"), SAME_TEAMS),
+        rule(post & ~toss_given, TOSS_MISSING),
         rule(post & toss_given & (toss_team != c("team1_name")) & (toss_team != c("team2_name")),
-             "toss_winner must be one of team1/team2"),
+             TOSS_WINNER_OTHER),
         rule(post & toss_given & ~decision.isin("bat", "field", "bowl"),
-             "toss_decision must be bat, field, or bowl"),
-        rule(live & c("batting_team").isNull(), "LIVE predictions require batting_team."),
+             TOSS_DECISION_OTHER),
+        rule(live & c("batting_team").isNull(), BATTING_MISSING),
         rule(live & ~F.coalesce(c("innings").isin(1, 2), F.lit(False)),
-             "LIVE predictions require innings_number 1 or 2."),
+             INNINGS_MISSING),
         rule(live & (c("runs").isNull() | c("wickets").isNull() | no_balls),
-             "LIVE predictions require runs, wickets, and legal_balls."),
+             STATE_MISSING),
         F.when(live & c("overs").isNotNull(), overs_reject_reason(c("overs"))),
-        rule(live & (c("runs") < 0), "runs cannot be negative"),
-        rule(live & ~c("wickets").between(0, 10), "wickets must be between 0 and 10"),
-        rule(live & (c("legal_balls") < 0), "legal_balls cannot be negative"),
+        rule(live & (c("runs") < 0), RUNS_NEGATIVE),
+        rule(live & ~c("wickets").between(0, 10), WICKETS_RANGE),
+        rule(live & (c("legal_balls") < 0), BALLS_NEGATIVE),
         rule(live & (c("innings") == 2) & (c("target").isNull() | (c("target") <= 0)),
-             "A positive target is required for innings 2"),
+             TARGET_MISSING),
         rule(live & (c("innings") == 1) & c("target").isNotNull(),
-             "target must be omitted for innings 1"),
+             TARGET_EARLY),
         rule(live & c("batting_team").isNotNull() & (c("batting_name") != c("team1_name"))
-             & (c("batting_name") != c("team2_name")), "batting_team must be team1 or team2"),
+             & (c("batting_name") != c("team2_name")), BATTING_OTHER),
     ]
     return staged.select("*", F.array_compact(F.array(*reasons)).alias("reject_reasons"))

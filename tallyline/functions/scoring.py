@@ -14,6 +14,10 @@ from tallyline.functions.text import LIMITED_OVERS, UNLIMITED_OVERS, lookup
 # --- Fixed values -----------------------------------------------------------
 WICKETS_AVAILABLE = 10
 DEFAULT_LIMITS = {"T20": "120", "T20I": "120", "T10": "60", "ODI": "300", "LIST_A": "300"}
+TARGET_REACHED = "target reached"
+ALL_OUT = "all out before target"
+SCORES_TIED = "regulation scores tied; super-over outcome not modeled"
+BALLS_SPENT = "balls exhausted before target"
 # ----------------------------------------------------------------------------
 
 
@@ -144,10 +148,10 @@ def terminal_chase(
     level = spent & (runs == target - 1)
     p = F.when(reached, 1.0).when(out, 0.0).when(level, 0.5).when(spent, 0.0)
     why = (
-        F.when(reached, "target reached")
-        .when(out, "all out before target")
-        .when(level, "regulation scores tied; super-over outcome not modeled")
-        .when(spent, "balls exhausted before target")
+        F.when(reached, TARGET_REACHED)
+        .when(out, ALL_OUT)
+        .when(level, SCORES_TIED)
+        .when(spent, BALLS_SPENT)
     )
     return p, why
 

@@ -56,16 +56,18 @@ COMPETITION_MARKERS = (
     ("syed mushtaq ali trophy", "SMAT"),
     ("the hundred", "The Hundred"),
 )
-HUNDRED_WARNING = (
-    "The Hundred is excluded from the T20 live model because its feed reports balls, not overs."
-)
-OUTSIDE_WARNING = "A domestic T20 outside the original training league; historical coverage may be weak."
 RAIN_WARNING = (
     "Possible rain/DLS-adjusted chase detected but currentMatches did not provide a reliable target."
 )
 FULL_INNINGS = 120
 # ----------------------------------------------------------------------------
+# Innings of the formats that are scored: the first two entries count.
 MAX_SCORES = 2
+# Our own wording.
+HUNDRED_WARNING = (
+    "The Hundred is excluded from the T20 live model because its feed reports balls, not overs."
+)
+OUTSIDE_WARNING = "A domestic T20 outside the original training league; historical coverage may be weak."
 
 
 def feed_format(match_type: Column, name: Column, strict: bool = False) -> Column:

@@ -23,7 +23,8 @@ from tallyline.plans.models import Bundle, probability
 from tallyline.sources import feed as L
 from tallyline.sources.tables import exists
 
-IDLE_MS = 24 * 3600 * 1000
+# Default of how long an innings may rest before its counters are forgotten: longer than any match.
+IDLE_MS = 14 * 24 * 3600 * 1000
 STATE = "runs long, wickets long, legal_balls long, last_seq long"
 OUTPUT = (
     "match_id string, innings int, seq long, ts timestamp, batting_team string, runs long, wickets long, "
@@ -31,7 +32,9 @@ OUTPUT = (
 )
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = IDLE_MS
+) -> Iterator[pd.DataFrame]:
     """Add one micro-batch of a (match, innings) to its counters.
 
     Deliveries are taken in ``seq`` order inside the micro-batch. One that comes
@@ -60,18 +63,24 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     )
     state.update((runs, wickets, balls, last))
     newest = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + IDLE_MS)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
     result = pd.concat([out, late], ignore_index=True)
     result.insert(0, "match_id", key[0])
     result.insert(1, "innings", key[1])
     yield result
 
 
-def running_score(deliveries: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def running_score(deliveries: DataFrame, delay: str = "10 minutes", idle_ms: int = IDLE_MS) -> DataFrame:
     """Score after each delivery of a stream; ``late`` marks deliveries left out.
 
-    The watermark only decides when a finished innings is forgotten.
+    The watermark only decides when a finished innings is forgotten: ``idle_ms`` after its
+    last delivery. Choose it longer than the longest break, since an innings that goes on
+    after it starts again at nothing.
     """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _advance(key, batches, state, idle_ms)
+
     narrow = deliveries.select(
         F.col("match_id").cast("string").alias("match_id"), F.col("innings").cast("int").alias("innings"),
         F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "batting_team",
@@ -80,7 +89,7 @@ def running_score(deliveries: DataFrame, delay: str = "10 minutes") -> DataFrame
     return (
         narrow.withWatermark("ts", delay)
         .groupBy("match_id", "innings")
-        .applyInPandasWithState(_advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
