@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Sequence
 
 import numpy as np
 
-# A text with other white space than single inner blanks and line ends is encoded in one piece.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|\x1f|\s\Z")
-# Encoded pieces kept by a worker before it starts afresh.
-CACHE_ENTRIES = 600_000
+# A text with any of these is encoded in one piece: runs of white space, white space other
+# than blanks and line ends, and the two marks that keys begin with.
+_IRREGULAR = ("  ", "\n\n", " \n", "\n ", "\x00", "\x01", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f",
+              "\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　")
+# Encoded pieces after which a worker sets its memory aside; of that, what is used again is kept.
+CACHE_ENTRIES = 150_000
+# Words that are handed to the tokenizer as one string.
+JOINED = 128
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -21,6 +25,10 @@ class Encoder:
     A pre-tokenizer of the byte-level kind starts a new word at a blank or line end that
     stands between two visible characters, so such pieces are encoded alone with the same
     ids. A pre-tokenizer that drops white space (`drops_space`) allows a cut at every one.
+    Both kinds also part a run of letters from the punctuation behind it.
+
+    A key of `known` is a word that a blank precedes; a line end and the word behind it; or,
+    behind the mark \\x00 or \\x01, a text as it stands.
     """
 
     def __init__(self, path: str, drops_space: bool) -> None:
@@ -29,27 +37,89 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
-        self.known: dict[str, bytes] = {"": b""}
+        self.known, self.older = dict(self._blank()), {}
+        # Tokens at which a word begins (byte-level) or ends (with word ends).
+        self.edges = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edges[i] = token.endswith("</w>") if drops_space else token[:1] == "Ġ" or token == "Ċ"
+
+    def _blank(self) -> dict[str, bytes]:
+        return {"": b"", "\x00": b"", "\x01": b""} if self.drops_space else {"\x00": b"", "\x01": b""}
 
-    def pieces(self, text: str) -> list[str]:
+    def keys(self, text: str) -> list[str]:
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if _IRREGULAR.search(text):
-            return [text]
-        return text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
+            # The one letter that grows when it is lower-cased moves the tokenizer's cuts.
+            return ["\x01" + text] if "İ" in text or "\x00" in text or "\x01" in text else text.replace("\n", " ").split(" ")
+        if text[-1:] in (" ", "\n") or text[:1] == "\n" or any(c in text for c in _IRREGULAR):
+            return ["\x01" + text]
+        found = text.split(" ")
+        found[0] = "\x00" + found[0]
+        return found
+
+    def _text(self, key: str) -> str:
+        if key[0] in "\x00\x01":
+            return key[1:]
+        return key if self.drops_space or key[0] == "\n" else " " + key
+
+    def _learn(self, keys: list[str]) -> None:
+        """Put the ids of new keys into `known`."""
+        known, whole, words, others = self.known, [], {}, {}
+        for key in keys:
+            if key[0] != "\x01" and "\n" in key:
+                first, *lines = key.split("\n")
+                parts = [first, *["\n" + x for x in lines]] if first else [key]
+            else:
+                parts = [key]
+            found = []
+            for part in parts:
+                word = part.rstrip(string.punctuation) if part[0] != "\x01" else ""
+                if word and word[-1].isalpha() and len(word) < len(part):
+                    found += [word, "\x00" + part[len(word) :]]
+                else:
+                    found.append(part)
+            if len(found) > 1:
+                whole.append((key, found))
+            for part in found:
+                if part not in known:
+                    letters = part[1:] if part[0] == "\n" else part
+                    (words if letters.isalpha() else others)[part] = None
+        words = list(words)
+        for i in range(0, len(words), JOINED * 64):
+            groups = [words[k : k + JOINED] for k in range(i, min(i + JOINED * 64, len(words)), JOINED)]
+            texts = [(" " if self.drops_space else "").join(map(self._text, group)) for group in groups]
+            for group, coded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(coded.ids, np.uint32)
+                at = np.flatnonzero(self.edges[ids])
+                if len(at) != len(group):  # a word that is no single run of letters once it is normalised
+                    others.update(dict.fromkeys(group))
+                    continue
+                cuts = ([0, *(at[:-1] + 1).tolist()] if self.drops_space else at.tolist()) + [len(ids)]
+                raw = ids.tobytes()
+                for word, lo, hi in zip(group, cuts, cuts[1:]):
+                    known[word] = raw[4 * lo : 4 * hi]
+        others = list(others)
+        for i in range(0, len(others), 4096):
+            part = others[i : i + 4096]
+            texts = list(map(self._text, part))
+            for key, coded in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                known[key] = np.array(coded.ids, np.uint32).tobytes()
+        for key, found in whole:
+            known[key] = b"".join(map(known.__getitem__, found))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids of each text as uint32; null counts as empty."""
         known = self.known
-        cut = [self.pieces(t or "") for t in texts]
-        fresh = list({p for pieces in cut for p in pieces if p not in known})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for piece, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(coded.ids, np.uint32).tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32) for pieces in cut]
+        cut = [self.keys(t or "") for t in texts]
+        fresh = set().union(*cut).difference(known)
+        if self.older:
+            again = fresh.intersection(self.older)
+            known.update(zip(again, map(self.older.__getitem__, again)))
+            fresh -= again
+        if fresh:
+            self._learn(list(fresh))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, keys)), np.uint32) for keys in cut]
         if len(known) > CACHE_ENTRIES:
-            self.known = {"": b""}
+            self.known, self.older = dict(self._blank()), known
         return out
 
 
