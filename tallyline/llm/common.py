@@ -29,14 +29,21 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
+# Rows that `mapped` hands to a function at once; their Python objects bound a worker's memory.
+SLICE_ROWS = 1_000
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`fn` over every Arrow batch of `df`."""
+    """`fn` over every Arrow batch of `df`, in slices."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                out = fn(batch.slice(k, SLICE_ROWS))
+                if out is not None:
+                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        # Workers live on for other tasks; what this one needed goes back.
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -33,7 +33,7 @@ SLACK = 4.5
 # Members of a bucket that one task compares with those sent to it.
 BLOCK = 512
 # Hashed words that a worker keeps before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 _K = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ORDER = np.argsort(

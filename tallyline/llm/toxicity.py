@@ -30,7 +30,7 @@ SCORE_FOLD, SCORE_ROWS = 4, 50_000
 # N-grams in the model that is sent to the executors, 24 bytes each; of more, the rarest go by a count cut-off.
 MODEL_ENTRIES = 4_000_000
 # Scored words that a worker keeps before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 _drop = np.array([0, 0, *[(1 << 8 * k) - 1 for k in range(1, 9)]], np.uint64)
 
