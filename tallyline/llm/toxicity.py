@@ -112,6 +112,11 @@ class Models:
         self.ratio = (logs[1] - logs[0]).astype(np.float32)
         # For an n-gram never seen the shared model cancels out.
         self.unseen = (left[1] - left[0]).astype(np.float32)
+        # Evidence of words that a worker has scored; it goes with the model and is not sent.
+        self.scored: dict[bytes, float] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"scored": {}}
 
     def _shared(self) -> np.ndarray:
         """Of each n-gram, the shared model's likelihood of its last byte behind the shorter history."""
@@ -150,12 +155,9 @@ class Models:
         return np.bincount(word, total, minlength=len(words))
 
 
-_scored: dict[int, dict[bytes, float]] = {}
-
-
 def signals(texts: list[str | None], models: Models) -> np.ndarray:
     """Of each text: evidence by word, in the strongest stretch, of the strongest words, and its length."""
-    known = _scored.setdefault(id(models), {})
+    known = models.scored
     split = [_words(t) for t in texts]
     fresh = list({w for words in split for w in words if w not in known})
     for k in range(0, len(fresh), 65_536):

@@ -1,6 +1,7 @@
 """Results against plain versions on small inputs, exact round trips and held-out accuracy."""
 
 import itertools
+import pickle
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -239,3 +240,12 @@ def test_held_out_accuracy(spark, kind, score, least):
     assert (right[0, 0] + right[1, 1]) / len(held) > least
     clean = 0 if kind == "toxic" else 1
     assert right[clean, clean] / (right[clean, 0] + right[clean, 1]) > 0.97
+
+
+def test_word_memory_belongs_to_its_model():
+    keys, n = np.unique(toxicity.ngrams([b"abba", b"abc"])[0], return_counts=True)
+    models = toxicity.Models(keys, n, n[::-1].copy())
+    toxicity.signals(["abba abc"], models)
+    assert set(models.scored) == {b"abba", b"abc"}
+    sent = pickle.loads(pickle.dumps(models))
+    assert sent.scored == {} and (sent.evidence([b"abc"]) == models.evidence([b"abc"])).all()
