@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import ALNUM_WORDS, mapped, utf8
+from tallyline.llm.common import ALNUM_WORDS, mapped, ragged, row_ids, utf8
 from tallyline.llm.labelled import fit_logistic, fold, predict_logistic, training_labels, with_labels
 from tallyline.session import staged
 
@@ -27,8 +27,10 @@ DISCOUNT = 0.75
 STRETCH = 16
 # Fold of training rows that fits the logistic score, and how many rows it uses at most.
 SCORE_FOLD, SCORE_ROWS = 4, 50_000
-# N-grams in the model that is sent to the executors, 24 bytes each; of more, the rarest go by a count cut-off.
+# N-grams up to which a model is sent to the executors, 24 bytes each; a larger one stays a table that words are joined with.
 MODEL_ENTRIES = 4_000_000
+# Texts whose words are listed at once when they are joined with their evidence.
+LISTED_TEXTS = 64
 # Scored words that a worker keeps before it starts afresh.
 CACHE_WORDS = 250_000
 
@@ -92,6 +94,16 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
 
 
+def _rest(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """What a class leaves to the shared model behind a history."""
+    return np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+
+
+def _own(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A class's own share of an n-gram seen `n` times."""
+    return np.where(total > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1), 0.0)
+
+
 class Models:
     """Log likelihood ratios of n-grams, from the counts of both classes."""
 
@@ -105,9 +117,8 @@ class Models:
         for n in counts:
             total = np.add.reduceat(n, start) if len(start) else n
             kinds = np.add.reduceat((n > 0).astype(np.int64), start) if len(start) else n
-            rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            own = np.where(total[spread] > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[spread], 0.0)
-            logs.append(np.log(own + rest[spread] * shared))
+            rest = _rest(total, kinds)
+            logs.append(np.log(_own(n, total[spread]) + rest[spread] * shared))
             left.append(np.log(rest))
         self.ratio = (logs[1] - logs[0]).astype(np.float32)
         # For an n-gram never seen the shared model cancels out.
@@ -155,6 +166,12 @@ class Models:
         return np.bincount(word, total, minlength=len(words))
 
 
+def _summary(e: np.ndarray) -> tuple[float, ...]:
+    sums = np.concatenate(([0.0], np.cumsum(e)))
+    size = min(len(e), STRETCH)
+    return e.mean(), (sums[size:] - sums[:-size]).max() / size, np.sort(e)[-3:].mean(), np.log1p(len(e))
+
+
 def signals(texts: list[str | None], models: Models) -> np.ndarray:
     """Of each text: evidence by word, in the strongest stretch, of the strongest words, and its length."""
     known = models.scored
@@ -165,17 +182,159 @@ def signals(texts: list[str | None], models: Models) -> np.ndarray:
         known.update(zip(part, models.evidence(part).tolist()))
     out = np.zeros((len(texts), 4))
     for i, words in enumerate(split):
-        n = len(words)
-        if n:
-            e = np.fromiter(map(known.__getitem__, words), np.float64, n)
-            sums = np.concatenate(([0.0], np.cumsum(e)))
-            size = min(n, STRETCH)
-            out[i] = e.mean(), (sums[size:] - sums[:-size]).max() / size, np.sort(e)[-3:].mean(), np.log1p(n)
+        if words:
+            out[i] = _summary(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
     if len(known) > CACHE_WORDS:
         known.clear()
     return out
 
 
+def _size(key: Column) -> Column:
+    out = F.lit(ORDER)
+    for k in range(ORDER - 1, 0, -1):
+        out = F.when(key < 1 << 8 * k, k).otherwise(out)
+    return out
+
+
+def _short(key: Column, size: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1))
+
+
+def _shared_table(keys: DataFrame) -> DataFrame:
+    """(short, shared): the shared model's likelihoods, as in `Models`, of all n-grams below full order."""
+    sets: dict[int, DataFrame] = {}
+    for k in range(ORDER, 1, -1):
+        # N-grams below full order begin with a blank, those got by dropping a byte do not; so none is twice in the union.
+        longer = keys.where(_size(F.col("key")) == k)
+        longer = longer.unionByName(sets[k].select("key")) if k in sets else longer
+        sets[k - 1] = staged(longer.groupBy(_short(F.col("key"), k).alias("key")).agg(F.count("*").alias("n")))
+    levels: list[DataFrame] = []
+    for k in range(1, ORDER):
+        grams = sets[k].withColumn("head", F.shiftright("key", 8))
+        heads = grams.groupBy("head").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        grams = grams.join(heads, "head")
+        if levels:
+            grams = grams.withColumn("short", _short(F.col("key"), k)).join(levels[-1], "short")
+        else:
+            grams = grams.withColumn("shared", F.lit(1 / 256))
+        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + F.lit(DISCOUNT) * F.col("kinds") * F.col("shared")) / F.col("total")
+        levels.append(staged(grams.select(F.col("key").alias("short"), p.alias("shared"))))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _model_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, ratio) and (head, unseen): the values of `Models` from counts (key, ordinary, toxic) of any number."""
+
+    def ratios(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, total, kinds = ([batch.column(k + c).to_numpy() for c in (0, 1)] for k in (1, 3, 5))
+        shared = batch.column(7).to_numpy()
+        logs = [np.log(_own(n[c], total[c]) + _rest(total[c], kinds[c]) * shared) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array((logs[1] - logs[0]).astype(np.float32))], ["key", "ratio"])
+
+    def unseens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        total, kinds = ([batch.column(k + c).to_numpy() for c in (0, 1)] for k in (1, 3))
+        left = [np.log(_rest(total[c], kinds[c])) for c in (0, 1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array((left[1] - left[0]).astype(np.float32))], ["head", "unseen"])
+
+    names = ("ordinary", "toxic")
+    short = F.col("key")
+    for k in range(2, ORDER + 1):
+        short = F.when(_size(F.col("key")) == k, _short(F.col("key"), k)).otherwise(short)
+    rows = counts.select("key", *names, F.shiftright("key", 8).alias("head"), short.alias("short"))
+    of_head = [f"{n}_{what}" for what in ("total", "kinds") for n in names]
+    heads = staged(
+        rows.groupBy("head").agg(
+            *[F.sum(n).alias(f"{n}_total") for n in names], *[F.sum((F.col(n) > 0).cast("long")).alias(f"{n}_kinds") for n in names]
+        )
+    )
+    full = rows.join(heads, "head").join(_shared_table(counts.select("key")), "short")
+    return (
+        staged(mapped(full.select("key", *names, *of_head, "shared"), ratios, "key long, ratio float")),
+        staged(mapped(heads.select("head", *of_head), unseens, "head long, unseen float")),
+    )
+
+
+def _word_evidence(words: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(word, e): what `Models.evidence` gives for each of the distinct `words`."""
+
+    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, word = ngrams(batch.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(word)), pa.array(np.arange(len(keys))), pa.array(keys.view(np.int64))],
+            ["word", "at", "key"],
+        )
+
+    ratio, unseen = tables
+    rows = mapped(words, grams, "word binary, at long, key long").withColumn("head", F.shiftright("key", 8))
+    value = F.coalesce("ratio", "unseen", F.lit(0.0).cast("float")).cast("double")
+    found = rows.join(ratio, "key", "left").join(unseen, "head", "left").select("word", F.struct("at", value.alias("value")).alias("x"))
+    # Added up in the order of the word, so that the sum is that of one worker.
+    return found.groupBy("word").agg(
+        F.aggregate(F.sort_array(F.collect_list("x")), F.lit(0.0), lambda total, x: total + x["value"]).alias("e")
+    )
+
+
+def _far_signals(rows: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """`signals` of rows (text, carried) by joins with a model of any size: a, b, c, d, carried."""
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = row_ids()
+        for whole in batches:
+            for k in range(0, whole.num_rows, LISTED_TEXTS):
+                batch = whole.slice(k, LISTED_TEXTS)
+                at, ids, words, places = [], [], [], []
+                for i, text in enumerate(batch.column(0).to_pylist()):
+                    where: dict[bytes | None, list[int]] = {}
+                    for place, word in enumerate(_words(text)):
+                        where.setdefault(word, []).append(place)
+                    where = where or {None: []}
+                    at += [i] * len(where)
+                    ids += [next(numbers)] * len(where)
+                    words += where
+                    places += [np.array(x, np.int32) for x in where.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), batch.column(1).take(pa.array(at, pa.int64())), pa.array(words, pa.binary()),
+                     ragged(places, pa.int32())],
+                    ["row", "carried", "word", "places"],
+                )
+
+    def summed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = np.zeros((batch.num_rows, 4))
+        for i, parts in enumerate(batch.column(1)):
+            flat = parts.values
+            e, places = flat.field("e").to_numpy(), flat.field("places")
+            spread = np.empty(len(places.flatten()))
+            spread[places.flatten().to_numpy()] = np.repeat(e, places.value_lengths().to_numpy())
+            out[i] = _summary(spread)
+        return pa.RecordBatch.from_arrays([*map(pa.array, out.T), batch.column(0)], ["a", "b", "c", "d", "carried"])
+
+    kind = rows.schema["carried"].dataType.simpleString()
+    split = staged(rows.select("text", "carried").mapInArrow(listed, f"row long, carried {kind}, word binary, places array<int>"))
+    some = split.where("word is not null")
+    evidence = _word_evidence(some.select("word").distinct(), tables)
+    of_row = some.join(evidence, "word").groupBy("row").agg(
+        F.first("carried").alias("carried"), F.collect_list(F.struct("places", "e")).alias("parts")
+    )
+    schema = f"a double, b double, c double, d double, carried {kind}"
+    none = split.where("word is null").select(*[F.lit(0.0).alias(n) for n in "abcd"], "carried")
+    return mapped(of_row.select("carried", "parts"), summed, schema).unionByName(none)
+
+
+def _near_signals(rows: DataFrame, models: Models) -> DataFrame:
+    """`signals` of rows (text, carried) by a model that the executors hold: a, b, c, d, carried."""
+    held = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = signals(batch.column(0).to_pylist(), held.value)
+        return pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column(1)], ["a", "b", "c", "d", "carried"])
+
+    kind = rows.schema["carried"].dataType.simpleString()
+    return mapped(rows.select("text", "carried"), run, f"a double, b double, c double, d double, carried {kind}")
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic",
@@ -189,31 +348,25 @@ def toxicity(
     scored each for itself; a null id is not held out. Without labels of both kinds every
     score is near the label that there is, or 0. Other columns are not read.
     """
-    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = training_labels(labels, "doc_id", label_col)
     rows = with_labels(plain, known).withColumn("apart", F.col("fold") == SCORE_FOLD)
-    early, final = map(spark.sparkContext.broadcast, _collected(staged(count_ngrams(rows))))
+    counts = staged(count_ngrams(rows))
+    near = counts.count() <= MODEL_ENTRIES
+    evaluated = _near_signals if near else _far_signals
+    early, final = _collected(counts) if near else _tabled(counts)
     some = known.where(F.col("fold") == SCORE_FOLD).orderBy(F.xxhash64("label_id")).limit(SCORE_ROWS)
-
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = signals(batch.column(0).to_pylist(), early.value)
-        return pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column(1)], ["a", "b", "c", "d", "label"])
-
-    rows = with_labels(plain, some).select("text", "label")
-    seen = mapped(rows, features, "a double, b double, c double, d double, label int").toPandas()
-    fit = fit_logistic(seen[["a", "b", "c", "d"]].to_numpy(float), seen["label"].to_numpy(float))
+    rows = with_labels(plain, some).select("text", F.col("label").alias("carried"))
+    # In one order, however the rows arrive: a sum of doubles depends on it.
+    seen = evaluated(rows, early).toPandas().sort_values(["a", "b", "c", "d", "carried"])
+    fit = fit_logistic(seen[["a", "b", "c", "d"]].to_numpy(float), seen["carried"].to_numpy(float))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = []
-        for k in range(0, batch.num_rows, 1024):
-            scores.append(predict_logistic(signals(batch.column(1).slice(k, 1024).to_pylist(), final.value), fit))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["doc_id", "score"]
-        )
+        x = np.column_stack([batch.column(k).to_numpy() for k in range(4)])
+        return pa.RecordBatch.from_arrays([batch.column(4), pa.array(predict_logistic(x, fit))], ["doc_id", "score"])
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    scored = mapped(plain, score, f"doc_id {kind}, score double")
+    scored = mapped(evaluated(plain.withColumnRenamed("doc_id", "carried"), final), score, f"doc_id {kind}, score double")
     return scored.select(
         "doc_id",
         F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
@@ -223,18 +376,17 @@ def toxicity(
 
 
 def _collected(counts: DataFrame) -> tuple[Models, Models]:
-    """Models without and with the rows set apart, of all n-grams or of the most frequent `MODEL_ENTRIES`."""
-    ordinary, toxic = F.col("ordinary") + F.col("ordinary_apart"), F.col("toxic") + F.col("toxic_apart")
-    sizes = counts.groupBy(F.least(ordinary + toxic, F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("k"))
-    left, cut = MODEL_ENTRIES, 0
-    for n, k in sizes.orderBy(F.desc("n")).collect():
-        if k > left:
-            cut = n
-            break
-        left -= k
-    kept = counts.where(ordinary + toxic > cut).toPandas()
+    """Models without and with the rows set apart."""
+    kept = counts.toPandas()
     keys = kept["key"].to_numpy(np.int64).view(np.uint64)
     first = [kept[n].to_numpy(np.int64) for n in ("ordinary", "toxic")]
     both = [n + kept[f"{c}_apart"].to_numpy(np.int64) for n, c in zip(first, ("ordinary", "toxic"))]
     seen = first[0] + first[1] > 0
     return Models(keys[seen], *(n[seen] for n in first)), Models(keys, *both)
+
+
+def _tabled(counts: DataFrame) -> tuple[tuple[DataFrame, DataFrame], ...]:
+    """The same models as tables."""
+    both = [(F.col(n) + F.col(f"{n}_apart")).alias(n) for n in ("ordinary", "toxic")]
+    first = counts.select("key", "ordinary", "toxic").where("ordinary + toxic > 0")
+    return _model_tables(first), _model_tables(counts.select("key", *both))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyline.llm import html_text, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
@@ -242,6 +243,20 @@ def test_held_out_accuracy(spark, kind, score, least):
     assert right[clean, clean] / (right[clean, 0] + right[clean, 1]) > 0.97
 
 
+def test_a_model_of_any_size_gives_the_same_scores(spark, documents, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    some = documents.where("doc_id < 400").unionByName(documents.where("doc_id < 3")).unionByName(
+        documents.limit(2).withColumn("text", F.lit(None).cast("string"))
+    )
+
+    def scores():
+        return sorted((r.doc_id, r.score, r.predicted) for r in toxicity.toxicity(some, labels).collect())
+
+    near = scores()
+    monkeypatch.setattr(toxicity, "MODEL_ENTRIES", 1000)
+    assert scores() == near
+
+
 def test_word_memory_belongs_to_its_model():
     keys, n = np.unique(toxicity.ngrams([b"abba", b"abc"])[0], return_counts=True)
     models = toxicity.Models(keys, n, n[::-1].copy())
