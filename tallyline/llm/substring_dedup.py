@@ -3,8 +3,9 @@
 A run starts at every sentence and takes the fewest sentences, two at least, that hold
 `min_words` words. Runs are joined by their hash over all documents. A sentence is removed
 when a run that covers it is not the first of its kind, in the order of doc_id and place.
-Sentences of over `LONG` words are parted behind words picked by their last letters, so that
-a long passage is found wherever it stands in a sentence.
+Sentences of over `LONG` words are parted by winnowing: behind the word pairs of the smallest
+hash in every window of `WINDOW` words, so no part is longer and the ends depend on nearby
+words only. Every passage of over 50 words that stands twice holds a whole run.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import LOWER, mapped, ragged, utf8
+from tallyline.llm.common import LOWER, mapped, mix, ragged, utf8
 from tallyline.session import staged
 
 MIN_WORDS = 20
 MIN_SENTENCES = 2
-# A sentence of more words is parted; about one word in `PART_EVERY` ends a part.
+# A sentence of more words is parted, with an end in every `WINDOW` words.
 LONG = 16
-PART_EVERY = 6
+WINDOW = 7
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -33,6 +34,26 @@ _CLOSE = np.zeros(256, bool)
 _CLOSE[[34, 39, 41, 93]] = True
 
 
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_POWERS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def _picked(a: np.ndarray, space: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words whose pair with the next word has the smallest hash of some window; of equal ones all."""
+    ahead = np.zeros(len(a), np.int64)
+    ahead[starts] = starts
+    place = (np.arange(len(a)) - np.maximum.accumulate(ahead)) & 63
+    values = np.where(space, np.uint64(0), (_LOWER[a].astype(np.uint64) + np.uint64(1)) * _POWERS[place])
+    words = mix(np.add.reduceat(values, starts))
+    pairs = mix(words * np.uint64(3) + np.append(words[1:], np.uint64(0)))
+    out = np.zeros(len(pairs), bool)
+    windows = np.lib.stride_tricks.sliding_window_view(pairs, min(WINDOW, len(pairs)))
+    least = windows.min(axis=1)
+    for k in range(windows.shape[1]):
+        out[k : k + len(least)] |= windows[:, k] == least
+    return out
+
+
 def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets and first words of the sentences; both end with the total."""
     a = np.frombuffer(raw, np.uint8)
@@ -51,7 +72,8 @@ def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     which = np.concatenate(([0], np.cumsum(stop)[:-1]))
     long = np.bincount(which)[which] > LONG
-    stop |= long & ((last.astype(np.int64) * 131 + before * 31 + 7) % 97 % PART_EVERY == 0)
+    if long.any():
+        stop |= long & _picked(a, space, starts)
     first = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
     at = starts[first]
     at[0] = 0

@@ -264,3 +264,27 @@ def test_word_memory_belongs_to_its_model():
     assert set(models.scored) == {b"abba", b"abc"}
     sent = pickle.loads(pickle.dumps(models))
     assert sent.scored == {} and (sent.evidence([b"abc"]) == models.evidence([b"abc"])).all()
+
+
+@pytest.mark.parametrize("vocabulary", [3, 40, 5000])
+def test_every_passage_of_51_words_holds_a_run(vocabulary):
+    rnd = random.Random(vocabulary)
+
+    def text(n, stops):
+        # Endings of one kind only, and sentences of all lengths or none.
+        return [f"w{rnd.randrange(vocabulary)}e" + "." * (rnd.random() < stops) for _ in range(n)]
+
+    def found(words):
+        _, first = substring_dedup.sentences(" ".join(words).encode())
+        start, end = substring_dedup.runs(first, substring_dedup.MIN_WORDS, substring_dedup.MIN_SENTENCES)
+        return [(first[s], first[e]) for s, e in zip(start, end)]
+
+    for _ in range(300):
+        passage = text(51, rnd.choice((0, 0.05, 0.15)))
+        inside = []
+        for _ in range(2):
+            ahead = text(rnd.randrange(80), rnd.choice((0, 0.1)))
+            lo = len(ahead)
+            runs = found(ahead + passage + text(rnd.randrange(80), rnd.choice((0, 0.1))))
+            inside.append({(x - lo, y - lo) for x, y in runs if lo <= x and y <= lo + 51})
+        assert inside[0] & inside[1]
