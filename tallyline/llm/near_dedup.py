@@ -6,7 +6,7 @@ collision-corrected estimate drops the hopeless ones, full shingle sets decide t
 
 Candidates are never all pairs of a bucket. First every member meets one hub of its bucket.
 When linked members are one component, only members outside the largest component go on;
-they meet the others block by block. The Jaccard distance, which is a metric, excludes those
+they meet the others block by block, part by part. The Jaccard distance, which is a metric, excludes those
 whose measured distance to the common hub differs by more than a link allows; for the others
 what each set lacks of the hub's and has beside it gives their similarity exactly.
 """
@@ -30,7 +30,7 @@ MANTISSA = 10
 BANDS, ROWS = 24, 4
 # Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 4.5
-# Members of a bucket that one task compares with those sent to it.
+# Members of a bucket, and askers, that one task compares.
 BLOCK = 512
 # Hashed words that a worker keeps before it starts afresh.
 CACHE_WORDS = 250_000
@@ -223,6 +223,40 @@ class _Differences:
         return self.hub[one] - (self.sizes[0][one] + self.sizes[0][others] - lost) + extra
 
 
+def _dealt(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of mixed buckets by (band, block, part), with the facts: about `BLOCK` at home there and as many that ask.
+
+    Every member outside its bucket's largest component asks: it goes to all blocks in its own
+    part. Every member is at home in its own block, in all parts. So each asker meets each
+    other member in one group, and no group grows with its bucket.
+    """
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("band").agg(
+        F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("n"), F.sum("k").alias("k")
+    ).where("n > 1").select(
+        "band", F.col("main.component").alias("main"), F.ceil(F.col("k") / BLOCK).alias("blocks"),
+        F.ceil((F.col("k") - F.col("main.k")) / BLOCK).alias("parts"),
+    )
+    asks = F.col("component") != F.col("main")
+    # Sketches and sets join the members of mixed buckets only.
+    placed = members.join(main, "band").join(facts, ["id", "hub"]).select(
+        "band", "id", "component", "n", "registers", "far", "lost", "extra", "blocks", "parts", asks.alias("asking"),
+        F.pmod(F.xxhash64("id"), "blocks").alias("own_block"), F.pmod(F.xxhash64("id", F.lit(1)), "parts").alias("own_part"),
+    )
+
+    def numbers(n: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    home = F.transform(numbers("parts"), lambda p: F.struct(F.col("own_block").alias("block"), p.alias("part")))
+    sent = F.transform(numbers("blocks"), lambda b: F.struct(b.alias("block"), F.col("own_part").alias("part")))
+    places = F.when(F.col("asking"), F.array_union(home, sent)).otherwise(home)
+    return placed.withColumn("place", F.explode(places)).select(
+        "band", "place.block", "place.part", "id", "component", "n", "registers", "far", "lost", "extra",
+        (F.col("asking") & (F.col("place.part") == F.col("own_part"))).alias("asks"),
+        (F.col("place.block") == F.col("own_block")).alias("home"),
+    )
+
+
 def _outside(members: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
     """Links between components of a bucket, and pairs that may link: (a, b, sure).
 
@@ -263,21 +297,7 @@ def _outside(members: DataFrame, facts: DataFrame, threshold: float) -> DataFram
             [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"]
         )
 
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("band").agg(
-        F.max(F.struct("k", "component"))["component"].alias("main"),
-        F.count("*").alias("parts"),
-        F.ceil(F.sum("k") / BLOCK).alias("blocks"),
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    asks = F.col("component") != F.col("main")
-    # Sketches and sets join the members of mixed buckets only.
-    placed = members.join(main.where("parts > 1"), "band").join(facts, ["id", "hub"]).select(
-        "band", "id", "component", "n", "registers", "far", "lost", "extra", asks.alias("asks"), own.alias("own"), "blocks"
-    )
-    everywhere = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
-    dealt = placed.withColumn("block", F.explode(everywhere)).withColumn("home", F.col("block") == F.col("own"))
-    grouped = dealt.groupBy("band", "block").agg(
+    grouped = _dealt(members, facts).groupBy("band", "block", "part").agg(
         F.collect_list(F.struct("id", "component", "n", "registers", "far", "lost", "extra", "asks", "home")).alias("rows")
     )
     return mapped(grouped.select("rows"), run, "a long, b long, sure boolean").distinct()

@@ -288,3 +288,30 @@ def test_every_passage_of_51_words_holds_a_run(vocabulary):
             runs = found(ahead + passage + text(rnd.randrange(80), rnd.choice((0, 0.1))))
             inside.append({(x - lo, y - lo) for x, y in runs if lo <= x and y <= lo + 51})
         assert inside[0] & inside[1]
+
+
+def test_askers_are_dealt_into_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    members = spark.range(300).select(F.lit(1).alias("band"), "id", F.greatest("id", F.lit(20)).alias("component"), F.lit(0).alias("hub"))
+    facts = spark.range(300).select(
+        "id", F.lit(0).alias("hub"), F.lit(9).alias("n"), *[F.lit(b"").alias(c) for c in ("registers", "lost", "extra")],
+        F.lit(0.0).alias("far"),
+    )
+    groups = defaultdict(lambda: ([], []))
+    for r in near_dedup._dealt(members, facts).collect():
+        for side, there in zip(groups[r.block, r.part], (r.asks, r.home)):
+            side += [r.id] * there
+    assert max(max(map(len, g)) for g in groups.values()) <= 3 * 16
+    met = Counter((a, b) for asks, home in groups.values() for a in asks for b in home)
+    assert met == Counter((a, b) for a in range(21, 300) for b in range(300))
+
+
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    rnd = random.Random(11)
+    shared = [f"t{k}" for k in range(60)]
+    texts = [(i, " ".join(shared + [f"x{rnd.randrange(10**6)}" for _ in range(25)])) for i in range(120)]
+    texts += [(1000 + i, t + " end") for i, t in texts[::3]]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    got = {r.doc_id: r.component_id for r in near_dedup.duplicate_classes(table, size=4).collect()}
+    assert got == {i: i % 1000 for i, _ in texts}
