@@ -25,8 +25,6 @@ from tallyline.session import staged
 GROUP_PIECES = 16_384
 # Rounds over what is left in bins that are not full.
 ROUNDS = 4
-# Pieces that the search for moves and swaps may look at in a group before it is taken as it is.
-MAX_LOOKS = 3_000_000
 
 
 def pieces_of(
@@ -111,30 +109,36 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def exchange(bins: list[list[int]], lengths: list[int], capacity: int, limit: int = MAX_LOOKS) -> list[list[int]]:
+def exchange(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Empty bins by moving one piece, or swapping one or two pieces for one, into fuller bins.
 
     Every step takes ids from the emptiest bin that still gives and adds them to a bin that is
     at least as full, so the sum of squared fills grows. It ends when the number of bins meets
-    its lower bound, or no step is left.
+    its lower bound, or no step is left. Full bins are out of the search, and a giver without
+    a step is only tried again with bins that have changed.
     """
     total = sum(lengths[i] for b in bins for i in b)
     least = -(-total // capacity)
     bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    live = {k for k, b in enumerate(bins) if b}
-    stuck: set[int] = set()
-    while len(live) > least and limit > 0:
-        givers = [k for k in live if k not in stuck and fill[k] < capacity]
-        if not givers:
-            break
-        giver = min(givers, key=lambda k: (fill[k], k))
-        step = _step(bins, lengths, fill, live, giver, capacity)
-        limit -= sum(len(bins[k]) for k in live)
+    count = sum(map(bool, bins))
+    # Bins with room by fill, those that may give by fill, and those without a step.
+    underfull = sorted((fill[k], k) for k, b in enumerate(bins) if b and fill[k] < capacity)
+    givers, stuck = list(underfull), set()
+    while count > least and givers:
+        giver = givers[0][1]
+        takers = underfull[bisect_left(underfull, (fill[giver], -1)) :]
+        step = _step(bins, lengths, fill, [k for _, k in reversed(takers) if k != giver], giver, capacity)
         if step is None:
             stuck.add(giver)
+            del givers[0]
             continue
         taker, out, back = step
+        for k in (giver, taker):
+            for table in (underfull, givers):
+                at = bisect_left(table, (fill[k], k))
+                if at < len(table) and table[at] == (fill[k], k):
+                    del table[at]
         for i in out:
             bins[giver].remove(i)
             bins[taker].append(i)
@@ -144,17 +148,25 @@ def exchange(bins: list[list[int]], lengths: list[int], capacity: int, limit: in
         moved = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
         fill[giver] -= moved
         fill[taker] += moved
-        stuck.clear()
-        if not bins[giver]:
-            live.discard(giver)
+        stuck -= {giver, taker}
+        count -= not bins[giver]
+        changed = [k for k in (giver, taker) if bins[k] and fill[k] < capacity]
+        for k in changed:
+            insort(underfull, (fill[k], k))
+            insort(givers, (fill[k], k))
+        for k in list(stuck):
+            near = sorted((c for c in changed if fill[c] >= fill[k]), key=lambda c: (fill[c], c), reverse=True)
+            if near and _step(bins, lengths, fill, near, k, capacity):
+                stuck.discard(k)
+                insort(givers, (fill[k], k))
     return [b for b in bins if b]
 
 
-def _step(bins, lengths, fill, live, giver, capacity):
-    """(taker, pieces out of the giver, pieces back) that adds most to the squared fill, or None."""
-    takers = sorted(
-        (k for k in live if k != giver and fill[giver] <= fill[k] < capacity), key=lambda k: (fill[k], k), reverse=True
-    )
+def _step(bins, lengths, fill, takers, giver, capacity):
+    """(taker, pieces out of the giver, pieces back) that adds most to the squared fill, or None.
+
+    `takers` have room and at least the giver's fill, the fullest first.
+    """
     own = Counter(lengths[i] for i in bins[giver])
     at = {lengths[i]: i for i in bins[giver]}
     sizes = sorted(own)

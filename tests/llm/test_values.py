@@ -315,3 +315,19 @@ def test_near_duplicates_of_a_template(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     got = {r.doc_id: r.component_id for r in near_dedup.duplicate_classes(table, size=4).collect()}
     assert got == {i: i % 1000 for i, _ in texts}
+
+
+def test_exchange_ends_only_without_a_step():
+    rnd = random.Random(4)
+    capacity, lengths = 1009, [rnd.randrange(180, 420) for _ in range(3_000)]
+    start = packing.best_fit(lengths, capacity)
+    # The worst start: every piece of the last bins alone.
+    start = start[:-300] + [[i] for b in start[-300:] for i in b]
+    bins = packing.exchange(start, lengths, capacity)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= capacity
+    if len(bins) > -(-sum(lengths) // capacity):
+        order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k), reverse=True)
+        for k in order:
+            assert packing._step(bins, lengths, fill, [t for t in order if t != k and fill[t] >= fill[k]], k, capacity) is None
