@@ -91,7 +91,7 @@ CONFIDENCE = {1: 1.0, 2: 0.95, 3: 0.85, 4: 0.3}
 
 # A text without any of these has no detection. 'cc' must also stand as a word.
 PREFILTER = ("licen", "gpl", "spdx", "copyright", "domain", "reserved", "hereby", "permission", "redistribut",
-             "free software", "commons", "alike", "cc0", "wtfpl")
+             "free software", "commons", "alike", "cc0", "wtfpl", "no attribution")
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

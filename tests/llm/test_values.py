@@ -3,6 +3,7 @@
 import itertools
 import pickle
 import random
+import re._parser as sre
 import zlib
 from collections import Counter, defaultdict
 
@@ -331,3 +332,26 @@ def test_exchange_ends_only_without_a_step():
         order = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k), reverse=True)
         for k in order:
             assert packing._step(bins, lengths, fill, [t for t in order if t != k and fill[t] >= fill[k]], k, capacity) is None
+
+
+def test_every_rule_passes_the_gate(spark):
+    def shortest(tree):
+        out = ""
+        for kind, x in tree:
+            if kind is sre.LITERAL:
+                out += chr(x)
+            elif kind is sre.IN:
+                out += next((chr(v) for k, v in x if k is sre.LITERAL), "2")
+            elif kind is sre.MAX_REPEAT:
+                out += shortest(x[2]) * x[0]
+            elif kind is sre.SUBPATTERN:
+                out += shortest(x[3])
+            elif kind is sre.BRANCH:
+                out += min(map(shortest, x[1]), key=len)
+        return out
+
+    rules = licenses.rules()
+    texts = [(n, shortest(sre.parse(pattern))) for _, n, _, _, pattern in rules]
+    assert ("mit-0", "mit no attribution") in {(rules[n][2], t) for n, t in texts}
+    got = {r.doc_id: {d.label for d in r.detections} for r in licenses.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [texts[n] for _, n, label, _, _ in rules if label not in got[n]] == []
