@@ -34,7 +34,7 @@ def query(name, sql=None):
 
 ENDS = {"train_end": "1998-12-31", "valid_end": "1999-12-31"}
 LOGISTIC = (M.Candidate(M.LOGISTIC),)
-TREES = (M.Candidate(M.TREES, rounds=5, depth=3),)
+TREES = M.PAIRED_CANDIDATES[1:]
 
 
 def paired(spark, sf):
@@ -53,20 +53,20 @@ def train_trees(spark, sf):
 
 @query("train_router")
 def train_router(spark, sf):
-    return T.train_router(paired(spark, sf), mode="PRE_TOSS", features=Q.DIFFS, candidates=LOGISTIC, **ENDS)[1]
+    return T.train_router(paired(spark, sf), mode="PRE_TOSS", features=Q.DIFFS, **ENDS)[1]
 
 
 @query("feature_group_folds")
 def feature_group_folds(spark, sf):
-    folds = (("1998", "1997-12-31", "1998-12-31"), ("1999", "1998-12-31", "1999-12-31"))
+    folds = (("1997", "1996-12-31", "1997-12-31"), ("1998", "1997-12-31", "1998-12-31"), ("1999", "1998-12-31", "1999-12-31"))
     groups = {"venue": Q.DIFFS[3:], "meetings": Q.DIFFS[2:3]}
-    return T.feature_group_folds(paired(spark, sf), Q.DIFFS[:2], groups, folds, LOGISTIC)[1]
+    return T.feature_group_folds(paired(spark, sf), Q.DIFFS[:2], groups, folds)[1]
 
 
 @query("finalize_candidate")
 def finalize_candidate(spark, sf):
     return T.finalize_candidate(
-        paired(spark, sf), mode="PRE_TOSS", base=Q.DIFFS[:2], extra=Q.DIFFS[2:], candidates=LOGISTIC, **ENDS
+        paired(spark, sf), mode="PRE_TOSS", base=Q.DIFFS[:2], extra=Q.DIFFS[2:], **ENDS
     )[1]
 
 

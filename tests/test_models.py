@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import random
 
 import numpy as np
@@ -179,3 +180,27 @@ def test_scoring_result_fields(scored):
     assert good[2].confidence == "LOW" and "India has only 0 prior T20I matches in the loaded corpus." in good[2].warnings
     assert "2 historical files could not be parsed and were skipped." in good[1].warnings
     assert len(set(good[2].warnings)) == len(good[2].warnings)
+
+
+def test_registered_training_uses_the_production_candidates(monkeypatch):
+    from checks import model_queries as C
+
+    asked = {}
+    monkeypatch.setattr(C, "paired", lambda spark, sf: None)
+    for name in ("train_domain", "train_router", "feature_group_folds", "finalize_candidate"):
+        whole = inspect.signature(getattr(C.T, name))
+
+        def kept(*args, name=name, whole=whole, **options):
+            bound = whole.bind(*args, **options)
+            bound.apply_defaults()
+            asked[name] = bound.arguments
+            return None, None
+
+        monkeypatch.setattr(C.T, name, kept)
+    for query in ("train_trees", "train_router", "feature_group_folds", "finalize_candidate"):
+        C.QUERIES[query](None, None)
+    every = tuple(C.M.PAIRED_CANDIDATES)
+    assert tuple(asked["train_domain"]["candidates"]) == every[1:]
+    assert tuple(asked["train_router"]["options"].get("candidates", every)) == every
+    assert all(tuple(asked[n]["candidates"]) == every for n in ("feature_group_folds", "finalize_candidate"))
+    assert len(asked["feature_group_folds"]["folds"]) == 3
