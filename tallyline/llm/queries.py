@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, html_text, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
+from tallyline.llm import decontaminate, divergence, html_text, lexical_search, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -101,6 +101,67 @@ SELECT doc_id, len(sets.s) AS n_shingles, coalesce(root, rep, doc_id) AS compone
 FROM sets LEFT JOIN reps USING (s) LEFT JOIN roots ON roots.id = rep
 """
 
+DIVERGENCE = f"""
+WITH d AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+kept AS (
+    SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30
+),
+counts AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+cells AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k ON k.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+shares AS (
+    SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+           1 + (1000000000::HUGEINT * (sum(n) OVER t + 5)) // (sum(n) OVER l + 5 * count(DISTINCT term) OVER l) AS q
+    FROM cells WINDOW g AS (PARTITION BY lang, source), t AS (PARTITION BY lang, term), l AS (PARTITION BY lang)
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0) AS value
+    FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+        FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL
+    ) v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+),
+parts AS (
+    SELECT lang, source, 'pair' AS part, item, value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 50
+"""
+
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents WHERE text IS NOT NULL
+),
+i AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}')) AS term
+    FROM benchmark WHERE text IS NOT NULL
+),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+tf AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d)
+    WHERE term IN (SELECT term FROM i) GROUP BY ALL
+),
+df AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY term),
+scores AS (
+    SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+    FROM i JOIN df USING (term) JOIN tf USING (term), s GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
 
 @query("op1_token_orc")
 def op1(spark, sf):
@@ -167,4 +228,16 @@ def op5(spark, sf):
     return html_text.extract(read(spark, sf, "pages"))
 
 
+@query("op11_source_divergence", DIVERGENCE)
+def op11(spark, sf):
+    """Distances between the sources of each language, and the terms each uses beyond its language."""
+    return divergence.source_divergence(read(spark, sf, "documents"))
+
+
+@query("op13_lexical_search", SEARCH)
+def op13(spark, sf):
+    """The 50 best documents of every benchmark item."""
+    return lexical_search.ranked_search(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
