@@ -108,7 +108,6 @@ def _block_pairs(group: pa.Table) -> pa.Table:
     plain = np.array(codes.is_null())
     codes = codes.fill_null(-1).to_numpy()
     bare = np.flatnonzero(plain)
-    # A slice of a source whose block is compared with itself comes once.
     sides = []
     for b in (low, high):
         mine = bare[block[bare] == b]
@@ -131,6 +130,9 @@ def _block_pairs(group: pa.Table) -> pa.Table:
         table[column[a:b], terms[a:b] - begin] = value[a:b]
         for k in range(n_left):
             sums[k] += np.abs(table[right] - table[k]).sum(axis=1)
+    # Terms that neither block has differ as well: all are added in the first slice, those seen are taken off in each.
+    unseen = (group.column("v")[0].as_py() if group.column("slice")[0].as_py() == 0 else 0) - n_terms
+    sums += unseen * np.abs(missing[right][None, :] - missing[:n_left, None])
     left_names, right_names = sides[0], sides[0] if low == high else sides[1]
     mine, other = np.indices(sums.shape).reshape(2, -1)
     flat = sums.ravel()
@@ -191,15 +193,15 @@ def source_divergence(docs: DataFrame, *, least_docs: int = 30, top_terms: int =
     # A share of a missing term for every slice; 0 where a language keeps no term.
     bare = groups.withColumn("p", F.when(F.col("v") > 0, _share("0", "group_n", "v")).otherwise(F.lit(0).cast("long")))
     dealt = (
-        shares.select("lang", "source", "term", "p", "block", "blocks", F.expr("pmod(xxhash64(term), slices)").alias("slice"))
+        shares.select("lang", "source", "term", "p", "v", "block", "blocks", F.expr("pmod(xxhash64(term), slices)").alias("slice"))
         .unionByName(
             bare.select(
-                "lang", "source", F.lit(None).cast("string").alias("term"), "p", "block", "blocks",
+                "lang", "source", F.lit(None).cast("string").alias("term"), "p", "v", "block", "blocks",
                 F.explode(F.expr("sequence(0L, slices - 1L)")).alias("slice"),
             )
         )
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("lang", "slice", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "source", "term", "p")
+        .select("lang", "slice", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "source", "term", "p", "v")
     )
     pairs = (
         dealt.groupBy("lang", "slice", "low", "high")

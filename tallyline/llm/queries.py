@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontaminate, divergence, html_text, lexical_search, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
+from tallyline.llm import decontaminate, divergence, html_text, lexical_search, licenses, metric_join, near_dedup, packing, personal, quality, substring_dedup, token_orc, toxicity
 from tallyline.llm.common import read
 
 QUERIES, SQL = {}, {}
@@ -234,6 +234,12 @@ def op11(spark, sf):
     return divergence.source_divergence(read(spark, sf, "documents"))
 
 
+@query("op12_bootstrapped_pii")
+def op12(spark, sf):
+    """Personal identifiers of every document, by shape and by learned contexts."""
+    return personal.personal_data(read(spark, sf, "documents"))
+
+
 @query("op13_lexical_search", SEARCH)
 def op13(spark, sf):
     """The 50 best documents of every benchmark item."""
