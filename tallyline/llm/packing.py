@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import mapped, row_ids
-from tallyline.llm.tokens import encoder
+from tallyline.llm.common import row_ids
+from tallyline.llm.tokens import Ids, encoder
 from tallyline.session import staged
 
 # Pieces that one task packs.
@@ -42,43 +42,37 @@ def pieces_of(
     id alone; rows that share an id are packed each for itself. Other columns are not read.
     """
 
-    def cut(batch: pa.RecordBatch) -> pa.Table | None:
-        coder, tables = encoder(tokenizer, drops_space=True), []
-        for k in range(0, batch.num_rows, 512):
-            some = batch.slice(k, 512)
-            which, piece, start, ids = [], [], [], []
-            for i, x in enumerate(coder.encode(some.column(1).to_pylist())):
-                x = np.append(x, np.uint32(end_id))
-                for n, at in enumerate(range(0, len(x), capacity)):
-                    which.append(i)
-                    piece.append(n)
-                    start.append(at)
-                    ids.append(x[at : at + capacity].astype("<u4").tobytes())
-            tables.append(
-                pa.table(
-                    {
-                        "doc_id": some.column(0).take(pa.array(which, pa.int64())),
-                        "piece": pa.array(piece, pa.int32()),
-                        "start": pa.array(start, pa.int64()),
-                        "length": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        "ids": pa.array(ids, pa.binary()),
-                    }
-                )
-            )
-        return pa.concat_tables(tables) if tables else None
+    def cut(part: Ids, doc: pa.Array) -> pa.Table:
+        flat = np.insert(part.ids, part.bounds[1:], end_id).astype("<u4", copy=False)
+        size = np.diff(part.bounds) + 1
+        held = -(-size // capacity)
+        which = np.repeat(np.arange(len(size)), held)
+        piece = np.arange(len(which)) - np.repeat(np.cumsum(held) - held, held)
+        start = piece * capacity
+        length = np.minimum(capacity, size[which] - start)
+        bounds = np.concatenate([[0], 4 * np.cumsum(length)])
+        raw = memoryview(flat.tobytes())
+        return pa.table(
+            {
+                "doc_id": doc.slice(part.low, part.high - part.low).take(pa.array(which)),
+                "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(start, pa.int64()),
+                "length": pa.array(length, pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(raw[x:y]) for x, y in zip(bounds[:-1], bounds[1:])], pa.int64()),
+                "ids": pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)]),
+            }
+        )
 
     kind = docs.select(F.col(id_col).alias("doc_id")).schema[0].dataType.simpleString()
     fields = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary"
 
     def numbered(batches):
-        numbers = row_ids()
+        numbers, coder = row_ids(), encoder(tokenizer, drops_space=True)
         for batch in batches:
-            out = cut(batch)
-            if out is not None:
-                yield from out.append_column(
-                    "piece_id", pa.array([next(numbers) for _ in range(out.num_rows)], pa.int64())
-                ).to_batches()
+            for part in coder.encoded(batch.column(1)):
+                out = cut(part, batch.column(0))
+                own = pa.array([next(numbers) for _ in range(out.num_rows)], pa.int64())
+                yield from out.append_column("piece_id", own).to_batches()
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return staged(chosen.mapInArrow(numbered, f"{fields}, piece_id long"))

@@ -17,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import mapped, partitions, ragged
+from tallyline.llm.common import mapped, partitions
 from tallyline.llm.tokens import encoder
 from tallyline.session import ensure_checkpoint_dir
 
 STRIPE_BYTES = 16 << 20
+# Bytes of text of one file; smaller tables are dealt into as many files as there are shuffle partitions.
+FILE_BYTES = 128 << 20
 # Documents for each entry of a row index and its Bloom filter.
 INDEX_ROWS = 1_000
 BLOOM_FALSE_POSITIVES = 0.01
@@ -34,30 +36,31 @@ def write_tokens(
 
     `part` is the number of the file in id order, `before` counts the ids ahead of a
     document in its file. A null text is empty and so holds the end id alone. Rows with a
-    null id come first; rows that share an id keep all copies, in the order of their text.
+    null id come first; rows that share an id keep all copies, in the order of a hash of their text.
     An empty table makes a folder without rows. Other columns are not read.
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
-                ids = [np.append(x, np.uint32(end_id)) for x in coder.encode(some.column(1).to_pylist())]
-                sizes = np.array([len(x) for x in ids], np.int64)
+            for some in coder.encoded(batch.column(1)):
+                sizes = np.diff(some.bounds) + 1
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
-                columns = [some.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(sizes)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, ragged(ids, pa.int32())], ["doc_id", "part", "before", "n_tokens", "ids"]
-                )
+                ids = pa.array(np.insert(some.ids, some.bounds[1:], end_id).astype(np.int32), pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), ids)
+                rows = batch.column(0).slice(some.low, some.high - some.low)
+                columns = [rows, pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts), pa.array(sizes), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "before", "n_tokens", "ids"])
 
     spark = docs.sparkSession
     kind = docs.select(F.col(id_col).alias("doc_id")).schema[0].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows of one id part by their text.
     ordered = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        read.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), "doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     )
     (
         ordered.mapInArrow(encode, f"doc_id {kind}, part int, before long, n_tokens long, ids array<int>")

@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyline.llm import html_text, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, toxicity
+from tallyline.llm import html_text, licenses, metric_join, near_dedup, packing, quality, substring_dedup, token_orc, tokens, toxicity
 from tallyline.llm.components import components
-from tallyline.llm.tokens import encoder
+from tallyline.llm.tokens import Encoder, encoder
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,6 +34,7 @@ def test_pieces_encode_as_whole_texts(name, drops):
     rnd, letters = random.Random(1), "ab.,'! \n\tÉé1İ2̇ǅß🙂"
     texts = ["", " a", "a ", "a  b", "it's they're", "<|endoftext|> b", "foo...bar, baz!! 12", "日本語。 a", "a\xa0b", "\x00a \x01b"]
     texts += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 30))) for _ in range(600)]
+    texts += ["'table don't!'s", "x" * 60 + " y " + "x" * 60, "ÉCOLE, Straße×2 ·a", "one\ntwo, Three\nfour.", "é" * 13 + " " + "é" * 12]
     coder = encoder(path(name), drops)
     whole = Tokenizer.from_file(path(name))
     whole.encode_special_tokens = True
@@ -41,6 +42,18 @@ def test_pieces_encode_as_whole_texts(name, drops):
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_a_small_memory_of_pieces_changes_nothing(monkeypatch):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdefgé", k=rnd.randrange(1, 30))) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, k=40)) + rnd.choice([".", "!", ""]) for _ in range(60)]
+    expected = [x.tolist() for x in Encoder(path("byte_bpe_50k.json"), False).encode(texts)]
+    for memory, chunk in ((10, 300), (150, 1_000), (0, 1)):
+        monkeypatch.setattr(tokens, "MEMORY", memory)
+        monkeypatch.setattr(tokens, "LONG_MEMORY", memory)
+        monkeypatch.setattr(tokens, "CHUNK_BYTES", chunk)
+        assert [x.tolist() for x in Encoder(path("byte_bpe_50k.json"), False).encode(texts)] == expected
+
+
 def test_token_round_trip(spark, documents, tmp_path):
     folder = f"{tmp_path}/tokens"
     some = documents.where("doc_id < 200")
