@@ -1,18 +1,18 @@
 """Probability metrics as aggregations, per group and optionally weighted.
 
 Nothing here sorts rows: the rows are first folded to distinct scores per group,
-then ranked inside score buckets with prefix sums between buckets, so a single
-group of any size still spreads over many tasks.
+then ranked in ranges of about equal size with prefix sums between ranges (`ranks`), so a
+single group of any size and any distribution still spreads over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.operators.sizing import linear_bucket
+from tallyline.operators.ranks import below
 
 # --- Fixed values -----------------------------------------------------------
 # Equal-width edges as floating point makes them: 3/10 is not 0.3 here.
@@ -26,7 +26,6 @@ MIN_FOLDS_IMPROVED = 2
 MAX_MEAN_FOLD_DELTA = -0.001
 MAX_WORST_FOLD_DELTA = 0.003
 # ----------------------------------------------------------------------------
-SCORE_BUCKETS = 4096
 
 
 def clipped(p: Column) -> Column:
@@ -50,34 +49,6 @@ def _with_group(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[s
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def below(hist: DataFrame, groups: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
-    """For distinct (group, value) rows: ``<w>_below``, the weight at smaller values.
-
-    Values are cut into buckets between the group's extremes; a window runs inside
-    a bucket and another over the (at most 4096) bucket totals.
-    """
-    span = hist.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    bucketed = hist.join(span, list(groups)).withColumn(
-        "_bucket", linear_bucket(F.col(value), F.col("_lo"), F.col("_hi"), SCORE_BUCKETS)
-    )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    across = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy(*groups, "_bucket").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
-    offsets = totals.select(
-        *groups, "_bucket",
-        *[F.coalesce(F.sum(f"_t_{w}").over(across), F.lit(0)).alias(f"_o_{w}") for w in weights],
-    )
-    local = bucketed.select(
-        *hist.columns, "_bucket",
-        *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_l_{w}") for w in weights],
-    )
-    return local.join(offsets, [*groups, "_bucket"]).select(
-        *hist.columns, *[(F.col(f"_l_{w}") + F.col(f"_o_{w}")).alias(f"{w}_below") for w in weights]
-    )
-
-
 def roc_auc(
     df: DataFrame, label: str, score: str, groups: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:

@@ -71,13 +71,3 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds:
         )
         .drop("_bounds")
     )
-
-
-def linear_bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
-    """Monotone bucket of a value between its group's extremes (0 .. buckets-1)."""
-    # asinh compresses heavy tails and keeps the order, so buckets stay balanced.
-    lo, hi = F.asinh(low), F.asinh(high)
-    share = F.try_divide(F.asinh(value) - lo, hi - lo)
-    return F.least(
-        F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0.0)) * buckets))
-    ).cast("int")
