@@ -4,7 +4,10 @@ Every update moves two teams at once, so no window can express it. Each pool is
 a fold over time-ordered rows that keeps one rating per team and streams through
 Arrow batches: memory grows with teams, never with contests.
 
-A pool with more contests than one task should walk is cut by time into slices
+A pool with more contests than one task should walk is first taken apart into the
+connected components of who played whom: no rating ever crosses from one to another, so
+each is a fold of its own, with the very numbers of one walk. Only a component that is still
+too big is cut by time into slices
 that run side by side. A slice needs the ratings at its start; those are guessed,
 all slices run, and each slice's end becomes the next slice's start; slices whose
 start moved run again, until none does. Slice k is exact after k rounds at the
@@ -19,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.operators.sizing import hot_key_bounds, with_chunk
+from tallyline.operators.graph import components
+from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_key_bounds, with_chunk
 from tallyline.session import pin
 
 # --- Fixed values -----------------------------------------------------------
@@ -28,6 +32,8 @@ K_FACTOR = 20.0
 # ----------------------------------------------------------------------------
 
 POOL = ["format", "sex"]
+# What one walk covers: a pool, or one component of a pool that is too big for a task.
+WALK = [*POOL, "_league"]
 ORDER = ["date", "kind", "match_id"]
 SEED, CONTEST = 0, 1
 # Slices run again until no rating at their start moves by more: at 0 they end with
@@ -57,7 +63,8 @@ def _fold(emit_contests: bool, k: float, initial: float):
                 {
                     "format": pa.array([key[0]] * len(teams), pa.string()),
                     "sex": pa.array([key[1]] * len(teams), pa.string()),
-                    "_chunk": pa.array([key[2]] * len(teams), pa.int32()),
+                    "_league": pa.array([key[2]] * len(teams), pa.string()),
+                    "_chunk": pa.array([key[3]] * len(teams), pa.int32()),
                     "team": pa.array(teams, pa.string()),
                     "rating": pa.array([ratings[t] for t in teams], pa.float64()),
                 }
@@ -66,7 +73,7 @@ def _fold(emit_contests: bool, k: float, initial: float):
         for batch in batches:
             get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             before1, before2, keep = [], [], []
-            for i, key in enumerate(zip(get["format"], get["sex"], get["_chunk"])):
+            for i, key in enumerate(zip(get["format"], get["sex"], get["_league"], get["_chunk"])):
                 if key != current:
                     if current is not None and not emit_contests and ratings:
                         yield closing(current)
@@ -101,13 +108,13 @@ def _fold(emit_contests: bool, k: float, initial: float):
     return walk
 
 
-_STATE = "format string, sex string, _chunk int, team string, rating double"
+_STATE = "format string, sex string, _league string, _chunk int, team string, rating double"
 
 
 def _as_seed(state: DataFrame, like: DataFrame) -> DataFrame:
     """Rating rows in the shape of contest rows; they sort first in their slice."""
     values = {
-        **{n: F.col(n) for n in (*POOL, "_chunk")},
+        **{n: F.col(n) for n in (*WALK, "_chunk")},
         "_row": F.lit(SEED),
         "side1": F.col("team"),
         "score": F.col("rating"),
@@ -124,7 +131,7 @@ def _run(
     rows: DataFrame, seeds: DataFrame | None, emit_contests: bool, k: float, initial: float
 ) -> DataFrame:
     staged = rows if seeds is None else rows.unionByName(_as_seed(seeds, rows))
-    key = [*POOL, "_chunk"]
+    key = [*WALK, "_chunk"]
     ordered = staged.repartition(*key).sortWithinPartitions(
         *key, "_row", *ORDER
     )
@@ -134,61 +141,90 @@ def _run(
 
 
 def _settle(rows, bounds, seeds, k, initial, tolerance) -> DataFrame:
-    """Ratings at the start of every slice of every split pool."""
+    """Ratings at the start of every slice of every split walk."""
     slices = bounds.select(
-        *POOL, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_chunk")
+        *WALK, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_chunk")
     )
     teams = (
         rows.where("_hot")
-        .select(*POOL, F.explode(F.array("side1", "side2")).alias("team"))
+        .select(*WALK, F.explode(F.array("side1", "side2")).alias("team"))
         .distinct()
     )
-    grid = pin(slices.join(teams, POOL))
+    grid = pin(slices.join(teams, WALK))
     first = grid.withColumn("rating", F.lit(initial))
     if seeds is not None:
-        known = seeds.select(*POOL, "team", F.col("rating").alias("_given"))
-        first = first.join(known, [*POOL, "team"], "left").select(
-            *POOL, "_chunk", "team", F.coalesce("_given", "rating").alias("rating")
+        known = seeds.select(*WALK, "team", F.col("rating").alias("_given"))
+        first = first.join(known, [*WALK, "team"], "left").select(
+            *WALK, "_chunk", "team", F.coalesce("_given", "rating").alias("rating")
         )
     hot = rows.where("_hot")
-    by_team = Window.partitionBy(*POOL, "team").orderBy("_chunk")
+    by_team = Window.partitionBy(*WALK, "team").orderBy("_chunk")
     state = pin(first.withColumn("_end", F.lit(None).cast("double")).withColumn("_moved", F.lit(True)))
     while True:
         # Slices whose starts have not moved would only repeat their walk; a pool's first
         # slice to run is exact afterwards, so this ends after as many rounds as slices.
-        moved = pin(state.where("_moved").select(*POOL, "_chunk").distinct())
+        moved = pin(state.where("_moved").select(*WALK, "_chunk").distinct())
         again = F.broadcast(moved)
-        starts = state.join(again, [*POOL, "_chunk"], "left_semi").select(*POOL, "_chunk", "team", "rating")
-        ran = hot.join(again, [*POOL, "_chunk"], "left_semi")
+        starts = state.join(again, [*WALK, "_chunk"], "left_semi").select(*WALK, "_chunk", "team", "rating")
+        ran = hot.join(again, [*WALK, "_chunk"], "left_semi")
         ends = _run(ran, starts, False, k, initial).withColumnRenamed("rating", "_new")
-        joined = state.join(ends, [*POOL, "_chunk", "team"], "left").withColumn("_end", F.coalesce("_new", "_end"))
+        joined = state.join(ends, [*WALK, "_chunk", "team"], "left").withColumn("_end", F.coalesce("_new", "_end"))
         # Every slice is seeded with every team, so each end row has a next start.
         following = F.coalesce(F.lag("_end").over(by_team), F.col("rating"))
         state = pin(
             joined.withColumn("_next", following).select(
-                *POOL, "_chunk", "team", F.col("_next").alias("rating"), "_end",
+                *WALK, "_chunk", "team", F.col("_next").alias("rating"), "_end",
                 (F.abs(F.col("_next") - F.col("rating")) > tolerance).alias("_moved"),
             )
         )
         if state.where("_moved").isEmpty():
             break
-    return state.select(*POOL, "_chunk", "team", "rating")
+    return state.select(*WALK, "_chunk", "team", "rating")
+
+
+def _leagues(scores: DataFrame, max_rows: int | None) -> DataFrame | None:
+    """(pool, team, _league) of the pools that hold more rows than a task should walk; None without such a pool."""
+    if max_rows == UNSPLIT:
+        return None
+    sizes = scores.groupBy(*POOL).agg(F.count(F.lit(1)).alias("_n"))
+    big = pin(sizes.where(F.col("_n") > (max_rows or MAX_ROWS_PER_KEY)).drop("_n"))
+    if big.isEmpty():
+        return None
+    # One row for each pair that met, however often; a big pool is a key of few rows here.
+    met = scores.join(F.broadcast(big), POOL, "left_semi").select(*POOL, "side1", "side2").distinct()
+    return components(met, POOL, "side1", "side2", "_league").withColumnRenamed("node", "team")
+
+
+def _in_leagues(rows: DataFrame, leagues: DataFrame | None, team: str) -> DataFrame:
+    if leagues is None:
+        return rows.withColumn("_league", F.lit(""))
+    named = leagues.withColumnRenamed("team", "_member")
+    on = F.col(team) == F.col("_member")
+    for k in POOL:
+        on = on & (rows[k] == named[k])
+    found = rows.join(named, on, "left").select(*[rows[c] for c in rows.columns], "_league")
+    return found.withColumn("_league", F.coalesce("_league", F.lit("")))
 
 
 def _staged(scores, ratings_in, max_rows, k, initial, tolerance):
-    bounds = hot_key_bounds(scores, POOL, ORDER, max_rows)
+    leagues = _leagues(scores, max_rows)
     seeds = None
     if ratings_in is not None:
-        seeds = ratings_in.select(*POOL, "team", "rating")
+        seeds = _in_leagues(ratings_in.select(*POOL, "team", "rating"), leagues, "team")
+    scores = _in_leagues(scores, leagues, "side1")
+    bounds = None
+    if leagues is not None:
+        scores = pin(scores)
+        bounds = hot_key_bounds(scores, WALK, ORDER, max_rows)
     if bounds is None:
         rows = scores.select("*", F.lit(0).alias("_chunk"), F.lit(CONTEST).alias("_row"))
         return rows, None if seeds is None else seeds.withColumn("_chunk", F.lit(0))
-    rows = with_chunk(scores, POOL, ORDER, bounds).withColumn("_row", F.lit(CONTEST))
+    rows = with_chunk(scores, WALK, ORDER, bounds).withColumn("_row", F.lit(CONTEST))
     rows = pin(rows)
     starts = _settle(rows, bounds, seeds, k, initial, tolerance)
     rows = rows.drop("_hot")
     if seeds is not None:
-        cold = seeds.join(F.broadcast(bounds.select(*POOL)), POOL, "left_anti")
+        cold = seeds.join(F.broadcast(bounds.select(*WALK)), WALK, "left_anti")
         starts = starts.unionByName(cold.withColumn("_chunk", F.lit(0)))
     return rows, starts
 
@@ -222,6 +258,7 @@ def elo_after(
     """(format, sex, team, rating) after the last contest: the next run's input."""
     rows, seeds = _staged(scores, ratings_in, max_rows, k, initial, tolerance)
     ends = _run(rows, seeds, False, k, initial)
+    # A team is in one walk of its pool.
     out = ends.groupBy(*POOL, "team").agg(F.max_by("rating", "_chunk").alias("rating"))
     return out
 

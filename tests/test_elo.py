@@ -65,3 +65,51 @@ def test_fixture_values(spark):
     got = {r.match_id: r for r in elo_before(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got["m1"].elo1 == got["m1"].elo2 == 1500.0
     assert got["m2"].elo2 == 1510.0 and got["m2"].elo1 == 1490.0
+
+
+def _two_leagues(n=300):
+    """One pool, two leagues whose teams never meet; a lone team that only asks against itself is none."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(n):
+        a, b = rng.sample(rng.choice(["ABCD", "WXYZ"]), 2)
+        rows.append(("T20", "m", dt.date(2024, 1, 1) + dt.timedelta(days=i // 3), 1, f"{i:04d}", True, a, b, rng.choice([1.0, 0.0, 0.5, None])))
+    return rows
+
+
+def test_leagues_that_never_meet_are_walked_apart(spark):
+    from tallyline.operators import elo
+
+    rows = _two_leagues()
+    df = spark.createDataFrame(rows, SCHEMA)
+    # Each league is within the limit, both together are not: two walks, no slices.
+    limit = max(sum(r[6] in side for r in rows) for side in ("ABCD", "WXYZ"))
+    walks, _ = elo._staged(df, None, limit, elo.K_FACTOR, elo.INITIAL, 0.0)
+    assert {(r._league, r._chunk) for r in walks.select("_league", "_chunk").distinct().collect()} == {("A", 0), ("W", 0)}
+    whole = {r.match_id: (r.elo1, r.elo2) for r in elo_before(df).collect()}
+    apart = {r.match_id: (r.elo1, r.elo2) for r in elo_before(df, max_rows=limit).collect()}
+    assert apart == whole
+    # A smaller limit cuts inside the leagues alone.
+    walks, _ = elo._staged(df, None, 60, elo.K_FACTOR, elo.INITIAL, 0.0)
+    found = {(r._league, r._chunk) for r in walks.select("_league", "_chunk").distinct().collect()}
+    assert {x for x, _ in found} == {"A", "W"} and len(found) >= 5
+    assert {r.match_id: (r.elo1, r.elo2) for r in elo_before(df, max_rows=60).collect()} == whole
+
+
+def test_ratings_of_leagues_continue(spark):
+    rows = _two_leagues()
+    first = elo_after(spark.createDataFrame(rows[:150], SCHEMA))
+    extra = spark.createDataFrame([("T20", "m", "Q", 1700.0)], "format string, sex string, team string, rating double")
+    late = spark.createDataFrame(rows[150:], SCHEMA)
+    whole = {(r.team): r.rating for r in elo_after(late, ratings_in=first.unionByName(extra)).collect()}
+    assert {(r.team): r.rating for r in elo_after(late, ratings_in=first.unionByName(extra), max_rows=100).collect()} == whole
+    assert whole["Q"] == 1700.0
+
+
+def test_components_of_a_long_path(spark):
+    from tallyline.operators.graph import components
+
+    edges = [("k", f"{i:03d}", f"{i + 1:03d}") for i in range(60)] + [("k", "x", "y"), ("l", "005", "x"), ("k", None, "z")]
+    df = spark.createDataFrame(edges, "p string, a string, b string")
+    got = {(r.p, r.node): r.component for r in components(df, ["p"], "a", "b").collect()}
+    assert got == {**{("k", f"{i:03d}"): "000" for i in range(61)}, ("k", "x"): "x", ("k", "y"): "x", ("l", "005"): "005", ("l", "x"): "005"}
