@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,8 +31,19 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-# Rows that `mapped` hands to a function at once; their Python objects bound a worker's memory.
+# Rows, and bytes of their columns, that `mapped` hands to a function at once; their Python objects bound a worker's memory.
 SLICE_ROWS = 1_000
+SLICE_BYTES = 6 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch within both bounds; a single row may be larger."""
+    if batch.num_rows > SLICE_ROWS or (batch.num_rows > 1 and batch.nbytes > SLICE_BYTES):
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -38,16 +51,33 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBat
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, SLICE_ROWS):
-                out = fn(batch.slice(k, SLICE_ROWS))
+            for part in slices(batch):
+                out = fn(part)
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-        # Workers live on for other tasks; what this one needed goes back.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+_memories: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task under `name`; one thing at a time, for workers outlive their stage."""
+    if name not in _memories:
+        _memories.clear()
+        _memories[name] = make()
+    return _memories[name]
+
+
+def give_back() -> None:
+    """Return what a finished task needed: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_ids() -> Iterator[int]:
     """Numbers that no other task hands out. They hold once the rows are written."""
     base = TaskContext.get().partitionId() << 36

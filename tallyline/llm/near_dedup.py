@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import LOWER, mapped, mix, utf8
+from tallyline.llm.common import LOWER, mapped, mix, remembered, utf8
 from tallyline.llm.components import components
 from tallyline.session import staged
 
@@ -30,8 +30,9 @@ MANTISSA = 10
 BANDS, ROWS = 24, 4
 # Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 4.5
-# Members of a bucket, and askers, that one task compares.
+# Members of a bucket, and askers, that one group compares, and the bytes of either: long texts make smaller groups.
 BLOCK = 512
+BLOCK_BYTES = 2 << 20
 # Hashed words that a worker keeps before it starts afresh.
 CACHE_WORDS = 250_000
 
@@ -49,15 +50,13 @@ class _Hashes(dict):
         return h
 
 
-_words = _Hashes()
-
-
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words, of all words if there are fewer."""
     words = utf8(text).translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = remembered("hashed words", _Hashes)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < size:
         return mix(np.sum(h * _K[: len(h)], keepdims=True) + _K[62 - len(h) :][:1])
     n = len(h) - size + 1
@@ -224,18 +223,25 @@ class _Differences:
 
 
 def _dealt(members: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows of mixed buckets by (band, block, part), with the facts: about `BLOCK` at home there and as many that ask.
+    """Rows of mixed buckets by (band, block, part), with the facts: about `BLOCK`, of about `BLOCK_BYTES`, at home there and as many that ask.
 
     Every member outside its bucket's largest component asks: it goes to all blocks in its own
     part. Every member is at home in its own block, in all parts. So each asker meets each
     other member in one group, and no group grows with its bucket.
     """
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("k"))
+    weight = F.lit(2 * BUCKETS) + F.coalesce(F.length("lost"), F.lit(0)) + F.coalesce(F.length("extra"), F.lit(0))
+    weighed = members.join(facts.select("id", "hub", weight.alias("bytes")), ["id", "hub"])
+    sizes = weighed.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
     main = sizes.groupBy("band").agg(
-        F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("n"), F.sum("k").alias("k")
-    ).where("n > 1").select(
-        "band", F.col("main.component").alias("main"), F.ceil(F.col("k") / BLOCK).alias("blocks"),
-        F.ceil((F.col("k") - F.col("main.k")) / BLOCK).alias("parts"),
+        F.max(F.struct("k", "component", "bytes")).alias("main"), F.count("*").alias("n"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes")
+    ).where("n > 1")
+
+    def groups(rows, bytes_):
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(bytes_ / BLOCK_BYTES))
+
+    main = main.select(
+        "band", F.col("main.component").alias("main"), groups(F.col("k"), F.col("bytes")).alias("blocks"),
+        groups(F.col("k") - F.col("main.k"), F.col("bytes") - F.col("main.bytes")).alias("parts"),
     )
     asks = F.col("component") != F.col("main")
     # Sketches and sets join the members of mixed buckets only.
@@ -265,7 +271,11 @@ def _outside(members: DataFrame, facts: DataFrame, threshold: float) -> DataFram
     with one component, one is given.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        # One group at a time: a batch holds many, and theirs would all be Python objects at once.
+        return pa.Table.from_batches([compared(batch.slice(k, 1)) for k in range(batch.num_rows)])
+
+    def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(0)
         flat, ends = column.flatten(), column.offsets.to_numpy() - column.offsets.to_numpy()[0]
         ids, comp, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "component", "n"))

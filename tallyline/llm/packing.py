@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import row_ids
+from tallyline.llm.common import give_back, row_ids
 from tallyline.llm.tokens import Ids, encoder
 from tallyline.session import staged
 
@@ -73,6 +73,7 @@ def pieces_of(
                 out = cut(part, batch.column(0))
                 own = pa.array([next(numbers) for _ in range(out.num_rows)], pa.int64())
                 yield from out.append_column("piece_id", own).to_batches()
+        give_back()
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return staged(chosen.mapInArrow(numbered, f"{fields}, piece_id long"))

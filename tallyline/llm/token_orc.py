@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import mapped, partitions
+from tallyline.llm.common import give_back, mapped, partitions
 from tallyline.llm.tokens import encoder
 from tallyline.session import ensure_checkpoint_dir
 
@@ -52,6 +52,7 @@ def write_tokens(
                 rows = batch.column(0).slice(some.low, some.high - some.low)
                 columns = [rows, pa.array(np.full(len(sizes), part, np.int32)), pa.array(starts), pa.array(sizes), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "before", "n_tokens", "ids"])
+        give_back()
 
     spark = docs.sparkSession
     kind = docs.select(F.col(id_col).alias("doc_id")).schema[0].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -9,7 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from tallyline.llm.common import mix
+from tallyline.llm.common import mix, remembered
 
 # A text with any of these is encoded in one piece: runs of white space, white space other
 # than blanks and line ends, and the byte that pads packed pieces.
@@ -31,9 +32,6 @@ _LATIN = np.array([0x80 <= b < 0xC0 and b not in (0x97, 0xB7) for b in range(256
 # Words that the model may be asked for without its pre-tokenizer: runs of plain Latin letters.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
-
-
 def _byte_letters() -> list[str]:
     """The character that byte-level vocabularies write for each byte: printable ones stand for themselves."""
     shown, rest = [*range(33, 127), *range(161, 173), *range(174, 256)], 256
@@ -252,11 +250,5 @@ class Encoder:
 
 def encoder(path: str, drops_space: bool = False) -> Encoder:
     """The encoder of this worker for a file."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (path, drops_space) not in _encoders:
-        # One at a time: workers live on, and a later stage may use another file.
-        _encoders.clear()
-        _encoders[path, drops_space] = Encoder(path, drops_space)
-    return _encoders[path, drops_space]
+    return remembered(f"encoder {path} {drops_space}", lambda: Encoder(path, drops_space))
