@@ -125,15 +125,15 @@ def repeated_runs(
     keyed = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text")
     )
-    spans = _spans(keyed, min_words, min_sentences)
-    counts = spans.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("k"))
-    # Copies of a row are one occurrence; counting them twice only means a look at their runs.
-    repeated = counts.where("k > 1").select("hash")
+    # Hashed once: one reader finds the first place of each hash, the other its later ones.
+    spans = staged(_spans(keyed, min_words, min_sentences))
     placed = spans.select("doc_id", "version", F.posexplode("hashes").alias("start", "hash"))
-    again = staged(placed.join(repeated, "hash"))
     place = F.struct("doc_id", "version", "start")
-    first = again.groupBy("hash").agg(F.min(place).alias("first"))
-    later = again.join(first, "hash").where(~place.eqNullSafe(F.col("first")))
+    # Copies of a row are one occurrence; counting them twice only means a look at their runs. A hash of
+    # any number of runs leaves each task as one row.
+    firsts = placed.groupBy("hash").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").drop("k")
+    # One row for each hash on the right, and nothing but a filter behind the join: a hot hash may be split.
+    later = placed.join(firsts, "hash").where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
 
 
@@ -149,8 +149,9 @@ def remove_repeats(
     the earlier stays. Rows equal in id and text are one occurrence and stay equal. A null id
     comes before all others.
     """
+    own_id, own_version, own_starts, version, cut_ = (_free(n, docs.columns) for n in ("id", "version", "starts", "v", "cut"))
     starts = repeated_runs(docs, min_words, min_sentences, id_col, text_col).select(
-        F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("starts").alias("__starts")
+        F.col("doc_id").alias(own_id), F.col("version").alias(own_version), F.col("starts").alias(own_starts)
     )
 
     @F.pandas_udf("text string, n_sentences int, n_removed int")
@@ -173,13 +174,21 @@ def remove_repeats(
             rows.append((left.decode().strip(), count, int(gone.sum())))
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
-    joined = docs.withColumn("__v", F.xxhash64(text_col)).join(
-        starts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__v") == F.col("__version")), "left"
+    joined = docs.withColumn(version, F.xxhash64(text_col)).join(
+        starts, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(version) == F.col(own_version)), "left"
     )
-    done = joined.withColumn("__cut", cut(text_col, "__starts"))
+    done = joined.withColumn(cut_, cut(text_col, own_starts))
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     return done.select(
-        *[F.col("__cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
-        "__cut.n_sentences",
-        "__cut.n_removed",
+        *[F.col(f"{cut_}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
+        f"{cut_}.n_sentences",
+        f"{cut_}.n_removed",
     )
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, in any case of letters."""
+    name, used = f"__{name}", {c.lower() for c in taken}
+    while name in used:
+        name = f"_{name}"
+    return name

@@ -168,3 +168,11 @@ def test_pipeline_stages(spark, docs, none, labels, benchmark, tmp_path):
     name, last = corpus_pipeline.STAGES[-1]
     assert name == "packing" and last(spark, none, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.max("length")).first()[0] <= 4096
+
+
+def test_span_columns_may_clash(spark):
+    text = "One two three four five six seven. Eight nine ten eleven twelve. A b c d e f g h i j k l."
+    rows = [(1, text, 1, 2, 3, 4, 5), (2, text, 1, 2, 3, 4, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __id int, __VERSION int, __starts int, __v int, __cut int")
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(table).collect()}
+    assert out[1].text == text and out[2].text == "" and out[2]["__id"] == 1 and out[2]["__cut"] == 5
