@@ -1,4 +1,4 @@
-"""Estimators, bundles, scoring and explanations on MLlib."""
+"""Estimators, bundles, scoring and explanations: MLlib's logistic model, boosted trees of `boosting`."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.scoring import elo_probability, finite_or_zero
 from tallyline.operators.frames import mirrored
+from tallyline.plans.boosting import Fit, Trees, fit_many
 
 # --- Fixed values -----------------------------------------------------------
 LOGISTIC, TREES, ELO = "logistic_regression", "gradient_boosting", "elo_baseline"
@@ -21,7 +22,6 @@ ELO_FEATURE = "team_elo_before_diff"
 LIVE_MODE = "LIVE_AFTER_LEGAL_BALL"
 ROSTER_FAMILY = "previous_xi_core_strength"
 L2_STRENGTH = 1.0
-STEP_SIZE = 0.05
 NEGLIGIBLE = 1e-12
 # ----------------------------------------------------------------------------
 
@@ -33,14 +33,15 @@ class Candidate:
     name: str
     intercept: bool = False
     rounds: int = 300
-    depth: int = 4
+    leaves: int = 15
     min_leaf: int = 30
+    depth: int | None = None
 
 
-PAIRED_CANDIDATES = (Candidate(LOGISTIC), Candidate(TREES, rounds=300, depth=4, min_leaf=30))
+PAIRED_CANDIDATES = (Candidate(LOGISTIC), Candidate(TREES, rounds=300, leaves=15, min_leaf=30))
 LIVE_CANDIDATES = (
     Candidate(LOGISTIC, intercept=True),
-    Candidate(TREES, rounds=250, depth=5, min_leaf=50),
+    Candidate(TREES, rounds=250, leaves=31, min_leaf=50),
 )
 
 
@@ -52,7 +53,7 @@ class Bundle:
     features: tuple[str, ...]
     prediction_mode: str
     domain: str
-    model: PipelineModel | None = None
+    model: PipelineModel | Trees | None = None
     innings_number: int | None = None
     feature_family: str | None = None
     trained_through: str | None = None
@@ -73,12 +74,6 @@ def sanitized(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def _stages(candidate: Candidate, features, label, weight, total: float, rows: int) -> list:
     assemble = VectorAssembler(inputCols=list(features), outputCol="raw_features")
-    if candidate.name == TREES:
-        trees = GBTClassifier(
-            featuresCol="raw_features", labelCol=label, stepSize=STEP_SIZE, maxIter=candidate.rounds,
-            maxDepth=candidate.depth, minInstancesPerNode=candidate.min_leaf, seed=42,
-        )
-        return [assemble, trees.setWeightCol(weight) if weight else trees]
     scale = StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True, withStd=True)
     # The penalty is stated per total weight, and the scaler divides by n - 1
     # where the stated objective divides by n.
@@ -90,6 +85,20 @@ def _stages(candidate: Candidate, features, label, weight, total: float, rows: i
     return [assemble, scale, logistic.setWeightCol(weight) if weight else logistic]
 
 
+def tree_fit(candidate: Candidate, features: Sequence[str], rows: Column | None = None, period: str = "") -> Fit:
+    """What `boosting` is to fit for a candidate."""
+    return Fit(
+        tuple(features), F.lit(True) if rows is None else rows, period, candidate.rounds, candidate.leaves,
+        candidate.min_leaf, candidate.depth,
+    )
+
+
+def training_rows(frame: DataFrame, features: Sequence[str], label: str, mirror: bool) -> DataFrame:
+    """Usable inputs of a frame, each row from both sides where sides are exchangeable; other columns stay."""
+    rows = sanitized(frame, features)
+    return mirrored(rows, features, label) if mirror else rows
+
+
 def fit(
     candidate: Candidate,
     frame: DataFrame,
@@ -97,12 +106,12 @@ def fit(
     label: str = "team_a_win",
     weight: str | None = None,
     mirror: bool = True,
-) -> PipelineModel:
+) -> PipelineModel | Trees:
     """Fit one candidate; paired frames are mirrored so that sides are exchangeable."""
     keep = [label, *features] + ([weight] if weight else [])
-    rows = sanitized(frame.select(*keep), features)
-    if mirror:
-        rows = mirrored(rows, features, label)
+    rows = training_rows(frame.select(*keep), features, label, mirror)
+    if candidate.name == TREES:
+        return fit_many(rows, [tree_fit(candidate, features)], label, weight)[0]
     rows = rows.withColumn(label, F.col(label).cast("double"))
     size = rows.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(weight) if weight else F.lit(1.0)).alias("w")
@@ -112,8 +121,10 @@ def fit(
     return Pipeline(stages=_stages(candidate, features, label, weight, size["w"], size["n"])).fit(rows)
 
 
-def _forward(model: PipelineModel, df: DataFrame, features: Sequence[str], sign: int, name: str) -> DataFrame:
+def _forward(model: PipelineModel | Trees, df: DataFrame, features: Sequence[str], sign: int, name: str) -> DataFrame:
     kept = df.columns
+    if isinstance(model, Trees):
+        return df.withColumn(name, model.probability([finite_or_zero(F.col(f)) * sign for f in features]))
     inputs = df.select(*kept, F.struct(*features).alias("_kept_features"))
     values = {f: finite_or_zero(F.col(f"_kept_features.{f}")) * sign for f in features}
     scored = model.transform(inputs.withColumns(values))
@@ -206,7 +217,9 @@ def save(spark: SparkSession, bundles: Sequence[Bundle], root: str) -> DataFrame
     for b in bundles:
         innings = "" if b.innings_number is None else f"/innings_{b.innings_number}"
         path = f"{root}/{b.prediction_mode}/{b.domain}{innings}"
-        if b.model is not None:
+        if isinstance(b.model, Trees):
+            b.model.save(spark, path)
+        elif b.model is not None:
             b.model.write().overwrite().save(path)
         stored.append(Bundle(**{**b.__dict__, "path": path}))
     registry = registry_rows(spark, stored)
@@ -219,7 +232,11 @@ def load(spark: SparkSession, root: str) -> list[Bundle]:
     registry = spark.read.schema(REGISTRY).parquet(f"{root}/registry")
     bundles = []
     for row in registry.collect():
-        model = None if row["model_name"] == ELO else PipelineModel.load(row["path"])
+        model = None
+        if row["model_name"] == TREES:
+            model = Trees.load(spark, row["path"])
+        elif row["model_name"] != ELO:
+            model = PipelineModel.load(row["path"])
         facts = row.asDict()
         facts["features"] = tuple(facts["features"])
         bundles.append(Bundle(model=model, **facts))

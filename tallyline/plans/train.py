@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators import metrics as X
 from tallyline.operators.frames import common_ids, equal_weights, slice_by_date, target_conflicts
 from tallyline.operators.participants import CORES, MEANS
+from tallyline.plans.boosting import fit_many
 from tallyline.plans.models import (
     ELO,
     LIVE_CANDIDATES,
     LIVE_MODE,
     PAIRED_CANDIDATES,
     ROSTER_FAMILY,
+    TREES,
     Bundle,
     Candidate,
     fit,
     probability,
+    training_rows,
+    tree_fit,
 )
 from tallyline.session import staged
 
@@ -57,22 +61,51 @@ def evaluate(
     bundle: Bundle, frame: DataFrame, label: str, symmetric: bool, weight: str | None = None
 ) -> DataFrame:
     """One row of metrics of one model on one frame."""
-    scored = probability(bundle, frame, "_p", symmetric)
-    out = X.binary_metrics(scored, label, "_p", weight=weight, matches="match_id")
-    return out.select(F.lit(bundle.model_name).alias("model"), "n", "matches", *NAMES)
+    return evaluated([({"model": bundle.model_name}, bundle, frame)], label, symmetric, weight).select(
+        "model", "n", "matches", *NAMES
+    )
+
+
+def evaluated(
+    cases: Sequence[tuple[Mapping[str, str], Bundle, DataFrame]], label: str, symmetric: bool, weight: str | None = None
+) -> DataFrame:
+    """A row of metrics for each case (names, model, frame): all are scored into one stored table, then measured at once."""
+    names = list(cases[0][0])
+    kept = list(dict.fromkeys([label, "match_id", *([weight] if weight else [])]))
+    parts = None
+    for values, bundle, frame in cases:
+        part = probability(bundle, frame, "_p", symmetric).select(
+            *[F.lit(values[n]).alias(n) for n in names], *kept, "_p"
+        )
+        parts = part if parts is None else parts.unionByName(part)
+    out = X.binary_metrics(staged(parts), label, "_p", names, weight=weight, matches="match_id")
+    return out.select(*names, "n", "matches", *NAMES)
+
+
+def fitted(
+    frame: DataFrame, cases: Sequence[tuple[Candidate, Sequence[str], Column, str]], label: str, weight: str | None, mirror: bool
+) -> list:
+    """A model for each (candidate, features, rows, period): boosted trees side by side, the others one by one."""
+    features = list(dict.fromkeys(f for _, names, *_ in cases for f in names))
+    trees = [k for k, (c, *_) in enumerate(cases) if c.name == TREES]
+    out: dict = {}
+    if trees:
+        rows = training_rows(frame, features, label, mirror)
+        fits = [tree_fit(*cases[k]) for k in trees]
+        out = dict(zip(trees, fit_many(rows, fits, label, weight)))
+    for k, (candidate, names, rows, _) in enumerate(cases):
+        if k not in out:
+            out[k] = fit(candidate, frame.where(rows), names, label, weight, mirror)
+    return [out[k] for k in range(len(cases))]
 
 
 def _candidate_metrics(
     candidates, train, test, features, mode, domain, label, weight, mirror, baselines=()
 ) -> tuple[dict[str, Bundle], DataFrame]:
-    bundles, rows = {}, None
-    for c in candidates:
-        model = fit(c, train, features, label, weight, mirror)
-        bundles[c.name] = Bundle(c.name, tuple(features), mode, domain, model)
-    for b in [*bundles.values(), *baselines]:
-        row = evaluate(b, test, label, mirror, weight)
-        rows = row if rows is None else rows.unionByName(row)
-    return bundles, rows
+    models = fitted(train, [(c, features, F.lit(True), "") for c in candidates], label, weight, mirror)
+    bundles = {c.name: Bundle(c.name, tuple(features), mode, domain, m) for c, m in zip(candidates, models)}
+    cases = [({"model": b.model_name}, b, test) for b in [*bundles.values(), *baselines]]
+    return bundles, evaluated(cases, label, mirror, weight)
 
 
 def selected(metrics: DataFrame) -> str:
@@ -157,14 +190,6 @@ def train_live(frame: DataFrame, *, innings_number: int, features: Sequence[str]
     )
 
 
-def _best_on(frame, features, train_end, valid_end, candidates) -> dict:
-    train, valid = _between(frame, None, train_end), _between(frame, train_end, valid_end)
-    _, m = _candidate_metrics(candidates, train, valid, features, "", "", "team_a_win", None, True)
-    m = staged(m)
-    best = selected(m)
-    return m.where(F.col("model") == best).first().asDict()
-
-
 def feature_group_folds(
     frame: DataFrame,
     base: Sequence[str],
@@ -172,22 +197,37 @@ def feature_group_folds(
     folds: Sequence[tuple[str, str, str]] = FOLDS,
     candidates: Sequence[Candidate] = PAIRED_CANDIDATES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rolling folds with and without each feature group, and the gate per group."""
+    """Rolling folds with and without each feature group, and the gate per group.
+
+    All trees of all folds and groups grow side by side over one stored table, and all models are measured at once.
+    """
     extra = [f for group in groups.values() for f in group]
     frame = staged(frame.select(*dict.fromkeys(["match_id", "date", "team_a_win", *base, *extra])))
-    rows = []
-    for fold, train_end, valid_end in folds:
-        plain = _best_on(frame, base, train_end, valid_end, candidates)
-        for group, names in groups.items():
-            richer = _best_on(frame, (*base, *names), train_end, valid_end, candidates)
-            rows.append(
-                (group, fold, plain["model"], richer["model"], plain["brier_score"], richer["brier_score"],
-                 richer["brier_score"] - plain["brier_score"])
-            )
-    table = frame.sparkSession.createDataFrame(
-        rows,
-        "feature_group string, fold string, baseline_model string, candidate_model string, "
-        "baseline_brier double, candidate_brier double, brier_delta double",
+    plain = "(plain)"
+    sets = {plain: tuple(base), **{g: (*base, *names) for g, names in groups.items()}}
+    named, cases = [], []
+    for fold, train_end, _ in folds:
+        for group, features in sets.items():
+            for c in candidates:
+                named.append((fold, group, c, features))
+                cases.append((c, features, F.col("date") <= F.lit(train_end).cast("date"), fold))
+    models = fitted(frame, cases, "team_a_win", None, True)
+    valid = {fold: _between(frame, train_end, valid_end) for fold, train_end, valid_end in folds}
+    scored = evaluated(
+        [
+            ({"fold": fold, "feature_group": group, "model": c.name}, Bundle(c.name, features, "", "", model), valid[fold])
+            for (fold, group, c, features), model in zip(named, models)
+        ],
+        "team_a_win", True,
+    )
+    order = F.struct("brier_score", "log_loss", "model")
+    best = staged(scored.groupBy("fold", "feature_group").agg(F.min_by(F.struct("model", "brier_score"), order).alias("best")))
+    before = best.where(F.col("feature_group") == plain).select("fold", F.col("best").alias("plain"))
+    table = best.where(F.col("feature_group") != plain).join(before, "fold").select(
+        "feature_group", "fold",
+        F.col("plain.model").alias("baseline_model"), F.col("best.model").alias("candidate_model"),
+        F.col("plain.brier_score").alias("baseline_brier"), F.col("best.brier_score").alias("candidate_brier"),
+        (F.col("best.brier_score") - F.col("plain.brier_score")).alias("brier_delta"),
     )
     return table, X.fold_gate(table, ["feature_group"])
 
