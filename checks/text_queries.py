@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import views as V
+from tallyline.sources import archives
 from tallyline.functions import confidence, messages, outcomes, requests, scoring, text
 from tallyline.sources import documents as D
 from tallyline.sources import feed as L
-from tallyline.session import staged
+from tallyline.session import ensure_checkpoint_dir, staged
 
 QUERIES, SQL = {}, {}
 
@@ -23,6 +28,33 @@ def query(name, sql=None):
     return register
 
 
+@query(
+    "zip_members",
+    "SELECT CAST(doc_id AS VARCHAR) AS member, length(text) AS n_chars, md5(text) AS digest FROM documents WHERE text IS NOT NULL",
+)
+def zip_members(spark, sf):
+    """Every document written into zip archives, one for each task, and read back member by member."""
+    folder = f"{ensure_checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    archives.opened(folder)[0].create_dir(archives.opened(folder)[1])
+
+    def write(batches):
+        system, inner = archives.opened(folder)
+        n = 0
+        with system.open_output_stream(f"{inner}/{uuid.uuid4().hex}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    z.writestr(f"{doc}.txt", text)
+                    n += 1
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    docs = V.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    docs.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    members = archives.read_archives(spark, folder, split_bytes=1 << 18)
+    return members.select(
+        F.regexp_replace("member", r"\.txt$", "").alias("member"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest")
+    )
+
+
 # --- match documents: one JSON text per order --------------------------------
 def match_documents(spark, sf):
     c = F.col

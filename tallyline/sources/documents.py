@@ -7,11 +7,6 @@ rows, and none of the three needs a shuffle.
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +14,14 @@ from tallyline.functions.binding import bind
 from tallyline.functions.outcomes import NOT_A_WICKET, other_team, result_of
 from tallyline.functions.scoring import is_legal, overs_notation
 from tallyline.functions.text import canonical_competition, contest_format
+from tallyline.sources.archives import read_archives  # noqa: F401
 
 # --- Fixed values -----------------------------------------------------------
-MEMBER_SUFFIXES = (".json", ".txt", ".md")
 MALFORMED = "Malformed JSON"
 NOT_AN_OBJECT = "Match file root must be a JSON object"
 NO_INFO = "Expected object for info"
 NO_TEAMS = "Match is missing two team names"
 # ----------------------------------------------------------------------------
-MEMBERS_PER_BATCH = 500
 
 
 def _json_files(spark: SparkSession):
@@ -54,73 +48,10 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def safe_member(name: str) -> str | None:
-    """Base name of an archive member worth extracting, else None."""
-    parts = name.replace("\\", "/").split("/")
-    base = parts[-1]
-    if name.startswith(("/", "\\")) or ".." in parts or not base or base.startswith("."):
-        return None
-    return base if base.lower().endswith(MEMBER_SUFFIXES) else None
-
-
-def _unzip(overwrite: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _members(path, content, overwrite)
-
-    return run
-
-
-def _members(path: str, content: bytes, overwrite: bool) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "member", "text", "error"]
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        yield pd.DataFrame([(path, None, None, "Invalid zip archive")], columns=columns)
-        return
-    chosen: dict[str, zipfile.ZipInfo] = {}
-    for info in archive.infolist():
-        base = None if info.is_dir() else safe_member(info.filename)
-        if base is not None and (overwrite or base not in chosen):
-            chosen[base] = info
-    rows = []
-    for base, info in chosen.items():
-        rows.append((path, base, archive.read(info).decode("utf-8", "replace"), None))
-        if len(rows) == MEMBERS_PER_BATCH:
-            yield pd.DataFrame(rows, columns=columns)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=columns)
-
-
-def read_archives(spark: SparkSession, path: str | list[str], overwrite: bool = False) -> DataFrame:
-    """(archive, member, text, error) of the files inside zip archives.
-
-    Members keep their base name only; of equal names the first stays, or the last
-    with ``overwrite``. Unsafe names and other file types are left out.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.zip")
-        .load(path)
-    )
-    return files.select("path", "content").mapInPandas(
-        _unzip(overwrite), "archive string, member string, text string, error string"
-    )
-
-
 def archive_documents(members: DataFrame) -> DataFrame:
-    """JSON members as documents, spread out again: one archive fills one task."""
-    return (
-        members.where(F.lower("member").endswith(".json"))
-        .select(
-            F.concat_ws("!", "archive", "member").alias("path"),
-            stem(F.col("member")).alias("match_id"),
-            "text",
-        )
-        .repartition("path")
+    """JSON members as documents; those that could not be read are left out."""
+    return members.where(F.lower("member").endswith(".json") & F.col("text").isNotNull()).select(
+        F.concat_ws("!", "archive", "member").alias("path"), stem(F.col("member")).alias("match_id"), "text"
     )
 
 

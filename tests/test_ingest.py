@@ -92,6 +92,33 @@ def test_archives(spark, tmp_path):
     assert [r.match_id for r in D.archive_documents(D.read_archives(spark, str(tmp_path))).collect()] == ["m1"]
 
 
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    from tallyline.sources import archives as A
+
+    texts = {f"m{k:03d}.json": f'{{"n": {k}, "pad": "{"é" * (k * 37 % 900)}"}}' for k in range(120)}
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for k, (name, text) in enumerate(texts.items()):
+            z.writestr(zipfile.ZipInfo(f"deep/{name}"), text, zipfile.ZIP_DEFLATED if k % 3 else zipfile.ZIP_STORED)
+        z.writestr("empty.txt", "")
+        z.writestr("odd.md", "x", zipfile.ZIP_BZIP2)
+    members = D.read_archives(spark, str(tmp_path / "many.zip"), split_bytes=500)
+    assert members.rdd.getNumPartitions() > 20
+    rows = {r.member: r for r in members.collect()}
+    assert {m: r.text for m, r in rows.items() if m.endswith(".json")} == texts
+    assert rows["empty.txt"].text == "" and "method" in rows["odd.md"].error and rows["odd.md"].text is None
+    # A damaged member costs itself alone.
+    raw = bytearray((tmp_path / "many.zip").read_bytes())
+    with zipfile.ZipFile(tmp_path / "many.zip") as z:
+        info = z.getinfo("deep/m004.json")
+    raw[info.header_offset + 60] ^= 255
+    (tmp_path / "hurt.zip").write_bytes(bytes(raw))
+    hurt = {r.member: r.error for r in D.read_archives(spark, [str(tmp_path / "hurt.zip")], split_bytes=500).collect()}
+    assert [m for m, e in hurt.items() if e and m.endswith(".json")] == ["m004.json"]
+    (tmp_path / "none").mkdir()
+    assert D.read_archives(spark, str(tmp_path / "none")).count() == 0
+    assert all(len(p.members) <= 120 for p in A.planned(str(tmp_path / "many.zip"), False, 1))
+
+
 def test_silver_is_parsed_once_per_fingerprint(spark, corpus, tmp_path):
     cache = str(tmp_path / "cache")
     first, errors = T.load_matches(spark, corpus, cache)
