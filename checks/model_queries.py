@@ -104,6 +104,35 @@ def compare_models(spark, sf):
     return T.compare(rows, rows, old, new, "2000-01-01")
 
 
+# The rating formula on other columns stands for fitted models, so that SQL can follow.
+@query(
+    "global_vs_routed",
+    f"""WITH {V.CONTESTS}, {Q.FEATURES},
+long AS (
+  SELECT match_id, team_a_win AS y, m.model, d.dimension, d.grp AS grp0,
+    1 / (1 + pow(10, -CASE WHEN m.model = 'global' OR format = 'T20I' THEN matches_before_diff ELSE team_matches_at_venue_diff END / 400.0)) AS p
+  FROM sides, (VALUES ('global'), ('routed')) m(model),
+    LATERAL (VALUES ('all', 'all'), ('format', format), ('competition', coalesce(competition, '(none)'))) d(dimension, grp)
+  WHERE date >= DATE '1996-01-01'
+),
+src AS (SELECT *, model || '|' || dimension || '|' || grp0 AS grp FROM long),
+m AS (WITH {Q._metrics_sql("grp").lstrip()}),
+parts AS (SELECT *, split_part(grp, '|', 1) AS model, split_part(grp, '|', 2) AS dimension, split_part(grp, '|', 3) AS g FROM m)
+SELECT a.dimension, a.g AS "group", a.n AS matches, a.brier_score AS global_brier_score, b.brier_score AS routed_brier_score,
+  a.accuracy AS global_accuracy, b.accuracy AS routed_accuracy, a.roc_auc AS global_roc_auc, b.roc_auc AS routed_roc_auc,
+  a.log_loss AS global_log_loss, b.log_loss AS routed_log_loss, a.ece_10 AS global_ece_10, b.ece_10 AS routed_ece_10
+FROM parts a JOIN parts b ON a.dimension = b.dimension AND a.g = b.g AND a.model = 'global' AND b.model = 'routed'
+WHERE a.dimension <> 'competition' OR a.n >= 20""",
+)
+def global_vs_routed(spark, sf):
+    whole = M.Bundle(M.ELO, ("matches_before_diff",), "PRE_TOSS", "ALL")
+    venue = M.Bundle(M.ELO, ("team_matches_at_venue_diff",), "PRE_TOSS", "T20")
+    rows = paired(spark, sf)
+    router = {f.format: whole if f.format == "T20I" else venue for f in rows.select("format").distinct().orderBy("format").collect()}
+    out = T.global_vs_routed(rows, whole, router, "1996-01-01")
+    return out.select("dimension", "group", "matches", *[F.round(f"{k}_{n}", 6).alias(f"{k}_{n}") for n in T.NAMES for k in ("global", "routed")])
+
+
 SCORE_SQL = H._elo_sql(f"""
 , {V.REQUESTS},
 ratings AS (

@@ -49,6 +49,7 @@ POST_GROUPS = {
     "current_xi_continuity": ("current_previous_xi_overlap_diff",),
 }
 # ----------------------------------------------------------------------------
+NONE = "(none)"
 NAMES = ("accuracy", "roc_auc", "log_loss", "brier_score", "ece_10")
 
 
@@ -307,3 +308,60 @@ def compare(
     )
     wide = wide.where((F.col("dimension") == "all") | (F.col("matches") >= min_matches))
     return wide.withColumns({f"{n}_delta": F.col(f"new_{n}") - F.col(f"old_{n}") for n in NAMES})
+
+
+def global_vs_routed(
+    frame: DataFrame,
+    whole: Bundle,
+    router: Mapping[str, Bundle],
+    start: str,
+    competition_min: int = 20,
+    label: str = "team_a_win",
+) -> DataFrame:
+    """One model for all formats against one model for each: overall, by format and by competition.
+
+    A row for each ``dimension`` ('all', 'format', 'competition') and ``group`` with ``matches``, every metric of both
+    models and ``brier_delta_routed_minus_global``; competitions with fewer than ``competition_min`` matches are left
+    out, a NULL competition is '(none)'. Matches before ``start`` are not looked at; a format without a model is an error.
+
+    All models score the same row side by side, so the frame is read once and never joined with itself; scored rows
+    are folded to (format, competition, probability) counts before they are listed under their three groups.
+    """
+    frame = slice_by_date(frame, start=start)
+    stray = frame.where(~F.coalesce(F.col("format").isin(*router), F.lit(False))).select("format").first()
+    if stray is not None:
+        raise ValueError(f"no model for format {stray['format']!r}; models exist for {list(router)}")
+    scored = probability(whole, frame, "_global")
+    for k, bundle in enumerate(router.values()):
+        scored = probability(bundle, scored, f"_routed_{k}")
+    own = F.coalesce(*[F.when(F.col("format") == f, F.col(f"_routed_{k}")) for k, f in enumerate(router)])
+    models = F.array(
+        F.struct(F.lit("global").alias("model"), F.col("_global").alias("p")),
+        F.struct(F.lit("routed").alias("model"), own.alias("p")),
+    )
+    named = F.coalesce(F.col("competition"), F.lit(NONE)).alias("competition")
+    folded = (
+        scored.select("format", named, label, F.explode(models).alias("_m"))
+        .groupBy("format", "competition", label, F.col("_m.model").alias("model"), F.col("_m.p").alias("p"))
+        .agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    )
+    groups = F.array(
+        F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("group")),
+        *[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("group")) for d in ("format", "competition")],
+    )
+    long = staged(folded.select(label, "model", "p", "weight", F.explode(groups).alias("_g")).select(label, "model", "p", "weight", "_g.*"))
+    keys = ["dimension", "group", "model"]
+    m = X.binary_metrics(long, label, "p", keys, weight="weight").drop("n")
+    sizes = long.groupBy(*keys).agg(F.sum("weight").cast("long").alias("matches"))
+    m = m.join(sizes, keys)
+
+    def of(model: str, name: str) -> Column:
+        return F.max(F.when(F.col("model") == model, F.col(name)))
+
+    wide = m.groupBy("dimension", "group").agg(
+        F.max("matches").alias("matches"), *[of(k, n).alias(f"{k}_{n}") for n in NAMES for k in ("global", "routed")]
+    )
+    delta = F.col("routed_brier_score") - F.col("global_brier_score")
+    return wide.where((F.col("dimension") != "competition") | (F.col("matches") >= competition_min)).withColumn(
+        "brier_delta_routed_minus_global", delta
+    )
