@@ -128,12 +128,16 @@ def repeated_runs(
     # Hashed once: one reader finds the first place of each hash, the other its later ones.
     spans = staged(_spans(keyed, min_words, min_sentences))
     placed = spans.select("doc_id", "version", F.posexplode("hashes").alias("start", "hash"))
-    place = F.struct("doc_id", "version", "start")
     # Copies of a row are one occurrence; counting them twice only means a look at their runs. A hash of
     # any number of runs leaves each task as one row.
-    firsts = placed.groupBy("hash").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").drop("k")
-    # One row for each hash on the right, and nothing but a filter behind the join: a hot hash may be split.
-    later = placed.join(firsts, "hash").where(~place.eqNullSafe(F.col("first")))
+    counts = placed.groupBy("hash").agg(F.count("*").alias("k"))
+    # Both right sides are stored: joined with a table of its own, not with the aggregate that dealt it, the
+    # runs of a hot hash may be split over tasks.
+    repeated = staged(counts.where("k > 1").select("hash"))
+    again = staged(placed.join(repeated, "hash"))
+    place = F.struct("doc_id", "version", "start")
+    firsts = staged(again.groupBy("hash").agg(F.min(place).alias("first")))
+    later = again.join(firsts, "hash").where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"))
 
 
