@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import history_queries as H
 from checks import views as V
 from tallyline.functions.scoring import ball_limit, notation_to_balls, overs_notation
 from tallyline.operators import audit, contests as C, frames, live, metrics, quality, resolve
+from tallyline.plans import audit as audit_plan
 from tallyline.plans.features import prematch_features
-from tallyline.session import staged
+from tallyline.session import ensure_checkpoint_dir, staged
 
 QUERIES, SQL = {}, {}
 
@@ -607,6 +610,35 @@ def cold_start(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in shares})
 
 
+@query(
+    "audit_report",
+    f"""WITH {V.CONTESTS}, {FEATURES},
+pre AS (SELECT * FROM rated WHERE format = 'T20' AND date >= DATE '{AUDIT_START}'),
+c AS (SELECT count(DISTINCT match_id) AS n FROM pre GROUP BY competition HAVING count(DISTINCT match_id) >= 10),
+t AS (SELECT team, count(DISTINCT match_id) AS n, median(matches_before) AS m FROM pre GROUP BY team HAVING count(DISTINCT match_id) >= 5)
+SELECT (SELECT count(*) * 2 FROM rated WHERE format = 'T20') AS rows, (SELECT count(DISTINCT match_id) FROM pre) AS test_matches,
+  (SELECT count(*) FROM c) AS competition_rows, (SELECT count(*) FROM t) AS teams_audited,
+  CAST(0 AS DOUBLE) AS home_away_non_null_pct, CAST((SELECT sum(n) FROM c) AS BIGINT) AS covered_matches,
+  round((SELECT sum(m) FROM t), 6) AS team_medians, {len(DIFFS)}::BIGINT AS signals""",
+)
+def audit_report(spark, sf):
+    """The whole audit with its files; the last columns come from what was written."""
+    folder = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    summary = audit_plan.audit_features(
+        features(spark, sf, lineups=True), folder, start=AUDIT_START, valid=("1999-01-01", "1999-12-31"),
+        sources=SOURCES, candidates=("home_away", "season"), min_matches=10,
+    )
+
+    def stored(name):
+        return spark.read.option("header", True).csv(f"{folder}/{name}")
+
+    covered = stored("competition_coverage").agg(F.sum(F.col("matches").cast("long")).alias("covered_matches"))
+    medians = stored("team_cold_start").agg(F.round(F.sum(F.col("median_prior_matches").cast("double")), 6).alias("team_medians"))
+    signals = stored("posttoss_feature_signal").agg(F.count(F.lit(1)).alias("signals"))
+    counts = summary.select("rows", "test_matches", "competition_rows", "teams_audited", "home_away_non_null_pct")
+    return counts.crossJoin(covered).crossJoin(medians).crossJoin(signals)  # one row each
+
+
 @query(
     "availability",
     """SELECT 'user_id' AS feature, true AS present_in_dataset, 1.0::DOUBLE AS non_null_pct, count(DISTINCT user_id) AS unique_values FROM events
