@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tallyline.functions.outcomes import exclusion_reason
 from tallyline.functions.scoring import supports_live
 from tallyline.functions.text import LIMITED_OVERS, MODES, passes_filters
+from tallyline.operators import contests as C
 from tallyline.operators.contests import dedupe_contests
 from tallyline.operators.live import live_states
-from tallyline.operators.participants import batting_innings, bowling_spells
+from tallyline.operators.participants import batting_innings, bowling_spells, roster_features
 from tallyline.operators.quality import check_live, check_prematch
 from tallyline.plans.features import prematch_features, team_history
 from tallyline.session import staged
@@ -71,6 +72,29 @@ def build_feature_datasets(
     return report
 
 
+def roster_sides(
+    spark: SparkSession, raw: str, cache: str, *, cutoff: str | None = None, formats: tuple[str, ...] | None = ("T20",)
+) -> DataFrame:
+    """The roster side table of a corpus, stored under the fingerprint of its files and what was asked.
+
+    Once it is there, another call lists the files of the corpus but reads none of them; a changed corpus has another
+    fingerprint and gets a table of its own. Parsed tables are shared with all other readers of the corpus.
+    """
+    asked = f"roster-{'all' if formats is None else '-'.join(sorted(formats))}-{cutoff or 'open'}"
+    key = f"{T.fingerprint_key(spark, raw)}-{asked}"
+
+    def build() -> DataFrame:
+        tables = T.silver(spark, raw, cache)
+        chosen = dedupe_contests(tables["matches"].where(F.col("date").isNotNull()))
+        balls = tables["deliveries"].join(chosen.select("match_id"), "match_id", "left_semi")
+        prepared = C.prepare(T.with_first_innings(chosen, tables["innings"]))
+        return roster_features(
+            C.team_rows(prepared), prepared, batting_innings(balls), bowling_spells(balls), cutoff=cutoff, formats=formats
+        )
+
+    return T.published(spark, f"{cache}/rosters", key, build)
+
+
 def counters(chosen: DataFrame) -> DataFrame:
     """Counts by format, by competition and by exclusion reason in one pass."""
     reason = exclusion_reason(

@@ -26,6 +26,7 @@ from tallyline.plans.models import (
     tree_fit,
 )
 from tallyline.session import staged
+from tallyline.sources.tables import long_metrics, write_metrics
 
 # --- Fixed values -----------------------------------------------------------
 TRAIN_END, VALID_END = "2023-12-31", "2024-12-31"
@@ -170,14 +171,17 @@ def train_domain(
 
 
 def train_router(
-    paired: DataFrame, *, mode: str, features: Sequence[str], domains: Sequence[str] = ("T20I", "T20"), **options
+    paired: DataFrame, *, mode: str, features: Sequence[str], domains: Sequence[str] = ("T20I", "T20"),
+    metrics_to: str | None = None, run: str = "", **options,
 ) -> tuple[dict[str, Bundle], DataFrame]:
-    """One independent model per format."""
+    """One independent model per format; ``metrics_to`` appends their metrics in long form to a table, as ``run``."""
     bundles, rows = {}, None
     for domain in domains:
         only = paired.where(F.col("format") == domain)
         bundles[domain], m = train_domain(only, mode=mode, domain=domain, features=features, **options)
         rows = m if rows is None else rows.unionByName(m)
+    if metrics_to is not None:
+        write_metrics(long_metrics(rows, NAMES, run=run), metrics_to)
     return bundles, rows
 
 

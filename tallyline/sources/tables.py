@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,24 @@ def silver(spark: SparkSession, raw: str, cache: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{root}/{name}") for name in SILVER}
 
 
+def published(spark: SparkSession, root: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``key`` below ``root``; built where it is not there yet.
+
+    A new table is written beside its place and renamed into it when it is whole, so a reader sees all of it or
+    nothing, and a run that dies leaves only a draft. Of two runs that build at once, the first one's table stays.
+    """
+    target = f"{root}/{key}"
+    if not exists(spark, target):
+        draft = f"{root}/_draft-{uuid.uuid4().hex}"
+        build().write.parquet(draft)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # Renaming onto a folder that is there would move the draft into it.
+        if files.exists(path(target)) or not files.rename(path(draft), path(target)):
+            files.delete(path(draft), True)
+    return spark.read.parquet(target)
+
+
 def load_matches(
     spark: SparkSession, raw: str, cache: str, formats: tuple[str, ...] = ("T20I", "T20")
 ) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -155,3 +155,39 @@ def test_build_filters_before_history_and_leaves_live_alone(spark, corpus, tmp_p
     assert not T.exists(spark, f"{out}/live_states")
     none = build_feature_datasets(spark, corpus, str(tmp_path / "none"), competitions=["bbl"], include_live=False).first()
     assert none.skipped["filtered"] == 2 and none.prematch_rows == 0
+
+
+def test_roster_table_is_stored_by_fingerprint(spark, corpus, tmp_path, monkeypatch):
+    import os
+    import shutil
+
+    from tallyline.plans import build as P
+
+    cache, raw = str(tmp_path / "cache"), str(tmp_path / "raw")
+    shutil.copytree(corpus, raw)
+    first = P.roster_sides(spark, raw, cache)
+    rows = sorted(map(str, first.collect()))
+    assert rows and {"previous_xi_known", "log_rest_days"} <= set(first.columns)
+    # Nothing changed: the second call reads no document.
+    monkeypatch.setattr(P.T.D, "read_documents", lambda *a: pytest.fail("read again"))
+    monkeypatch.setattr(P, "roster_features", lambda *a, **k: pytest.fail("built again"))
+    assert sorted(map(str, P.roster_sides(spark, raw, cache).collect())) == rows
+    monkeypatch.undo()
+    names = set(os.listdir(f"{cache}/rosters"))
+    # Another cut-off and a changed corpus are other tables; no draft stays behind.
+    P.roster_sides(spark, raw, cache, cutoff="2024-04-01")
+    write(tmp_path / "raw", late=match(date="2024-05-03"))
+    assert P.roster_sides(spark, raw, cache).count() == len(rows) + 2
+    after = set(os.listdir(f"{cache}/rosters"))
+    assert names < after and len(after) == 3 and not any(n.startswith("_draft") for n in after)
+
+
+def test_two_builders_leave_one_table(spark, tmp_path):
+    root = str(tmp_path / "t")
+
+    def build():
+        spark.range(3).write.parquet(f"{root}/k")  # the other run gets there first
+        return spark.range(5)
+
+    assert T.published(spark, root, "k", build).count() == 3
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["k"]
