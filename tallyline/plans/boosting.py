@@ -28,8 +28,15 @@ from tallyline.operators.ranks import below
 from tallyline.session import ensure_checkpoint_dir, staged
 
 BINS = 255
-# Rows of one stored block, and rounds after which the scores are written to the shared folder.
+# Rows of one stored block at most, and at least where there are fewer blocks than cores.
 BLOCK_ROWS = 20_000
+SMALL_BLOCK_ROWS = 1_500
+# Partial sums that the driver adds itself; more are added in a tree of tasks.
+FLAT_SUMS = 16
+# Stored blocks and scores of up to so many bytes are given to a task for each model as they are.
+SMALL_BYTES = 32 << 20
+KEPT = StorageLevel.MEMORY_AND_DISK
+# Rounds after which the scores are written to the shared folder.
 CHECKPOINT_ROUNDS = 40
 # --- Fixed values -----------------------------------------------------------
 L2 = 1.0
@@ -108,7 +115,7 @@ class Fit:
     """One model to fit: its features, its rows, its size."""
 
     features: tuple[str, ...]
-    rows: Column = field(default_factory=lambda: F.lit(True))
+    rows: Column | None = field(default_factory=lambda: F.lit(True))
     period: str = ""
     rounds: int = 300
     leaves: int = 15
@@ -196,14 +203,16 @@ class _Tree:
 
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of a (feature, row) table of bins."""
-        feature, cut, left, right = (np.array(v) for v in (self.feature, self.bin, self.left, self.right))
-        at, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
-        while True:
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            at = np.where(inner, np.where(bins[np.maximum(f, 0), rows] <= cut[at], left[at], right[at]), at)
+        at = np.zeros(bins.shape[1], np.int32)
+        waiting = [(0, np.arange(bins.shape[1]))]
+        while waiting:
+            node, rows = waiting.pop()
+            if self.feature[node] < 0:
+                at[rows] = node
+                continue
+            low = bins[self.feature[node], rows] <= self.bin[node]
+            waiting += [(self.left[node], rows[low]), (self.right[node], rows[~low])]
+        return at
 
 
 def _split_of(hist: np.ndarray, min_leaf: int) -> tuple[float, int, int]:
@@ -373,47 +382,132 @@ def fit_many(df: DataFrame, fits: Sequence[Fit], label: str, weight: str | None
     held_out = [facts[f"n{masks[k]}"] > EARLY_STOP_ROWS for k in mask_of]
     cuts = cut_points(rows, features, masks)
     n_f, n_m = len(features), len(masks)
-    parts = max(1, min(-(-facts["n"] // BLOCK_ROWS), 10_000))
+    spread = min(spark.sparkContext.defaultParallelism, -(-facts["n"] // SMALL_BLOCK_ROWS))
+    parts = max(-(-facts["n"] // BLOCK_ROWS), spread)
     blocks = staged(_blocks(rows.repartition(parts), features, masks, label, F.col("_weight"), cuts))
-    state = blocks.rdd.map(lambda row: _unpacked(row, n_f, n_m)).map(_start(bases)).persist(StorageLevel.MEMORY_AND_DISK)
-    done: list[list[tuple[_Tree, np.ndarray]]] = [[] for _ in fits]
-    losses: list[list[float]] = [[] for _ in fits]
-    live, before = {m for m, fit in enumerate(fits) if fit.rounds}, None
-    turn = 0
-    while live:
-        growers, first = {m: _Grower(fits[m]) for m in sorted(live)}, True
-        while asked := {m: (g.tree, g.asked()) for m, g in growers.items() if g.open}:
-            sums = state.mapPartitions(_counted(asked, mask_of, places, held_out, first)).treeReduce(_added)
-            if first:
-                if before is not None:
-                    before.unpersist()
-                for m in asked:
-                    if held_out[m]:
-                        loss, total = sums["loss", m]
-                        losses[m].append(loss / max(total, 1e-300))
-                        if _stalled(losses[m]):
-                            live.discard(m)
-                growers = {m: g for m, g in growers.items() if m in live}
-            for m, g in growers.items():
-                if m in asked and g.open:
-                    g.take({leaf: sums[m, leaf] for leaf in asked[m][1]})
-            first = False
-        trees = {m: g.finished() for m, g in growers.items()}
-        for m, tree in trees.items():
-            done[m].append(tree)
-            # Where nothing can be split, later rounds would not find more.
-            if len(tree[1]) == 1 or len(done[m]) >= fits[m].rounds:
-                live.discard(m)
-        before, state = state, state.map(_scored(trees, mask_of, places)).persist(StorageLevel.MEMORY_AND_DISK)
-        turn += 1
-        if turn % CHECKPOINT_ROUNDS == 0:
-            state.checkpoint()
-    for held in (before, state):
-        if held is not None:
-            held.unpersist()
+    size = blocks.agg(F.sum(F.length("block"))).first()[0]
+    plan = _Plan(list(fits), bases, mask_of, places, held_out)
+    if size + facts["n"] * 8 * len(fits) <= SMALL_BYTES:
+        # Few rows: a task for each model, with all blocks; the same passes, without a job for each.
+        near = spark.sparkContext.broadcast([(row["n"], bytes(row["block"])) for row in blocks.collect()])
+
+        def alone(m: int) -> list[tuple[_Tree, np.ndarray]]:
+            return _Near(plan, [_unpacked({"n": n, "block": raw}, n_f, n_m) for n, raw in near.value]).grown([m])[m]
+
+        done = spark.sparkContext.parallelize(range(len(fits)), len(fits)).map(alone).collect()
+        near.destroy()
+    else:
+        found = _Far(plan, blocks.rdd.map(lambda row: _unpacked(row, n_f, n_m)), parts).grown(range(len(fits)))
+        done = [found[m] for m in range(len(fits))]
     return [_flat(fit, base, trees, cuts[k], place) for fit, base, trees, k, place in zip(fits, bases, done, mask_of, places)]
 
 
+@dataclass
+class _Plan:
+    """What is to be fitted: by model its size, start, mask, places of its features and whether rows are held out."""
+
+    fits: list[Fit]
+    bases: list[float]
+    mask_of: list[int]
+    places: list[list[int]]
+    held_out: list[bool]
+
+    def __getstate__(self) -> dict:
+        # Tasks need sizes only; a condition on rows is bound to the driver.
+        plain = [Fit(f.features, None, f.period, f.rounds, f.leaves, f.min_leaf, f.depth) for f in self.fits]
+        return self.__dict__ | {"fits": plain}
+
+
+class _Rounds:
+    """Rounds of several models over rows that a subclass holds."""
+
+    def __init__(self, plan: _Plan) -> None:
+        self.plan = plan
+
+    def grown(self, models: Iterable[int]) -> dict[int, list[tuple[_Tree, np.ndarray]]]:
+        """The trees of some models, round by round."""
+        fits, held_out = self.plan.fits, self.plan.held_out
+        done: dict[int, list[tuple[_Tree, np.ndarray]]] = {m: [] for m in models}
+        losses: dict[int, list[float]] = {m: [] for m in done}
+        live = {m for m in done if fits[m].rounds}
+        while live:
+            growers, first = {m: _Grower(fits[m]) for m in sorted(live)}, True
+            while asked := {m: (g.tree, g.asked()) for m, g in growers.items() if g.open}:
+                sums = self.counted(asked, first)
+                if first:
+                    for m in asked:
+                        if held_out[m]:
+                            loss, total = sums["loss", m]
+                            losses[m].append(loss / max(total, 1e-300))
+                            if _stalled(losses[m]):
+                                live.discard(m)
+                    growers = {m: g for m, g in growers.items() if m in live}
+                for m, g in growers.items():
+                    if m in asked and g.open:
+                        g.take({leaf: sums[m, leaf] for leaf in asked[m][1]})
+                first = False
+            trees = {m: g.finished() for m, g in growers.items()}
+            for m, tree in trees.items():
+                done[m].append(tree)
+                # Where nothing can be split, later rounds would not find more.
+                if len(tree[1]) == 1 or len(done[m]) >= fits[m].rounds:
+                    live.discard(m)
+            if live:
+                self.advance(trees)
+        self.end()
+        return done
+
+    def counted(self, asked: dict, first: bool) -> dict:
+        raise NotImplementedError
+
+    def advance(self, trees: dict) -> None:
+        raise NotImplementedError
+
+    def end(self) -> None:
+        pass
+
+
+class _Near(_Rounds):
+    """All blocks in this task."""
+
+    def __init__(self, plan: _Plan, blocks: list[dict]) -> None:
+        super().__init__(plan)
+        self.blocks = list(map(_start(plan.bases), blocks))
+
+    def counted(self, asked: dict, first: bool) -> dict:
+        (sums,) = _counted(asked, self.plan.mask_of, self.plan.places, self.plan.held_out, first)(self.blocks)
+        return sums
+
+    def advance(self, trees: dict) -> None:
+        self.blocks = list(map(_scored(trees, self.plan.mask_of, self.plan.places), self.blocks))
+
+
+class _Far(_Rounds):
+    """Blocks dealt over the cluster; a pass is a job, a round's scores are kept by the executors."""
+
+    def __init__(self, plan: _Plan, blocks, parts: int) -> None:
+        super().__init__(plan)
+        self.state, self.before, self.parts, self.turn = blocks.map(_start(plan.bases)).persist(KEPT), None, parts, 0
+
+    def counted(self, asked: dict, first: bool) -> dict:
+        partial = self.state.mapPartitions(_counted(asked, self.plan.mask_of, self.plan.places, self.plan.held_out, first))
+        sums = partial.reduce(_added) if self.parts <= FLAT_SUMS else partial.treeReduce(_added)
+        if first and self.before is not None:
+            self.before.unpersist()
+        return sums
+
+    def advance(self, trees: dict) -> None:
+        add = _scored(trees, self.plan.mask_of, self.plan.places)
+        self.before, self.state, self.turn = self.state, self.state.map(add).persist(KEPT), self.turn + 1
+        if self.turn % CHECKPOINT_ROUNDS == 0:
+            self.state.checkpoint()
+
+    def end(self) -> None:
+        for held in (self.before, self.state):
+            if held is not None:
+                held.unpersist()
+
+
 def _stalled(losses: list[float]) -> bool:
     """Whether none of the last rounds improved on the loss before them."""
     if len(losses) <= PATIENCE:

@@ -88,8 +88,10 @@ def _columns(rows):
     return np.array([r[4] for r in rows], float), np.array([r[5] for r in rows])
 
 
-@pytest.mark.parametrize("leaves, min_leaf", [(2, 20), (7, 25), (15, 5)])
-def test_trees_equal_a_plain_fold(spark, leaves, min_leaf):
+@pytest.mark.parametrize("leaves, min_leaf, near", [(2, 20, True), (7, 25, False), (15, 5, True)])
+def test_trees_equal_a_plain_fold(spark, leaves, min_leaf, near, monkeypatch):
+    if not near:
+        monkeypatch.setattr(B, "SMALL_BYTES", 0)
     rows = _rows()
     (model,) = B.fit_many(spark.createDataFrame(rows, NAMES), [B.Fit(("a", "b", "c"), rounds=6, leaves=leaves, min_leaf=min_leaf)], "y", "w")
     x, (y, w) = _matrix(rows, "abc"), _columns(rows)
@@ -99,7 +101,9 @@ def test_trees_equal_a_plain_fold(spark, leaves, min_leaf):
     assert np.bincount(np.searchsorted(model.roots, np.arange(len(model.feature)), "right"))[1:].max() <= 2 * leaves - 1
 
 
-def test_models_side_by_side_equal_models_alone(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 1 << 30])
+def test_models_side_by_side_equal_models_alone(spark, monkeypatch, small):
+    monkeypatch.setattr(B, "SMALL_BYTES", small)
     monkeypatch.setattr(B, "BLOCK_ROWS", 130)
     monkeypatch.setattr(B, "CHECKPOINT_ROUNDS", 2)
     rows = _rows()
