@@ -123,6 +123,8 @@ def test_models_side_by_side_equal_models_alone(spark, monkeypatch, small):
 
 def test_stops_when_held_out_rows_gain_nothing(spark, monkeypatch):
     monkeypatch.setattr(B, "EARLY_STOP_ROWS", 100)
+    # Trees grow on the driver here: a task would not see the changed rate.
+    monkeypatch.setattr(B, "SMALL_BYTES", 0)
     monkeypatch.setattr(B, "LEARNING_RATE", 0.8)
     rows = _rows()
     df = spark.createDataFrame(rows, NAMES)
