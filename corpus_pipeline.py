@@ -42,7 +42,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passages to speak of."""
-    return decontaminate.remove_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+    return decontaminate.remove_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"), unnamed=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
