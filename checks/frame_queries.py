@@ -848,3 +848,52 @@ def resolve_rebuilt(spark, sf):
 )
 def sources_tried(spark, sf):
     return resolve.sources_tried(snapshots(spark, sf)).withColumn("sources_tried", F.concat_ws(",", "sources_tried"))
+
+
+_TYPED = """
+lines AS (SELECT l_orderkey AS k, [min(l_linestatus), max(l_linestatus)] AS tags, count(*) AS note FROM lineitem GROUP BY l_orderkey),
+cells AS (
+  SELECT o_orderkey AS entity, 'orders' AS source, 1 AS priority, 'tags' AS field,
+    CASE WHEN o_orderkey % 2 = 1 THEN CAST(to_json([o_orderstatus]) AS VARCHAR) END AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'orders', 1, 'note', CASE WHEN o_orderkey % 5 = 0 THEN '"[]"'
+    WHEN o_orderkey % 3 > 0 THEN CAST(to_json(o_orderpriority) AS VARCHAR) END FROM orders
+  UNION ALL SELECT k, 'lines', 2, 'tags', CAST(to_json(tags) AS VARCHAR) FROM lines
+  UNION ALL SELECT k, 'lines', 2, 'note', CAST(note AS VARCHAR) FROM lines
+),
+chosen AS (SELECT entity, field, arg_min(value, priority) AS value, arg_min(source, priority) AS source FROM cells
+  WHERE value IS NOT NULL GROUP BY entity, field)
+"""
+
+
+def typed_fields(spark, sf):
+    c = F.col
+    when = F.lit("2024-01-01").cast("timestamp_ntz").alias("ts")
+    one = V.table(spark, sf, "orders").select(
+        c("o_orderkey").alias("entity"), F.lit("orders").alias("source"), F.lit("live").alias("kind"),
+        F.lit(1).alias("priority"), when,
+        F.when(c("o_orderkey") % 2 == 1, F.array("o_orderstatus")).otherwise(F.array().cast("array<string>")).alias("tags"),
+        F.when(c("o_orderkey") % 5 == 0, "[]").when(c("o_orderkey") % 3 == 0, " ").otherwise(c("o_orderpriority")).alias("note"),
+    )
+    two = V.table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("entity")).agg(
+        F.array(F.min("l_linestatus"), F.max("l_linestatus")).alias("tags"), F.count(F.lit(1)).alias("note")
+    ).select("entity", F.lit("lines").alias("source"), F.lit("search").alias("kind"), F.lit(2).alias("priority"), when, "tags", "note")
+    # One field in two types: text from orders, a number from lines.
+    names = ("tags", "note")
+    return resolve.long_fields(one, names, typed=True).unionByName(resolve.long_fields(two, names, typed=True))
+
+
+@query("resolve_typed", f"WITH {_TYPED} SELECT entity, field, value AS json, source FROM chosen")
+def resolve_typed(spark, sf):
+    chosen = resolve.resolve(typed_fields(spark, sf))
+    return chosen.select("entity", "field", F.to_json("value").alias("json"), "source")
+
+
+@query(
+    "resolve_typed_conflicts",
+    f"""WITH {_TYPED} SELECT entity, field, c.value AS chosen, k.value AS rejected, k.source AS rejected_source
+FROM cells k JOIN chosen c USING (entity, field) WHERE k.value <> c.value""",
+)
+def resolve_typed_conflicts(spark, sf):
+    return resolve.conflicts(typed_fields(spark, sf)).select(
+        "entity", "field", F.to_json("chosen_value").alias("chosen"), F.to_json("rejected_value").alias("rejected"), "rejected_source"
+    )

@@ -18,6 +18,7 @@ from tallyline.plans import train as T
 from tallyline.plans.build import counters
 from tallyline.session import ensure_checkpoint_dir, staged
 from tallyline.streaming import live as R
+from tallyline.streaming import ordered as O
 
 QUERIES, SQL = {}, {}
 
@@ -251,6 +252,63 @@ def stream_ratings(spark, sf):
     return spark.read.parquet(f"{out}/version=0").select("format", "sex", "team", F.round("rating", 6).alias("rating"))
 
 
+@query("stream_late_ratings", H.SQL["elo_after"])
+def stream_late_ratings(spark, sf):
+    """Contests of three periods in four micro-batches: one in ten comes a batch late and is replayed."""
+    out, checkpoint = _sink(spark)
+    source = f"{out}-arrived"
+    period = F.when(F.year("date") < 1994, 0).when(F.year("date") < 1996, 1).otherwise(2)
+    contests = V.contests(spark, sf)
+    arrives = (period + (F.crc32(F.col("match_id").cast("string")) % 10 == 0).cast("int")).alias("arrives")
+    # One pass deals the contests to their micro-batches.
+    dealt = staged(contests.select("*", arrives))
+    for b in range(4):
+        dealt.where(F.col("arrives") == b).drop("arrives").write.mode("append").parquet(source)
+        R.run_available(R.update_ratings(spark.readStream.schema(contests.schema).parquet(source), out), checkpoint)
+    return spark.read.parquet(f"{out}/version=3").select("format", "sex", "team", F.round("rating", 6).alias("rating"))
+
+
+HALF_DAY = 12 * 3600
+
+ORDERED_SQL = f"""
+WITH balls AS (SELECT user_id, event_id, ts, event_type AS e, value, CASE WHEN day(ts) <= 15 THEN 1 ELSE 2 END AS innings,
+  epoch_us(ts) * 1000 + event_id % 1000 AS seq FROM events),
+scores AS (SELECT CAST(user_id AS VARCHAR) AS match_id, innings, seq, epoch_ms(ts) AS ms,
+  CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS BIGINT) AS runs, CAST(sum(CAST(e = 'purchase' AS INT)) OVER w AS BIGINT) AS wickets,
+  CAST(sum(CAST(e NOT IN ('error', 'signup') AS INT)) OVER w AS BIGINT) AS legal_balls_bowled
+  FROM balls WINDOW w AS (PARTITION BY user_id, innings ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT match_id, innings, seq, runs, wickets, legal_balls_bowled, false AS late FROM scores
+WHERE ms < (SELECT max(epoch_ms(ts)) FROM events) - {HALF_DAY * 1000}
+"""
+
+
+@query("stream_ordered_scores", ORDERED_SQL)
+def stream_ordered_scores(spark, sf):
+    """Deliveries up to half a day out of order in four micro-batches; those of the last half day are still held."""
+    out, checkpoint = _sink(spark)
+    source = f"{out}-arrived"
+    events = V.table(spark, sf, "events")
+    noise = F.crc32(F.col("event_id").cast("string")) % HALF_DAY
+    week = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) + noise - F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))) / (7 * 24 * 3600))
+    kind = F.col("event_type")
+    balls = events.select(
+        F.col("user_id").alias("match_id"), F.when(F.dayofmonth("ts") <= 15, 1).otherwise(2).alias("innings"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000).alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"), F.lit("A").alias("batting_team"), F.floor("value").alias("runs_total"),
+        (kind == "purchase").alias("wicket"), (kind == "error").alias("is_wide"), (kind == "signup").alias("is_noball"),
+        F.least(F.greatest(week, F.lit(0)), F.lit(3)).alias("arrives"),
+    )
+    dealt = staged(balls)
+    arrived = dealt.drop("arrives").schema
+    for b in range(4):
+        dealt.where(F.col("arrives") == b).drop("arrives").write.mode("append").parquet(source)
+        scores = O.ordered_score(spark.readStream.schema(arrived).parquet(source), delay=f"{HALF_DAY} seconds")
+        R.run_available(scores.writeStream.format("parquet").option("path", out), checkpoint)
+    return spark.read.schema(scores.schema).parquet(out).select(
+        "match_id", "innings", "seq", "runs", "wickets", "legal_balls_bowled", "late"
+    )
+
+
 # --- build bookkeeping --------------------------------------------------------
 @query(
     "build_counters",

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,6 +25,8 @@ from tallyline.sources.tables import exists
 
 # Default of how long an innings may rest before its counters are forgotten: longer than any match.
 IDLE_MS = 14 * 24 * 3600 * 1000
+# First and last day of the contests of a micro-batch.
+BOUNDS = "batch long, oldest date, newest date"
 STATE = "runs long, wickets long, legal_balls long, last_seq long"
 OUTPUT = (
     "match_id string, innings int, seq long, ts timestamp, batting_team string, runs long, wickets long, "
@@ -132,23 +134,56 @@ def win_probability(
     )
 
 
-def update_ratings(contests: DataFrame, root: str) -> DataStreamWriter:
-    """Keep team ratings current as finished contests arrive.
+def _last_sound(spark: SparkSession, root: str, batch_id: int) -> tuple[int, Any] | None:
+    """The newest version that no later batch has made stale, and the last day it covers.
+
+    A version is sound while every contest that came after it is of a later day.
+    """
+    bounds = spark.read.schema(BOUNDS).parquet(f"{root}/bounds").where(F.col("batch") <= batch_id)
+    upwards = Window.orderBy("batch")
+    known = bounds.select(
+        "batch",
+        F.max("newest").over(upwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("through"),
+        F.min("oldest").over(upwards.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
+    )
+    sound = known.where(F.col("batch") < batch_id).where("through is null or next is null or through < next")
+    # Days and numbers of micro-batches only: a row each.
+    for row in sound.orderBy(F.desc("batch")).toLocalIterator():
+        if exists(spark, f"{root}/version={row.batch}/_SUCCESS"):
+            return row.batch, row.through
+    return None
+
 
-    Each micro-batch folds onto the newest ratings and writes a new version under
-    its own batch id, so a repeated batch rewrites the same version from the same
-    start. Contests must arrive in date order, batch by batch.
+def update_ratings(contests: DataFrame, root: str) -> DataStreamWriter:
+    """Keep team ratings current as finished contests arrive, late ones too.
+
+    Each micro-batch is stored under its batch id and leaves a version of the ratings of all contests so far.
+    It starts from the newest version that ends before its first day, and that no other late batch has made
+    stale, and walks all stored contests of later days once more; with none such, all of them. So a version
+    holds the ratings of one walk in date order, however late a contest came, and contests that come in order
+    cost their own days only. A repeated batch writes the same files from the same start. Undated contests
+    count nowhere; a contest is expected once.
     """
+    kinds = contests.schema
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{root}/contests/micro_batch={batch_id}")
+        stored = spark.read.schema(kinds).option("basePath", f"{root}/contests")
+        days = stored.parquet(f"{root}/contests/micro_batch={batch_id}").agg(
+            F.min("date").cast("date").alias("oldest"), F.max("date").cast("date").alias("newest")
+        )
+        days.select(F.lit(batch_id).cast("long").alias("batch"), "oldest", "newest").coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{root}/bounds/part={batch_id}")
+        start = _last_sound(spark, root, batch_id)
+        rows = stored.parquet(f"{root}/contests").where(F.col("micro_batch") <= batch_id).drop("micro_batch")
         before = None
-        for earlier in range(batch_id - 1, -1, -1):
-            path = f"{root}/version={earlier}"
-            if exists(spark, f"{path}/_SUCCESS"):
-                before = spark.read.parquet(path)
-                break
-        scores = contest_scores(C.prepare(batch))
+        if start is not None:
+            before = spark.read.parquet(f"{root}/version={start[0]}")
+            if start[1] is not None:
+                rows = rows.where(F.col("date").cast("date") > F.lit(start[1]))
+        scores = contest_scores(C.prepare(rows))
         elo_after(scores, ratings_in=before).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
 
     return contests.writeStream.foreachBatch(fold)

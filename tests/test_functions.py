@@ -212,3 +212,35 @@ def test_quality_and_resolution(spark):
     chosen = resolve.resolve(fields).first()
     assert (chosen.value, chosen.source, chosen.reliability) == ("98", "two", "high")
     assert [(r.rejected_value, r.rejected_reliability) for r in resolve.conflicts(fields).collect()] == [("99", "low")]
+
+
+def test_typed_resolution(spark):
+    schema = "entity string, source string, kind string, priority int, ts timestamp, xi array<string>, toss {}, note string"
+    ts = dt.datetime(2024, 1, 1)
+
+    def cells(rows, toss):
+        wide = spark.createDataFrame([(e, s, "live", p, ts, xi, t, n) for e, s, p, xi, t, n in rows], schema.format(toss))
+        return resolve.long_fields(wide, ("xi", "toss", "note"), typed=True)
+
+    fields = cells(
+        [("e", "one", 1, [], {}, "[]"), ("f", "one", 1, ["a"], {"b": 1, "a": 2}, " "), ("g", "one", 1, None, None, None)],
+        "map<string, int>",
+    ).unionByName(cells(
+        [("e", "two", 2, ["x", "y"], 7, "{}"), ("f", "two", 2, [], 0, "n"), ("g", "two", 2, [], None, "")], "int"
+    )).unionByName(cells([("f", "three", 3, ["a"], (2, 1), "n")], "struct<a: int, b: int>"))
+    chosen = resolve.resolve(fields)
+    got = {(r.entity, r.field): (r.json, r.source) for r in chosen.selectExpr("*", "to_json(value) AS json").collect()}
+    assert got == {
+        ("e", "xi"): ('["x","y"]', "two"), ("e", "toss"): ("7", "two"), ("e", "note"): ('"[]"', "one"),
+        ("f", "xi"): ('["a"]', "one"), ("f", "toss"): ('{"a":2,"b":1}', "one"), ("f", "note"): ('"n"', "two"),
+    }
+    # The struct of source three equals the map of source one; zero and the text of another source do not.
+    rejected = resolve.conflicts(fields).selectExpr("entity", "field", "to_json(rejected_value) AS json").collect()
+    assert sorted(map(tuple, rejected)) == [("e", "note", '"{}"'), ("f", "toss", "0")]
+    wide = {r.entity: r for r in resolve.rebuild(chosen, ("xi", "toss", "note")).selectExpr(
+        "entity", "variant_get(xi, '$', 'array<string>') AS xi", "variant_get(note, '$', 'string') AS note", "primary_source"
+    ).collect()}
+    assert (wide["e"].xi, wide["e"].note, wide["e"].primary_source) == (["x", "y"], "[]", "one")
+    # As text, too, an empty list is missing and the text [] is not.
+    plain = spark.createDataFrame([("e", "one", "live", 1, ts, [], "[]")], "entity string, source string, kind string, priority int, ts timestamp, xi array<string>, note string")
+    assert [r.field for r in resolve.resolve(resolve.long_fields(plain, ("xi", "note"))).collect()] == ["note"]

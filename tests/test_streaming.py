@@ -64,3 +64,32 @@ def test_ratings_follow_the_stream(spark, tmp_path):
     whole = {r.team: r.rating for r in elo_after(contest_scores(C.prepare(spark.createDataFrame(rows, schema)))).collect()}
     last = {r.team: r.rating for r in spark.read.parquet(f"{root}/version=1").collect()}
     assert last == pytest.approx(whole)
+
+
+def test_late_contests_are_replayed(spark, tmp_path):
+    schema = "match_id string, date date, format string, gender string, venue string, team1 string, team2 string, winner string, result_type string"
+    source, root = str(tmp_path / "contests"), str(tmp_path / "ratings")
+    sides = [("India", "Australia"), ("England", "India"), ("Australia", "England")]
+
+    def row(n, day):
+        one, two = sides[n % 3]
+        return (f"m{n:02}", dt.date(2024, 6, day), "T20I", None, None, one, two, (one, two)[n % 2], "win")
+
+    # Two batches in order, a late one, one in order, a late one of a day that another batch has, and an undated contest.
+    batches = [
+        [row(1, 5), row(2, 6)], [row(3, 9), row(4, 9)], [row(5, 7), row(6, 2)], [row(7, 12)], [row(8, 9), row(9, 14)],
+        [("x", None, *row(10, 1)[2:])],
+    ]
+    from tallyline.operators import contests as C
+    from tallyline.operators.elo import contest_scores, elo_after
+
+    for k in range(len(batches)):
+        spark.createDataFrame(batches[k], schema).coalesce(1).write.mode("append").parquet(source)
+        S.run_available(S.update_ratings(spark.readStream.schema(schema).parquet(source), root), str(tmp_path / "ck"))
+        rows = [r for b in batches[: k + 1] for r in b]
+        whole = {r.team: r.rating for r in elo_after(contest_scores(C.prepare(spark.createDataFrame(rows, schema)))).collect()}
+        assert {r.team: r.rating for r in spark.read.parquet(f"{root}/version={k}").collect()} == whole
+    # What each batch starts from: the newest version before its days that no late contest has touched.
+    assert [S._last_sound(spark, root, k) for k in range(1, 6)] == [
+        (0, dt.date(2024, 6, 6)), None, (2, dt.date(2024, 6, 9)), None, (4, dt.date(2024, 6, 14)),
+    ]
