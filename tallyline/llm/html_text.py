@@ -10,8 +10,9 @@ side of a minimum cut are the main text.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import defaultdict, deque
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,14 +53,29 @@ REGION, INSIDE, OUTSIDE, LINKS, LEGAL = 40.0, 3.0, 3.0, 4.0, 1.5
 SMOOTH = 0.6
 
 
+class Element(NamedTuple):
+    """An open element: how many block elements it is in, which one and in which, and where that one stands."""
+
+    tag: str
+    boiler: bool
+    content: bool
+    skipped: bool
+    level: int
+    block: int
+    parent: int
+    base: int
+
+
 class Blocks(HTMLParser):
     """Text blocks of a page with what their costs depend on."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[dict] = []
-        self.open: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
-        self.seen, self.has_article = 0, False
+        self.open = [Element("", False, False, False, 0, 0, 0, 0)]
+        # Where elements of a name stand among the open ones, and the lowest level since the last block.
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.low, self.seen, self.has_article = 0, 0, False
         self._reset_text()
 
     def _reset_text(self) -> None:
@@ -68,17 +84,20 @@ class Blocks(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, _, boiler, content, _ = self.open[-1]
+            here = self.open[-1]
             self.blocks.append(
                 {
                     "text": text,
                     "linked": min(1.0, self.linked / len(text)),
                     "heading": self.heading,
-                    "boiler": boiler,
-                    "content": content,
-                    "path": tuple(x[1] for x in self.open if x[0] not in INLINE),
+                    "boiler": here.boiler,
+                    "content": here.content,
+                    "level": here.level,
+                    "common": self.low,
+                    "parent": here.parent,
                 }
             )
+            self.low = here.level
         self._reset_text()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -91,7 +110,8 @@ class Blocks(HTMLParser):
             self._close_implied(tag)
         if tag in VOID:
             return
-        _, _, boiler, content, skipped = self.open[-1]
+        below = self.open[-1]
+        boiler, content = below.boiler, below.content
         found = {k: (v or "").lower() for k, v in attrs}
         names = f"{found.get('class', '')} {found.get('id', '')}"
         if tag in CONTENT_TAGS or found.get("role") == "main" or "articlebody" in found.get("itemprop", ""):
@@ -105,38 +125,47 @@ class Blocks(HTMLParser):
             boiler = True
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""))
         self.seen += 1
-        self.open.append((tag, self.seen, boiler, content, skipped or tag in SKIPPED or bool(hidden)))
+        skipped = below.skipped or tag in SKIPPED or bool(hidden)
+        self.at[tag].append(len(self.open))
+        if tag in INLINE:
+            self.open.append(below._replace(tag=tag, boiler=boiler, content=content, skipped=skipped))
+        else:
+            place = (below.level + 1, self.seen, below.block, len(self.open))
+            self.open.append(Element(tag, boiler, content, skipped, *place))
         self.links += tag == "a"
         self.heading |= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _cut(self, i: int) -> None:
+        """Close the open elements from the i-th on."""
+        while len(self.open) > i:
+            self.at[self.open.pop().tag].pop()
+        self.low = min(self.low, self.open[-1].level)
+
     def _close_implied(self, tag: str) -> None:
         ends = CLOSED_BY.get(tag, set())
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == "p" or name in ends:
-                del self.open[i:]
-                if name in ends:
-                    return
-            elif name in SCOPES:
+        while self.at["p"] or any(self.at[x] for x in ends):
+            i = max(self.at[x][-1] for x in ("p", *ends, *SCOPES) if self.at[x])
+            name = self.open[i].tag
+            if name != "p" and name not in ends:
+                return
+            self._cut(i)
+            if name in ends:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                break
+        # The end of an inline element reaches no further than the innermost block around it.
+        if self.at[tag] and (tag not in INLINE or self.at[tag][-1] > self.open[-1].base):
+            self._cut(self.at[tag][-1])
         if tag == "a":
             self.links = max(0, self.links - 1)
 
     def handle_data(self, data: str) -> None:
-        if self.open[-1][4]:
+        if self.open[-1].skipped:
             return
         self.parts.append(data)
         if self.links:
@@ -170,26 +199,16 @@ def edges(blocks: list[dict]) -> dict[tuple[int, int], float]:
     out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, block in enumerate(blocks):
-        path = block["path"]
         if i:
-            other = blocks[i - 1]["path"]
-            common = sum(1 for _ in _common(path, other))
-            apart = len(path) + len(other) - 2 * common
+            apart = block["level"] + blocks[i - 1]["level"] - 2 * block["common"]
             out[i - 1, i] = SMOOTH / (1 + apart / 2)
-        parent = path[-2] if len(path) > 1 else 0
+        parent = block["parent"]
         if parent in last and last[parent] != i - 1:
             out[last[parent], i] = SMOOTH / 2
         last[parent] = i
     return out
 
 
-def _common(a: tuple[int, ...], b: tuple[int, ...]):
-    for x, y in zip(a, b):
-        if x != y:
-            return
-        yield x
-
-
 def source_side(drop: list[float], keep: list[float], joined: dict[tuple[int, int], float]) -> list[bool]:
     """Nodes on the source's side of a minimum cut; capacities drop from the source, keep to the sink."""
     n = len(drop)
