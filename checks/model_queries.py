@@ -19,6 +19,7 @@ from tallyline.plans.build import counters
 from tallyline.session import ensure_checkpoint_dir, staged
 from tallyline.streaming import live as R
 from tallyline.streaming import ordered as O
+from tallyline.streaming import pages as P
 
 QUERIES, SQL = {}, {}
 
@@ -309,6 +310,50 @@ def stream_ordered_scores(spark, sf):
     )
 
 
+# Orders as records of their customer's match, in pages of one period each.
+PAGE_RECORDS = 2000
+
+NEWEST_SQL = """
+WITH r AS (SELECT o_custkey, o_orderkey, floor(o_totalprice) % 400 AS runs,
+  CASE WHEN year(o_orderdate) < 1994 THEN 0 WHEN year(o_orderdate) < 1996 THEN 1 ELSE 2 END AS period FROM orders)
+SELECT CAST(o_custkey AS VARCHAR) AS match_id, 'ball ' || arg_max(o_orderkey, period * 1000000000000 + o_orderkey) AS status,
+  CAST(arg_max(runs, period * 1000000000000 + o_orderkey) AS INT) AS runs FROM r GROUP BY o_custkey
+"""
+
+
+def write_pages(spark, sf, period, folder):
+    """A file for each page: the records of some customers, each customer's in the order of its orders."""
+    c = F.col
+    when = F.when(F.year("o_orderdate") < 1994, 0).when(F.year("o_orderdate") < 1996, 1).otherwise(2)
+    orders = V.table(spark, sf, "orders").where(when == period).select("o_custkey", "o_orderkey", "o_totalprice")
+    score = F.struct((F.floor("o_totalprice") % 400).cast("int").alias("r"), F.lit(0).alias("w"), F.lit(2).alias("o"), F.lit("A Inning 1").alias("inning"))
+    record = F.struct(
+        c("o_orderkey").alias("_at"), c("o_custkey").cast("string").alias("id"), F.lit("A vs B").alias("name"), F.lit("t20").alias("matchType"),
+        F.concat(F.lit("ball "), c("o_orderkey").cast("string")).alias("status"), F.lit("2024-01-01").alias("date"),
+        F.array(F.lit("A"), F.lit("B")).alias("teams"), F.lit(True).alias("matchStarted"), F.lit(False).alias("matchEnded"),
+        F.array(score).alias("score"),
+    )
+    pages = max(1, -(-orders.count() // PAGE_RECORDS))
+    page = F.pmod(F.xxhash64("o_custkey"), F.lit(pages))
+    body = orders.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(record)).alias("data"))
+    # A record's place in the order goes out with it; the reader takes the fields it knows.
+    text = F.to_json(F.struct(F.lit("success").alias("status"), "data"))
+    body.select(text.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+
+
+@query("stream_feed_newest", NEWEST_SQL)
+def stream_feed_newest(spark, sf):
+    """Three micro-batches of feed pages; the newest record of every match is what remains."""
+    out, checkpoint = _sink(spark)
+    folder = f"{out}-pages"
+    for period in range(3):
+        write_pages(spark, sf, period, folder)
+        rows = P.newest_records(spark, folder)
+        R.run_available(rows.writeStream.format("parquet").option("path", out), checkpoint)
+    newest = P.current(spark.read.schema(rows.schema).parquet(out))
+    return newest.select("match_id", "status", F.get("scores", F.lit(0))["runs"].cast("int").alias("runs"))
+
+
 # --- build bookkeeping --------------------------------------------------------
 @query(
     "build_counters",
