@@ -10,7 +10,7 @@ each is a fold of its own, with the very numbers of one walk. Only a component t
 too big is cut by time into slices
 that run side by side. A slice needs the ratings at its start; those are guessed,
 all slices run, and each slice's end becomes the next slice's start; slices whose
-start moved run again, until none does. Slice k is exact after k rounds at the
+start moved run again, until none does. There are at most ``MAX_SLICES`` of them. Slice k is exact after k rounds at the
 latest, so this ends with the sequential answer.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.graph import components
-from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_key_bounds, with_chunk
-from tallyline.session import pin
+from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_keys, with_chunk
+from tallyline.session import pin, staged
 
 # --- Fixed values -----------------------------------------------------------
 INITIAL = 1500.0
@@ -36,6 +36,9 @@ POOL = ["format", "sex"]
 WALK = [*POOL, "_league"]
 ORDER = ["date", "kind", "match_id"]
 SEED, CONTEST = 0, 1
+# Slices in all, however many rows there are: every slice that starts from moved ratings is one more
+# walk, and a longer slice forgets its start before it ends, so few long ones settle in few rounds.
+MAX_SLICES = 128
 # Slices run again until no rating at their start moves by more: at 0 they end with
 # the very numbers of one walk over all contests.
 TOLERANCE = 0.0
@@ -64,7 +67,7 @@ def _fold(emit_contests: bool, k: float, initial: float):
                     "format": pa.array([key[0]] * len(teams), pa.string()),
                     "sex": pa.array([key[1]] * len(teams), pa.string()),
                     "_league": pa.array([key[2]] * len(teams), pa.string()),
-                    "_chunk": pa.array([key[3]] * len(teams), pa.int32()),
+                    "_chunk": pa.array([key[3]] * len(teams), pa.int64()),
                     "team": pa.array(teams, pa.string()),
                     "rating": pa.array([ratings[t] for t in teams], pa.float64()),
                 }
@@ -108,7 +111,7 @@ def _fold(emit_contests: bool, k: float, initial: float):
     return walk
 
 
-_STATE = "format string, sex string, _league string, _chunk int, team string, rating double"
+_STATE = "format string, sex string, _league string, _chunk long, team string, rating double"
 
 
 def _as_seed(state: DataFrame, like: DataFrame) -> DataFrame:
@@ -130,9 +133,9 @@ def _as_seed(state: DataFrame, like: DataFrame) -> DataFrame:
 def _run(
     rows: DataFrame, seeds: DataFrame | None, emit_contests: bool, k: float, initial: float
 ) -> DataFrame:
-    staged = rows if seeds is None else rows.unionByName(_as_seed(seeds, rows))
+    seeded = rows if seeds is None else rows.unionByName(_as_seed(seeds, rows))
     key = [*WALK, "_chunk"]
-    ordered = staged.repartition(*key).sortWithinPartitions(
+    ordered = seeded.repartition(*key).sortWithinPartitions(
         *key, "_row", *ORDER
     )
     kind = dict(rows.dtypes)["match_id"]
@@ -140,11 +143,9 @@ def _run(
     return ordered.mapInArrow(_fold(emit_contests, k, initial), out)
 
 
-def _settle(rows, bounds, seeds, k, initial, tolerance) -> DataFrame:
+def _settle(rows, seeds, k, initial, tolerance) -> DataFrame:
     """Ratings at the start of every slice of every split walk."""
-    slices = bounds.select(
-        *WALK, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_chunk")
-    )
+    slices = rows.where("_hot").select(*WALK, "_chunk").distinct()
     teams = (
         rows.where("_hot")
         .select(*WALK, F.explode(F.array("side1", "side2")).alias("team"))
@@ -212,20 +213,20 @@ def _staged(scores, ratings_in, max_rows, k, initial, tolerance):
     if ratings_in is not None:
         seeds = _in_leagues(ratings_in.select(*POOL, "team", "rating"), leagues, "team")
     scores = _in_leagues(scores, leagues, "side1")
-    bounds = None
+    first = F.lit(0).cast("long")
+    found = None
     if leagues is not None:
-        scores = pin(scores)
-        bounds = hot_key_bounds(scores, WALK, ORDER, max_rows)
-    if bounds is None:
-        rows = scores.select("*", F.lit(0).alias("_chunk"), F.lit(CONTEST).alias("_row"))
-        return rows, None if seeds is None else seeds.withColumn("_chunk", F.lit(0))
-    rows = with_chunk(scores, WALK, ORDER, bounds).withColumn("_row", F.lit(CONTEST))
-    rows = pin(rows)
-    starts = _settle(rows, bounds, seeds, k, initial, tolerance)
+        scores = staged(scores)
+        found = hot_keys(scores, WALK, max_rows)
+    if found is None:
+        rows = scores.select("*", first.alias("_chunk"), F.lit(CONTEST).alias("_row"))
+        return rows, None if seeds is None else seeds.withColumn("_chunk", first)
+    rows = with_chunk(scores, WALK, ORDER, *found, max_rows).withColumn("_row", F.lit(CONTEST))
+    starts = _settle(rows, seeds, k, initial, tolerance)
     rows = rows.drop("_hot")
     if seeds is not None:
-        cold = seeds.join(F.broadcast(bounds.select(*WALK)), WALK, "left_anti")
-        starts = starts.unionByName(cold.withColumn("_chunk", F.lit(0)))
+        cold = seeds.join(found[0], WALK, "left_anti")
+        starts = starts.unionByName(cold.withColumn("_chunk", first))
     return rows, starts
 
 

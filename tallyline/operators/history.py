@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from tallyline.operators.sizing import hot_key_bounds, with_chunk
+from tallyline.operators.sizing import hot_keys, with_chunk
 
 Spec = Mapping[str, Column]
 
@@ -53,20 +53,21 @@ def running(
     staged = staged.select(
         "*", *[F.when(F.col("_counts"), c).alias(name) for name, c in values.items()]
     )
-    bounds = hot_key_bounds(staged, keys, order, max_rows)
+    found = hot_keys(staged, keys, max_rows)
     every_row_counts = counts is None
-    if bounds is None:
+    if found is None:
         out = _windowed(
             staged, list(keys), order, totals, recent, latest, every_row_counts, include_current
         )
         return out.select(*names, *totals, *recent, *latest)
 
-    staged = with_chunk(staged, keys, order, bounds)
-    carry = _carry(staged, list(keys), order, totals, recent, latest, bounds)
+    staged = with_chunk(staged, keys, order, *found, max_rows)
+    carry = _carry(staged, list(keys), order, totals, recent, latest)
     out = _windowed(
         staged, [*keys, "_chunk"], order, totals, recent, latest, every_row_counts, include_current
     )
-    out = out.join(F.broadcast(carry), [*keys, "_chunk"], "left")
+    # One row per piece: as many as rows / max_rows, so whether to broadcast it is left to its size.
+    out = out.join(carry, [*keys, "_chunk"], "left")
     added: list[Column] = []
     for name in totals:
         added.append((F.col(name) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))).alias(name))
@@ -126,9 +127,10 @@ def _windowed(df, keys, order, totals, recent, latest, every_row_counts, include
     return out.select("*", *sums, seen.alias("_seen"))
 
 
-def _carry(staged, keys, order, totals, recent, latest, bounds):
+def _carry(staged, keys, order, totals, recent, latest):
     """State at the start of each chunk of each hot key."""
-    hot = staged.where(F.col("_hot") & F.col("_counts"))
+    chunked = staged.where("_hot")
+    hot = chunked.where("_counts")
     group = [*keys, "_chunk"]
     moment = F.struct(*order)
     aggs = [F.sum(f"_v_{n}").alias(f"_c_{n}") for n in totals]
@@ -165,7 +167,7 @@ def _carry(staged, keys, order, totals, recent, latest, bounds):
     state = state.select(*group, *cumulative)
     # A chunk without counting rows has no state of its own, so start from the
     # full list of chunks and take the last state before each.
-    chunks = bounds.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_bounds"))).alias("_chunk"))
+    chunks = chunked.select(*group).distinct()
     before = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     columns = [c for c in state.columns if c not in group]
     return chunks.join(state, group, "left").select(

@@ -61,3 +61,24 @@ def test_running_equals_fold(spark, max_rows, include_current, probes):
     )
     got = {r["id"]: (r["total"], r["n"], r["last3"], r["last7"], r["name_before"]) for r in out.collect()}
     assert got == _fold(rows, include_current)
+
+
+def test_many_small_pieces_stay_in_few_ranges(spark):
+    """A low limit and many keys above it: short pieces in order, without a task, a cut point or a broadcast row for each."""
+    from tallyline.operators.sizing import hot_keys, with_chunk
+
+    df = spark.range(6000).select((F.col("id") % 100).alias("k"), F.col("id").alias("at"))
+    found = hot_keys(df, ["k"], 8)
+    assert found[0].count() == 100 and found[1] == 6000
+    cut = with_chunk(df, ["k"], ["at"], *found, 8)
+    assert len(cut.inputFiles()) <= 2 and cut.count() == 6000
+    pieces = cut.groupBy("k", "_chunk").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).collect()
+    assert max(p["n"] for p in pieces) <= 8 and len(pieces) >= 1500
+    by_key = {}
+    for p in sorted(pieces, key=lambda p: (p["k"], p["_chunk"])):
+        assert by_key.get(p["k"], -1) < p["a"]
+        by_key[p["k"]] = p["b"]
+    out = running(df, ["k"], ["at"], totals={"n": F.lit(1)}, recent={"last": (F.lit(1), 20)}, max_rows=8)
+    assert "strategy=broadcast" not in out._jdf.queryExecution().logical().toString()
+    wrong = out.where((F.col("n") != F.floor(F.col("at") / 100)) | (F.col("last") != F.least(F.col("n"), F.lit(20))))
+    assert out.count() == 6000 and wrong.count() == 0
