@@ -221,7 +221,7 @@ def _staged(scores, ratings_in, max_rows, k, initial, tolerance):
     if found is None:
         rows = scores.select("*", first.alias("_chunk"), F.lit(CONTEST).alias("_row"))
         return rows, None if seeds is None else seeds.withColumn("_chunk", first)
-    rows = with_chunk(scores, WALK, ORDER, *found, max_rows).withColumn("_row", F.lit(CONTEST))
+    rows = with_chunk(scores, WALK, ORDER, *found, max_rows, most=MAX_SLICES).withColumn("_row", F.lit(CONTEST))
     starts = _settle(rows, seeds, k, initial, tolerance)
     rows = rows.drop("_hot")
     if seeds is not None:

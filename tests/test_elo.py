@@ -113,3 +113,15 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame(edges, "p string, a string, b string")
     got = {(r.p, r.node): r.component for r in components(df, ["p"], "a", "b").collect()}
     assert got == {**{("k", f"{i:03d}"): "000" for i in range(61)}, ("k", "x"): "x", ("k", "y"): "x", ("l", "005"): "005", ("l", "x"): "005"}
+
+
+def test_slices_are_few_however_many_rows(spark, monkeypatch):
+    from tallyline.operators import elo
+
+    monkeypatch.setattr(elo, "MAX_SLICES", 5)
+    df = spark.createDataFrame(_contests(), SCHEMA)
+    walks, _ = elo._staged(df, None, 20, elo.K_FACTOR, elo.INITIAL, 0.0)
+    # A slice in which one pool ends and the next begins counts for both.
+    assert 3 <= walks.select(*elo.WALK, "_chunk").distinct().count() <= 6
+    whole = {r.match_id: (r.elo1, r.elo2) for r in elo_before(df).collect()}
+    assert {r.match_id: (r.elo1, r.elo2) for r in elo_before(df, max_rows=20).collect()} == whole
