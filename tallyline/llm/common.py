@@ -78,6 +78,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def forget() -> None:
+    """Drop what an earlier stage left in this worker, for a step that remembers nothing itself."""
+    if _memories:
+        _memories.clear()
+        give_back()
+
+
 def row_ids() -> Iterator[int]:
     """Numbers that no other task hands out. They hold once the rows are written."""
     base = TaskContext.get().partitionId() << 36

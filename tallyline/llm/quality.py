@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import mapped, utf8
+from tallyline.llm.common import forget, mapped, utf8
 from tallyline.llm.labelled import fold, training_labels
 
 # Rows of each kind that the fit uses at most, picked by a hash of their id.
@@ -125,6 +125,7 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = trusted.unionByName(web.orderBy(pick).limit(FIT_ROWS))
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
+        forget()
         x = [statistics(t) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "kind"])
 
@@ -139,6 +140,7 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        forget()
         x = np.array([statistics(t) for t in texts]).reshape(len(texts), N_FEATURES)
         if model is None:
             return pd.Series(np.full(len(texts), prior))

@@ -176,3 +176,17 @@ def test_span_columns_may_clash(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, __id int, __VERSION int, __starts int, __v int, __cut int")
     out = {r.doc_id: r for r in substring_dedup.remove_repeats(table).collect()}
     assert out[1].text == text and out[2].text == "" and out[2]["__id"] == 1 and out[2]["__cut"] == 5
+
+
+def test_scoring_drops_what_earlier_stages_left_in_the_worker(spark):
+    import pandas as pd
+
+    from tallyline.llm import common
+    from tallyline.llm.quality import quality_scorer
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    score = quality_scorer(docs, labels)
+    common.remembered("encoder of another stage", lambda: [0] * 1000)
+    assert len(score.func(pd.Series(["a text", ""]))) == 2
+    assert not common._memories
