@@ -56,6 +56,9 @@ def zip_members(spark, sf):
 
 
 # --- match documents: one JSON text per order --------------------------------
+DOCUMENTS_PER_FILE = 20_000
+
+
 def match_documents(spark, sf):
     c = F.col
 
@@ -103,8 +106,10 @@ def match_documents(spark, sf):
 
 
 def parsed(spark, sf):
-    # As in a build: texts are stored, spread over files, before they are parsed.
-    return D.parse_documents(staged(match_documents(spark, sf).repartition("path")))
+    # As in a build: texts are stored, spread over files, before they are parsed. Texts shrink much when they are
+    # stored, so their number, not their bytes, says how many files there are.
+    parts = max(spark.sparkContext.defaultParallelism, -(-V.table(spark, sf, "orders").count() // DOCUMENTS_PER_FILE))
+    return D.parse_documents(staged(match_documents(spark, sf).repartition(parts, "path")))
 
 
 BALLS = """

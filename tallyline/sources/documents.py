@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.binding import bind
 from tallyline.functions.outcomes import NOT_A_WICKET, other_team, result_of
 from tallyline.functions.scoring import is_legal, overs_notation
 from tallyline.functions.text import canonical_competition, contest_format
@@ -88,72 +87,26 @@ def _true(value: Column) -> Column:
     return F.coalesce(~F.lower(value).isin("", "false", "0", "null", "[]", "{}"), F.lit(False))
 
 
-def _object(value: Column) -> Column:
-    """Whether a variant is a JSON object."""
-    return F.try_variant_get(value, "$", "map<string, variant>").isNotNull()
+# What is read of a document. Every field is text, so a value of the wrong type costs only itself.
+_INFO = """struct<balls_per_over:string,city:string,gender:string,match_type:string,match_type_number:string,overs:string,
+season:string,team_type:string,venue:string,dates:array<string>,player_of_match:array<string>,teams:array<string>,
+event:struct<name:string,match_number:string>,outcome:struct<winner:string,result:string,eliminator:string,bowl_out:string>,
+toss:struct<decision:string,winner:string>,players:map<string,array<string>>>"""
+_DELIVERY = """struct<actual_delivery:string,batter:string,batsman:string,bowler:string,non_striker:string,
+runs:struct<batter:string,extras:string,total:string>,extras:struct<wides:string,noballs:string>,
+wickets:array<struct<kind:string,player_out:string>>>"""
+_INNINGS = f"""array<struct<team:string,target:struct<overs:string,runs:string>,penalty_runs:struct<pre:string,post:string>,
+declared:string,forfeited:string,super_over:string,overs:array<struct<over:string,deliveries:array<{_DELIVERY}>>>>>"""
+_HEAD = f"struct<info:{_INFO},innings:array<struct<team:string>>>"
 
 
-def _items(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "array<variant>")
+def _got(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind.replace("\n", ""))
 
 
-def _fields(value: Column, names: str, prefix: str = "$") -> list[Column]:
-    return [F.try_variant_get(value, f"{prefix}.{n}", "string").alias(n) for n in names.split()]
-
-
-def _part(value: Column, name: str, names: str) -> Column:
-    return F.struct(*_fields(value, names, f"$.{name}")).alias(name)
-
-
-def _delivery(d: Column) -> Column:
-    wickets = F.transform(
-        F.filter(_items(d, "$.wickets"), _object), lambda w: F.struct(*_fields(w, "kind player_out"))
-    )
-    fields = F.struct(
-        *_fields(d, "actual_delivery batter batsman bowler non_striker"),
-        _part(d, "runs", "batter extras total"),
-        _part(d, "extras", "wides noballs"),
-        wickets.alias("wickets"),
-    )
-    return F.when(_object(d), fields)
-
-
-def _over(o: Column) -> Column:
-    balls = F.transform(_items(o, "$.deliveries"), _delivery)
-    return F.when(_object(o), F.struct(*_fields(o, "over"), balls.alias("deliveries")))
-
-
-def _innings(i: Column) -> Column:
-    fields = F.struct(
-        *_fields(i, "team"),
-        _part(i, "target", "overs runs"),
-        _part(i, "penalty_runs", "pre post"),
-        *_fields(i, "declared forfeited super_over"),
-        F.transform(_items(i, "$.overs"), _over).alias("overs"),
-    )
-    return F.when(_object(i), fields)
-
-
-def _info(v: Column) -> Column:
-    info = F.try_variant_get(v, "$.info", "variant")
-
-    def texts(name: str) -> Column:
-        return F.try_variant_get(info, f"$.{name}", "array<string>").alias(name)
-
-    players = F.transform_values(
-        F.try_variant_get(info, "$.players", "map<string, variant>"),
-        lambda _, names: F.try_variant_get(names, "$", "array<string>"),
-    )
-    has_event = F.try_variant_get(info, "$.event", "map<string, variant>").isNotNull()
-    fields = F.struct(
-        *_fields(info, "balls_per_over city gender match_type match_type_number overs season team_type venue"),
-        texts("dates"), texts("player_of_match"), texts("teams"),
-        F.when(has_event, _part(info, "event", "name match_number")).alias("event"),
-        _part(info, "outcome", "winner result eliminator bowl_out"),
-        _part(info, "toss", "decision winner"),
-        players.alias("players"),
-    )
-    return F.when(_object(info), fields)
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once: no filter on it is pushed below it and takes a copy along."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
@@ -161,38 +114,34 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
     A document is taken or rejected as a whole, so a rejected one leaves nothing
     in any table. Inside an accepted one a value of the wrong type costs only
-    itself: every field is taken out of the variant on its own.
+    itself. Whether a document is sound shows in its head, the match facts and the
+    teams of its innings; overs are only read for tables that need them.
     """
-    record = bind(F.try_parse_json("text"), lambda v: bind(_document(v), lambda d: _judged(v, d)))
-    return documents.select("path", "match_id", record.alias("_r")).select("path", "match_id", "_r.*")
-
+    read = _once(documents.select("path", "match_id", "text"), F.try_parse_json("text"), "_v")
+    read = _once(read.drop("text"), _got(F.col("_v"), "$", _HEAD), "_head")
+    read = _once(read, _reason(F.col("_v"), F.col("_head")), "reason")
+    info = F.col("_head.info")
+    doc = F.struct(info.alias("info"), _got(F.col("_v"), "$.innings", _INNINGS).alias("innings"))
+    first_date = F.try_element_at(info["dates"], F.lit(1))
+    return read.select("path", "match_id", doc.alias("doc"), iso_date(first_date).alias("date"), "reason")
 
-def _document(v: Column) -> Column:
-    return F.struct(
-        _info(v).alias("info"), F.transform(_items(v, "$.innings"), _innings).alias("innings")
-    )
 
-
-def _judged(v: Column, doc: Column) -> Column:
-    teams = F.filter(doc["info"]["teams"], lambda t: t != "")
+def _reason(v: Column, head: Column) -> Column:
+    teams = F.filter(head["info"]["teams"], lambda t: t != "")
     nameless = F.transform(
-        doc["innings"], lambda i: i.isNotNull() & (F.coalesce(i["team"], F.lit("")) == "")
+        head["innings"], lambda i: i.isNotNull() & (F.coalesce(i["team"], F.lit("")) == "")
     )
     bad_innings = F.array_position(nameless, True)
-    reason = (
+    return (
         F.when(v.isNull(), MALFORMED)
-        .when(~_object(v), NOT_AN_OBJECT)
-        .when(doc["info"].isNull(), NO_INFO)
+        .when(head.isNull(), NOT_AN_OBJECT)
+        .when(head["info"].isNull(), NO_INFO)
         .when(F.coalesce(F.size(teams), F.lit(0)) < 2, NO_TEAMS)
         .when(
             bad_innings > 0,
             F.concat(F.lit("Innings "), bad_innings.cast("string"), F.lit(" is missing a batting team")),
         )
     )
-    first_date = F.try_element_at(doc["info"]["dates"], F.lit(1))
-    return F.struct(
-        doc.alias("doc"), iso_date(first_date).alias("date"), reason.alias("reason")
-    )
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:

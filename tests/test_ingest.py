@@ -191,3 +191,32 @@ def test_two_builders_leave_one_table(spark, tmp_path):
 
     assert T.published(spark, root, "k", build).count() == 3
     assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["k"]
+
+
+def test_documents_are_parsed_once_and_overs_only_where_needed(spark, corpus):
+    parsed = D.parse_documents(D.read_documents(spark, corpus))
+
+    def parts(df):
+        """Nodes of the plan: how often texts are parsed, and whether overs are read."""
+        text = df._jdf.queryExecution().optimizedPlan().toJSON()
+        return text.lower().count('"functionname":"parsejson"'), "deliveries" in text
+
+    assert [parts(t(parsed)) for t in (D.matches, D.quarantine)] == [(1, False)] * 2
+    assert [parts(t(parsed)) for t in (D.innings, D.deliveries)] == [(1, True)] * 2
+
+
+def test_values_of_the_wrong_type_cost_only_themselves(spark, tmp_path):
+    odd = match()
+    odd["info"] |= {"players": {"Reds": "A1", "Blues": ["B1", 2]}, "event": "IPL", "toss": [1], "player_of_match": "B1", "venue": {"a": 1}}
+    odd["innings"][0]["overs"] = [3, {"over": 0, "deliveries": "none"}, {"over": 1, "deliveries": [ball(wickets=["x", None, {"kind": "bowled"}]), 5]}]
+    odd["innings"][0]["target"] = "many"
+    odd["innings"] += ["an innings", None]
+    path = write(tmp_path, odd=odd, number="3", null="null", info_only={"info": odd["info"]})
+    parsed = D.parse_documents(D.read_documents(spark, path))
+    assert {r.match_id: r.reason for r in D.quarantine(parsed).collect()} == {"number": D.NOT_AN_OBJECT, "null": D.NOT_AN_OBJECT}
+    row = D.matches(parsed).where("match_id = 'odd'").first()
+    assert (row.team1_players, row.team2_players, row.competition, row.toss_winner) == (None, ["B1", "2"], None, None)
+    assert (row.player_of_match, row.venue) == (None, '{"a":1}')
+    first, second = D.innings(parsed).orderBy("innings_number").collect()
+    assert (first.balls, first.wickets, first.target) == (1, 1, None) and second.balls > 0
+    assert [r.wicket_type for r in D.deliveries(parsed).where("innings = 1").collect()] == ["bowled"]
