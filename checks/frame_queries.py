@@ -10,6 +10,7 @@ from checks import history_queries as H
 from checks import views as V
 from tallyline.functions.scoring import ball_limit, notation_to_balls, overs_notation
 from tallyline.operators import audit, contests as C, frames, live, metrics, quality, resolve
+from tallyline.operators.sizing import key_limit
 from tallyline.plans import audit as audit_plan
 from tallyline.plans.features import prematch_features
 from tallyline.session import ensure_checkpoint_dir, staged
@@ -170,9 +171,12 @@ def ball_limits(spark, sf):
 # --- feature tables shared by the frame and audit queries --------------------
 def features(spark, sf, lineups=False):
     """Form, meetings and venue per side and mode: the whole table, without ratings."""
-    source = V.contests_with_lineups(spark, sf) if lineups else V.contests(spark, sf)
+    source = V.contests_with_lineups(spark, sf) if lineups else staged(V.contests(spark, sf))
     prepared = C.prepare(source)
-    rows = C.team_at_venue(C.head_to_head(C.team_form(C.team_rows(prepared))))
+    rows = C.team_rows(prepared)
+    # All three keys begin with the team's, which is counted once for them.
+    limit = key_limit(rows, [*C.POOL, "team"])
+    rows = C.team_at_venue(C.head_to_head(C.team_form(rows, limit), limit), limit)
     if lineups:
         from tallyline.operators import participants as P
 

@@ -40,7 +40,7 @@ TREES = M.PAIRED_CANDIDATES[1:]
 
 
 def paired(spark, sf):
-    return staged(frames.checked_pairs(Q.pairs(spark, sf)))
+    return frames.checked_pairs(Q.pairs(spark, sf))
 
 
 @query("train_logistic")

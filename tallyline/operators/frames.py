@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.outcomes import signed_toss
+from tallyline.session import staged
 
 # --- Fixed values: feature lists, whose order is a contract -----------------
 SIGNED_SOURCES = (
@@ -134,7 +135,11 @@ def pair_rows(
 
 
 def checked_pairs(pairs: DataFrame) -> DataFrame:
-    """Raise on the first unsound match, else return the pairs without ``problem``."""
+    """Raise on the first unsound match, else return the pairs without ``problem``.
+
+    The pairs are stored, so that the history behind them is built once for the check and its readers.
+    """
+    pairs = staged(pairs)
     bad = pairs.where(F.col("problem").isNotNull()).select("match_id", "problem").first()
     if bad is not None:
         raise ValueError(f"Match {bad['match_id']} {bad['problem']}")
