@@ -338,14 +338,21 @@ def _counted(growers: dict[int, tuple[_Tree, list[int]]], mask_of, places, held_
                 w = b["w"][rows]
                 g, h = w * (p - b["y"][rows]), w * p * (1.0 - p)
                 at = tree.leaf_of(bins)
-                for leaf in leaves:
-                    mine = np.flatnonzero(at == leaf)
-                    if (m, leaf) not in sums:
-                        sums[m, leaf] = np.zeros((3, len(bins), BINS + 1))
-                    for f in range(len(bins)):
-                        values = bins[f, mine]
-                        for k, v in enumerate((g[mine], h[mine], None)):
-                            sums[m, leaf][k, f] += np.bincount(values, v, BINS + 1)
+                # Each asked leaf has a slot, and all of them are counted in one go.
+                slot = np.full(len(tree.feature), -1)
+                slot[leaves] = np.arange(len(leaves))
+                place = slot[at]
+                if (mine := np.flatnonzero(place >= 0)).size < len(place):
+                    place, bins, g, h = place[mine], bins[:, mine], g[mine], h[mine]
+                cells = len(leaves) * (BINS + 1)
+                found = np.empty((3, len(bins), cells))
+                for f in range(len(bins)):
+                    cell = place * (BINS + 1) + bins[f]
+                    for k, v in enumerate((g, h, None)):
+                        found[k, f] = np.bincount(cell, v, cells)
+                found = found.reshape(3, len(bins), len(leaves), BINS + 1)
+                for k, leaf in enumerate(leaves):
+                    sums[m, leaf] = sums[m, leaf] + found[:, :, k] if (m, leaf) in sums else found[:, :, k].copy()
         yield sums
 
     return count

@@ -143,7 +143,8 @@ def train_domain(
 
     def part(after, until):
         rows = _between(frame, after, until)
-        return equal_weights(rows) if weighted else rows
+        # Weights take a count and a join by match; stored, that happens once for all passes of all fits.
+        return staged(equal_weights(rows)) if weighted else rows
 
     train, valid = part(None, train_end), part(train_end, valid_end)
     development, test = part(None, valid_end), part(valid_end, None)
