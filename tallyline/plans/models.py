@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.scoring import elo_probability, finite_or_zero
 from tallyline.operators.frames import mirrored
 from tallyline.plans.boosting import Fit, Trees, fit_many
+from tallyline.session import ensure_checkpoint_dir
 
 # --- Fixed values -----------------------------------------------------------
 LOGISTIC, TREES, ELO = "logistic_regression", "gradient_boosting", "elo_baseline"
@@ -118,7 +120,20 @@ def fit(
     ).first()
     if not size["n"]:
         raise ValueError("cannot fit a model on an empty frame")
-    return Pipeline(stages=_stages(candidate, features, label, weight, size["w"], size["n"])).fit(rows)
+    model = Pipeline(stages=_stages(candidate, features, label, weight, size["w"], size["n"])).fit(rows)
+    return without_summary(model, frame.sparkSession)
+
+
+def without_summary(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The same pipeline as if it had been loaded: its last stage stored and read back.
+
+    A logistic model that was just fitted carries a training summary and with it the session. Scoring ships the
+    model to the tasks, and a session in which a query was tagged or observed cannot be shipped.
+    """
+    *before, logistic = model.stages
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    logistic.write().save(path)
+    return PipelineModel([*before, LogisticRegressionModel.load(path)])
 
 
 def _forward(model: PipelineModel | Trees, df: DataFrame, features: Sequence[str], sign: int, name: str) -> DataFrame:
