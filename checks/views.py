@@ -8,7 +8,7 @@ are the deliveries of a contest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.session import staged
@@ -40,7 +40,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def contests(spark: SparkSession, sf: str) -> DataFrame:
+def contests(spark: SparkSession, sf: str, **extra: Column) -> DataFrame:
+    """Contests of the orders; ``extra``: further aggregates of an order's lines."""
     lines = (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
@@ -48,6 +49,7 @@ def contests(spark: SparkSession, sf: str) -> DataFrame:
             F.min("l_suppkey").alias("s_suppkey"),
             F.sum("l_quantity").alias("first_total"),
             F.count(F.lit(1)).alias("n_lines"),
+            *[c.alias(n) for n, c in extra.items()],
         )
     )
     nation = table(spark, sf, "nation")
@@ -60,9 +62,10 @@ def contests(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     orders = table(spark, sf, "orders")
+    # The customer goes to the narrow orders, so that the lines are dealt once, by their order.
     joined = (
-        orders.join(lines, "o_orderkey")
-        .join(customer, orders.o_custkey == customer.c_custkey)
+        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        .join(lines, "o_orderkey")
         .join(supplier, "s_suppkey")
         .where("c_nationkey <> s_nationkey")
         .join(home, "c_nationkey")
@@ -92,6 +95,7 @@ def contests(spark: SparkSession, sf: str) -> DataFrame:
         F.when(bats, "bat").otherwise("field").alias("toss_decision"),
         F.when(bats == even_total, c("team1")).otherwise(c("team2")).alias("batting_first"),
         c("first_total"),
+        *extra,
     )
 
 
@@ -187,22 +191,11 @@ def contests_with_lineups(spark: SparkSession, sf: str) -> DataFrame:
     Stored, like the match table of a corpus, because history reads it several times.
     """
     odd = (F.col("l_linenumber") % 2) == 1
-    lists = (
-        table(spark, sf, "lineitem")
-        .select(F.col("l_orderkey").alias("match_id"), "l_suppkey", odd.alias("odd"))
-        .distinct()
-        .groupBy("match_id")
-        .agg(
-            *[
-                F.transform(
-                    F.array_sort(F.collect_list(F.when(c, F.col("l_suppkey")))),
-                    lambda x: x.cast("string"),
-                ).alias(n)
-                for n, c in (("team1_players", F.col("odd")), ("team2_players", ~F.col("odd")))
-            ]
-        )
-    )
-    return staged(contests(spark, sf).join(lists, "match_id"))
+    lists = {
+        n: F.transform(F.array_sort(F.collect_set(F.when(c, F.col("l_suppkey")))), lambda x: x.cast("string"))
+        for n, c in (("team1_players", odd), ("team2_players", ~odd))
+    }
+    return staged(contests(spark, sf, **lists))
 
 
 LINEUPS = """

@@ -34,13 +34,15 @@ def running(
     counts: Column | None = None,
     include_current: bool = False,
     max_rows: int | None = None,
+    cut: bool = False,
 ) -> DataFrame:
     """Add history columns to ``df``.
 
     ``totals``: name -> value summed over all earlier counting rows (0 if none).
     ``recent``: name -> (value, n) summed over the last n counting rows.
     ``latest``: name -> value of the last counting row where it is not NULL.
-    ``order`` must be a total order inside a key; keys that are too big are cut along it.
+    ``order`` must be a total order inside a key; keys that are too big are cut along it. ``cut``: that is
+    done, ``df`` has the pieces of ``with_chunk`` for the same order and these keys or some of them.
     """
     totals, recent, latest = dict(totals or {}), dict(recent or {}), dict(latest or {})
     values = {
@@ -53,15 +55,16 @@ def running(
     staged = staged.select(
         "*", *[F.when(F.col("_counts"), c).alias(name) for name, c in values.items()]
     )
-    found = hot_keys(staged, keys, max_rows)
+    found = None if cut else hot_keys(staged, keys, max_rows)
     every_row_counts = counts is None
-    if found is None:
+    if found is None and not cut:
         out = _windowed(
             staged, list(keys), order, totals, recent, latest, every_row_counts, include_current
         )
         return out.select(*names, *totals, *recent, *latest)
 
-    staged = with_chunk(staged, keys, order, *found, max_rows)
+    if not cut:
+        staged = with_chunk(staged, keys, order, *found, max_rows)
     carry = _carry(staged, list(keys), order, totals, recent, latest)
     out = _windowed(
         staged, [*keys, "_chunk"], order, totals, recent, latest, every_row_counts, include_current

@@ -14,7 +14,8 @@ from tallyline.functions.outcomes import credited_to_bowler
 from tallyline.functions.scoring import log_rest_days, overlap_ratio, rate
 from tallyline.operators.contests import ORDER, POOL
 from tallyline.operators.history import running
-from tallyline.operators.sizing import key_limit
+from tallyline.operators.sizing import UNSPLIT, hot_keys, key_limit, with_chunk
+from tallyline.session import staged
 
 RECENT = 5
 BATTING_CORE, BOWLING_CORE = 7, 5
@@ -81,6 +82,43 @@ def _events(contests: DataFrame, batting: DataFrame, bowling: DataFrame) -> Data
     )
 
 
+def _players_fit(batting: DataFrame, bowling: DataFrame, members: DataFrame, max_rows: int | None) -> bool:
+    """Whether no player has more rows than a key may have; a key is a player's rows of one format.
+
+    Counted before the events meet their contests. Where match ids repeat, a key may hold more rows than
+    were counted here; its window is as right, only longer.
+    """
+    rows = batting.select("player").unionByName(bowling.select("player")).unionByName(members.select("player"))
+    return key_limit(rows, ["player"], max_rows) == UNSPLIT
+
+
+def _latest_records(log: DataFrame, within: dict) -> DataFrame:
+    """Events and probes with the newest record of each kind before them (structs ``bat`` and ``bowl``).
+
+    The log is dealt by player, or cut; that serves both windows, since both keys extend its key.
+    """
+    log = log.withColumn("_kind", F.when(F.col("is_event") == 1, F.col("part")).otherwise(2))
+    # The record after each event, per kind, over plain row frames ...
+    values = {n: F.col(n) for n in ("runs", "balls", "outs", "wickets")}
+    recorded = running(
+        log, [*KEY, "_kind"], MOMENT,
+        totals={"n": F.lit(1), **{f"all_{n}": c for n, c in values.items()}},
+        recent={f"last_{n}": (values[n], RECENT) for n in ("runs", "balls", "wickets")},
+        include_current=True, **within,
+    )
+    record = F.struct("n", *[f"all_{n}" for n in values], "last_runs", "last_balls", "last_wickets")
+    pieces = ("_hot", "_chunk") if within.get("cut") else ()
+    recorded = recorded.select(
+        *dict.fromkeys([*KEY, *MOMENT]), "side", "role", "pos", *pieces,
+        F.when(F.col("_kind") == 0, record).alias("_bat"), F.when(F.col("_kind") == 1, record).alias("_bowl"),
+    )
+    if pieces:  # read by the carry and by the window
+        recorded = staged(recorded)
+    # ... and then the newest record of each kind before every row.
+    out = running(recorded, KEY, MOMENT, latest={"bat": F.col("_bat"), "bowl": F.col("_bowl")}, **within)
+    return out.drop(*pieces)
+
+
 def player_state(
     prepared: DataFrame,
     batting: DataFrame,
@@ -99,33 +137,24 @@ def player_state(
         *KEY, "date", F.when(F.col("asked"), 0).otherwise(1).alias("day_part"), "match_id",
         F.lit(0).alias("is_event"), "side", "role", "pos",
     )
-    max_rows = key_limit(events.select(*KEY).unionByName(probes.select(*KEY)), KEY, max_rows)
-    # The record after each event, per kind, over plain row frames ...
-    values = {n: F.col(n) for n in ("runs", "balls", "outs", "wickets")}
-    recorded = running(
-        events, [*KEY, "part"], MOMENT,
-        totals={"n": F.lit(1), **{f"all_{n}": c for n, c in values.items()}},
-        recent={f"last_{n}": (values[n], RECENT) for n in ("runs", "balls", "wickets")},
-        include_current=True, max_rows=max_rows,
-    )
-    record = F.struct("n", *[f"all_{n}" for n in values], "last_runs", "last_balls", "last_wickets")
-    recorded = recorded.select(
-        *KEY, *[c for c in MOMENT if c not in KEY],
-        F.when(F.col("part") == 0, record).alias("_bat"), F.when(F.col("part") == 1, record).alias("_bowl"),
-    )
-    # ... and then the newest record of each kind before every probe. Probes of
-    # several lists of one contest share a moment; their own columns make the
+    # Probes of several lists of one contest share a moment; their own columns make the
     # order total without changing what they see.
-    log = recorded.unionByName(probes, allowMissingColumns=True).withColumns(
+    log = events.unionByName(probes, allowMissingColumns=True).withColumns(
         {
             "part": F.coalesce("part", F.col("side")),
             "innings": F.coalesce("innings", F.col("role")),
             "first_seq": F.coalesce("first_seq", F.col("pos").cast("long")),
         }
     )
-    log = running(
-        log, KEY, MOMENT, latest={"bat": F.col("_bat"), "bowl": F.col("_bowl")}, max_rows=max_rows
-    )
+    found = None if _players_fit(batting, bowling, members, max_rows) else hot_keys(log, KEY, max_rows)
+    if found is None:
+        log = _latest_records(log.repartition(*KEY), {"max_rows": UNSPLIT})
+    else:
+        hot, rows = found
+        # Only what is too long is cut; a key with a null in it is not.
+        cut = with_chunk(log.join(hot, KEY, "left_semi"), KEY, MOMENT, hot, rows, max_rows)
+        whole = log.join(hot, KEY, "left_anti").repartition(*KEY)
+        log = _latest_records(whole, {"max_rows": UNSPLIT}).unionByName(_latest_records(cut, {"cut": True}))
 
     def zero(value: Column) -> Column:
         return F.coalesce(value, F.lit(0))
