@@ -14,10 +14,12 @@ from tallyline.functions.outcomes import credited_to_bowler
 from tallyline.functions.scoring import log_rest_days, overlap_ratio, rate
 from tallyline.operators.contests import ORDER, POOL
 from tallyline.operators.history import running
-from tallyline.operators.sizing import UNSPLIT, hot_keys, key_limit, with_chunk
+from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_keys, key_limit, with_chunk
 from tallyline.session import staged
 
 RECENT = 5
+# Rows of the log of events and probes that a task takes, about.
+TASK_ROWS = 500_000
 BATTING_CORE, BOWLING_CORE = 7, 5
 KEY = ["format", "player"]
 MOMENT = ["date", "day_part", "match_id", "is_event", "part", "innings", "first_seq"]
@@ -82,14 +84,16 @@ def _events(contests: DataFrame, batting: DataFrame, bowling: DataFrame) -> Data
     )
 
 
-def _players_fit(batting: DataFrame, bowling: DataFrame, members: DataFrame, max_rows: int | None) -> bool:
-    """Whether no player has more rows than a key may have; a key is a player's rows of one format.
+def _player_rows(batting: DataFrame, bowling: DataFrame, members: DataFrame) -> tuple[int, int]:
+    """Rows of the whole log and of its busiest player, who has no fewer than any key: a key is a player's rows of one format.
 
     Counted before the events meet their contests. Where match ids repeat, a key may hold more rows than
     were counted here; its window is as right, only longer.
     """
     rows = batting.select("player").unionByName(bowling.select("player")).unionByName(members.select("player"))
-    return key_limit(rows, ["player"], max_rows) == UNSPLIT
+    counts = rows.groupBy("player").agg(F.count(F.lit(1)).alias("_n"))
+    found = counts.agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
+    return found["all"] or 0, found["most"] or 0
 
 
 def _latest_records(log: DataFrame, within: dict) -> DataFrame:
@@ -146,14 +150,18 @@ def player_state(
             "first_seq": F.coalesce("first_seq", F.col("pos").cast("long")),
         }
     )
-    found = None if _players_fit(batting, bowling, members, max_rows) else hot_keys(log, KEY, max_rows)
+    total, most = _player_rows(batting, bowling, members)
+    fits = max_rows == UNSPLIT or most <= (max_rows or MAX_ROWS_PER_KEY)
+    found = None if fits else hot_keys(log, KEY, max_rows)
+    # A task sorts its rows twice; so many tasks that this takes the same memory however long the log is.
+    tasks = max(-(-total // TASK_ROWS), log.sparkSession.sparkContext.defaultParallelism)
     if found is None:
-        log = _latest_records(log.repartition(*KEY), {"max_rows": UNSPLIT})
+        log = _latest_records(log.repartition(tasks, *KEY), {"max_rows": UNSPLIT})
     else:
         hot, rows = found
         # Only what is too long is cut; a key with a null in it is not.
         cut = with_chunk(log.join(hot, KEY, "left_semi"), KEY, MOMENT, hot, rows, max_rows)
-        whole = log.join(hot, KEY, "left_anti").repartition(*KEY)
+        whole = log.join(hot, KEY, "left_anti").repartition(tasks, *KEY)
         log = _latest_records(whole, {"max_rows": UNSPLIT}).unionByName(_latest_records(cut, {"cut": True}))
 
     def zero(value: Column) -> Column:
