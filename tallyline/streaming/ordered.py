@@ -19,7 +19,7 @@ from tallyline.streaming.live import IDLE_MS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Innings share the state of a bucket, since a call of the state costs more than the deliveries of an innings.
-BUCKETS = 1024
+BUCKETS = 256
 HELD = "seq: bigint, at: bigint, batting_team: string, runs: bigint, wicket: boolean, legal: boolean"
 INNINGS = (
     "match_id: string, innings: int, runs: bigint, wickets: bigint, balls: bigint, last_seq: bigint, restarted: boolean, "

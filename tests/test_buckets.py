@@ -3,6 +3,7 @@
 import pandas as pd
 
 from tallyline.streaming import ordered as O
+from tallyline.streaming import pages as P
 
 
 class Handle:
@@ -83,3 +84,21 @@ def test_innings_of_a_bucket_share_state_and_timer():
     _fire(state, handle, 10_000)
     _fire(state, handle, 20_000)
     assert handle.value is None and handle.timers == []
+
+
+def test_matches_of_a_bucket_share_state_and_timer():
+    state, handle = P.Newest(idle_ms=1000), Handle()
+    state.init(handle)
+    columns = ["match_id", "seen", "page", "place", "digest", "record"]
+    rows = [(str(k), (100 + k) * 1000, "p", place, k + place, f"r{place}") for k in range(50) for place in (1, 0)]
+    got = _run(state, handle, 0, rows, columns)
+    assert sorted(got, key=lambda r: r[1]) == [(str(k), (100 + k) * 1000, "p", 1, "r1") for k in range(50)]
+    assert handle.calls == 1 and handle.timers == [1100]
+    # An older record and one that repeats what is known say nothing; a newer one does.
+    rows = [("0", 99_000, "o", 0, 7, "old"), ("1", 300_000, "q", 0, 2, "r1"), ("2", 300_000, "q", 1, 9, "new")]
+    assert _run(state, handle, 200, rows, columns) == [("2", 300_000, "q", 1, "new")]
+    assert handle.calls == 3
+    _fire(state, handle, 1110)
+    assert sorted(int(r[0]) for r in handle.value[1]) == [1, 2, *range(10, 50)] and handle.timers == [1110]
+    _fire(state, handle, 5000)
+    assert handle.value is None and handle.timers == []

@@ -96,3 +96,19 @@ def test_listing_scoreboard_and_requests(feed):
     assert "base" in {r.match_id for r in L.live_metadata(feed).collect()}
     assert L.choose(feed, match_id="won").count() == 1
     assert L.choose(feed, search="HUNDRED").count() == 1
+
+
+def test_pages_are_read_like_multi_line_json(spark, tmp_path):
+    """Over many lines, with numbers and marks read as text, with a byte order mark, as an array of pages, blank, empty and broken."""
+    from tallyline.sources import feed
+
+    page = '{"status": "success",\n "data": [\n {"id": "é1", "matchStarted": true, "score": [{"r": 7, "w": 1, "o": 15.20, "inning": "A"}]},\r\n\n null]\n}\n'
+    texts = {"one": page, "two": f"[{page}, {page}]", "mark": "\ufeff" + page, "blank": " \n", "empty": "", "broken": page[:60]}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_bytes(text.encode())
+    got = feed.read_pages(spark, str(tmp_path))
+    plain = feed.read_pages(spark, str(tmp_path), utf8=False)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    good = got.where("status = 'success'").collect()
+    assert len(good) == 4
+    assert all(r.data[0].id == "é1" and r.data[0].matchStarted == "true" and r.data[0].score[0].o == "15.20" for r in good)
