@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.operators.graph import components
-from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_keys, with_chunk
+from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_keys, long_side, with_chunk
 from tallyline.session import pin, staged
 
 # --- Fixed values -----------------------------------------------------------
@@ -276,6 +276,6 @@ def elo_columns(side: Column) -> dict[str, Column]:
 
 
 def team_ratings(log: DataFrame, ratings: DataFrame, keys: Sequence[str] = ("match_id",)) -> DataFrame:
-    return log.join(ratings, list(keys), "left").withColumns(elo_columns(F.col("side"))).drop(
+    return log.join(long_side(ratings), list(keys), "left").withColumns(elo_columns(F.col("side"))).drop(
         "elo1", "elo2"
     )

@@ -14,7 +14,7 @@ from tallyline.functions.outcomes import credited_to_bowler
 from tallyline.functions.scoring import log_rest_days, overlap_ratio, rate
 from tallyline.operators.contests import ORDER, POOL
 from tallyline.operators.history import running
-from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_keys, key_limit, with_chunk
+from tallyline.operators.sizing import MAX_ROWS_PER_KEY, UNSPLIT, hot_keys, key_limit, long_side, with_chunk
 from tallyline.session import staged
 
 RECENT = 5
@@ -78,7 +78,7 @@ def _events(contests: DataFrame, batting: DataFrame, bowling: DataFrame) -> Data
     bat = batting.select(*common(0), F.col("out").cast("int").alias("outs"), F.lit(0).alias("wickets"))
     bowl = bowling.select(*common(1), F.lit(0).alias("outs"), F.col("wickets").cast("int").alias("wickets"))
     when = contests.where(~F.col("asked") & (F.col("kind") == 1)).select("match_id", "format", "date")
-    return bat.unionByName(bowl).join(when, "match_id").select(
+    return bat.unionByName(bowl).join(long_side(when), "match_id").select(
         *KEY, "date", F.lit(1).alias("day_part"), "match_id", F.lit(1).alias("is_event"),
         "part", "innings", "first_seq", "runs", "balls", "outs", "wickets",
     )

@@ -21,6 +21,15 @@ RANGE_ROWS = 100_000
 UNSPLIT = -1
 
 
+def long_side(df: DataFrame) -> DataFrame:
+    """The side of a join on ``match_id`` or another key of the input: merged, never broadcast.
+
+    Spark goes by the bytes of stored files, which say little of the rows in them: two columns of a few
+    million contests count as less than 10 MB there and take hundreds of MB on the driver.
+    """
+    return df.hint("merge")
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> tuple[DataFrame, int] | None:
     """The keys that hold more than ``max_rows`` rows, pinned, and the rows of the whole table.
 

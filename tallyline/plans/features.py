@@ -11,7 +11,7 @@ from tallyline.functions.outcomes import exclusion_reason, toss_columns
 from tallyline.functions.text import MODES
 from tallyline.operators import contests as C
 from tallyline.operators.elo import contest_scores, elo_before, team_ratings
-from tallyline.operators.sizing import key_limit
+from tallyline.operators.sizing import key_limit, long_side
 from tallyline.operators.participants import lineup_members, lineup_snapshot, player_state
 
 FORM = [
@@ -59,7 +59,7 @@ def team_history(
     limit = key_limit(rows, [*C.POOL, "team"], max_rows)
     rows = C.team_at_venue(C.head_to_head(C.team_form(rows, limit), limit), limit)
     rows = rows.where("asks")
-    rows = rows.join(C.venue_record(prepared, max_rows), "match_id", "left")
+    rows = rows.join(long_side(C.venue_record(prepared, max_rows)), "match_id", "left")
     ratings = elo_before(contest_scores(prepared), ratings_in=ratings_in, max_rows=max_rows)
     rows = team_ratings(rows, ratings)
     rows = C.opponent_at_venue(rows)
@@ -68,7 +68,7 @@ def team_history(
     members = lineup_members(rows.where("xi is not null"), F.col("xi"))
     snapshot = lineup_snapshot(player_state(prepared, batting, bowling, members, max_rows))
     status = F.when(F.col("xi").isNotNull(), "LINEUP_KNOWN").otherwise("LINEUP_UNKNOWN")
-    return rows.join(snapshot, ["match_id", "side"], "left").withColumn("lineup_status", status)
+    return rows.join(long_side(snapshot), ["match_id", "side"], "left").withColumn("lineup_status", status)
 
 
 def prematch_features(history: DataFrame, modes: Iterable[str] = MODES) -> DataFrame:
