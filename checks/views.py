@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.operators.sizing import long_side
 from tallyline.session import staged
 
 
@@ -64,7 +65,7 @@ def contests(spark: SparkSession, sf: str, **extra: Column) -> DataFrame:
     orders = table(spark, sf, "orders")
     # The customer goes to the narrow orders, so that the lines are dealt once, by their order.
     joined = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        orders.join(long_side(customer), orders.o_custkey == customer.c_custkey)
         .join(lines, "o_orderkey")
         .join(supplier, "s_suppkey")
         .where("c_nationkey <> s_nationkey")

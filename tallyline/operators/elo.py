@@ -58,6 +58,7 @@ def _fold(emit_contests: bool, k: float, initial: float):
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratings: dict[str, float] = {}
+        seeded: dict[str, float] = {}
         current = None
 
         def closing(key):
@@ -70,6 +71,7 @@ def _fold(emit_contests: bool, k: float, initial: float):
                     "_chunk": pa.array([key[3]] * len(teams), pa.int64()),
                     "team": pa.array(teams, pa.string()),
                     "rating": pa.array([ratings[t] for t in teams], pa.float64()),
+                    "_start": pa.array([seeded.get(t) for t in teams], pa.float64()),
                 }
             )
 
@@ -80,10 +82,10 @@ def _fold(emit_contests: bool, k: float, initial: float):
                 if key != current:
                     if current is not None and not emit_contests and ratings:
                         yield closing(current)
-                    current, ratings = key, {}
+                    current, ratings, seeded = key, {}, {}
                 team1, team2 = get["side1"][i], get["side2"][i]
                 if get["_row"][i] == SEED:
-                    ratings[team1] = get["score"][i]
+                    ratings[team1] = seeded[team1] = get["score"][i]
                     continue
                 r1, r2 = ratings.get(team1, initial), ratings.get(team2, initial)
                 if emit_contests and get["asks"][i]:
@@ -111,7 +113,7 @@ def _fold(emit_contests: bool, k: float, initial: float):
     return walk
 
 
-_STATE = "format string, sex string, _league string, _chunk long, team string, rating double"
+_STATE = "format string, sex string, _league string, _chunk long, team string, rating double, _start double"
 
 
 def _as_seed(state: DataFrame, like: DataFrame) -> DataFrame:
@@ -160,37 +162,42 @@ def _settle(rows, seeds, k, initial, tolerance) -> DataFrame:
         )
     hot = rows.where("_hot")
     by_team = Window.partitionBy(*WALK, "team").orderBy("_chunk")
-    state = pin(first.withColumn("_end", F.lit(None).cast("double")).withColumn("_moved", F.lit(True)))
+    by_slice = Window.partitionBy(*WALK, "_chunk")
+    state = pin(first.withColumn("_end", F.lit(None).cast("double")).withColumn("_again", F.lit(True)))
     while True:
         # Slices whose starts have not moved would only repeat their walk; a pool's first
         # slice to run is exact afterwards, so this ends after as many rounds as slices.
-        moved = pin(state.where("_moved").select(*WALK, "_chunk").distinct())
-        again = F.broadcast(moved)
-        starts = state.join(again, [*WALK, "_chunk"], "left_semi").select(*WALK, "_chunk", "team", "rating")
-        ran = hot.join(again, [*WALK, "_chunk"], "left_semi")
-        ends = _run(ran, starts, False, k, initial).withColumnRenamed("rating", "_new")
-        joined = state.join(ends, [*WALK, "_chunk", "team"], "left").withColumn("_end", F.coalesce("_new", "_end"))
-        # Every slice is seeded with every team, so each end row has a next start.
+        starts = state.where("_again")
+        again = F.broadcast(starts.select(*WALK, "_chunk").distinct())
+        ran = _run(hot.join(again, [*WALK, "_chunk"], "left_semi"), starts, False, k, initial)
+        # A walk gives back its starts beside its ends, so they need not be joined. Every slice is
+        # seeded with every team, so each end row has a next start.
+        ended = ran.select(*WALK, "_chunk", "team", F.col("_start").alias("rating"), F.col("rating").alias("_end"))
+        known = state.where("not _again").select(*ended.columns).unionByName(ended)
         following = F.coalesce(F.lag("_end").over(by_team), F.col("rating"))
+        moved = F.abs(F.col("_next") - F.col("rating")) > tolerance
         state = pin(
-            joined.withColumn("_next", following).select(
+            known.withColumn("_next", following).select(
                 *WALK, "_chunk", "team", F.col("_next").alias("rating"), "_end",
-                (F.abs(F.col("_next") - F.col("rating")) > tolerance).alias("_moved"),
+                F.coalesce(F.max(moved).over(by_slice), F.lit(False)).alias("_again"),
             )
         )
-        if state.where("_moved").isEmpty():
+        if state.where("_again").isEmpty():
             break
     return state.select(*WALK, "_chunk", "team", "rating")
 
 
-def _leagues(scores: DataFrame, max_rows: int | None) -> DataFrame | None:
-    """(pool, team, _league) of the pools that hold more rows than a task should walk; None without such a pool."""
+def _big_pools(scores: DataFrame, max_rows: int | None) -> DataFrame | None:
+    """The pools that hold more rows than a task should walk; None without such a pool."""
     if max_rows == UNSPLIT:
         return None
     sizes = scores.groupBy(*POOL).agg(F.count(F.lit(1)).alias("_n"))
     big = pin(sizes.where(F.col("_n") > (max_rows or MAX_ROWS_PER_KEY)).drop("_n"))
-    if big.isEmpty():
-        return None
+    return None if big.isEmpty() else big
+
+
+def _leagues(scores: DataFrame, big: DataFrame) -> DataFrame:
+    """(pool, team, _league) of the big pools."""
     # One row for each pair that met, however often; a big pool is a key of few rows here.
     met = scores.join(F.broadcast(big), POOL, "left_semi").select(*POOL, "side1", "side2").distinct()
     return components(met, POOL, "side1", "side2", "_league").withColumnRenamed("node", "team")
@@ -208,15 +215,17 @@ def _in_leagues(rows: DataFrame, leagues: DataFrame | None, team: str) -> DataFr
 
 
 def _staged(scores, ratings_in, max_rows, k, initial, tolerance):
-    leagues = _leagues(scores, max_rows)
-    seeds = None
+    leagues = seeds = None
+    big = _big_pools(scores, max_rows)
+    if big is not None:
+        scores = staged(scores)  # read for the leagues, to count the walks and to cut them
+        leagues = _leagues(scores, big)
     if ratings_in is not None:
         seeds = _in_leagues(ratings_in.select(*POOL, "team", "rating"), leagues, "team")
     scores = _in_leagues(scores, leagues, "side1")
     first = F.lit(0).cast("long")
     found = None
     if leagues is not None:
-        scores = staged(scores)
         found = hot_keys(scores, WALK, max_rows)
     if found is None:
         rows = scores.select("*", first.alias("_chunk"), F.lit(CONTEST).alias("_row"))

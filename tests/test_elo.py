@@ -125,3 +125,17 @@ def test_slices_are_few_however_many_rows(spark, monkeypatch):
     assert 3 <= walks.select(*elo.WALK, "_chunk").distinct().count() <= 6
     whole = {r.match_id: (r.elo1, r.elo2) for r in elo_before(df).collect()}
     assert {r.match_id: (r.elo1, r.elo2) for r in elo_before(df, max_rows=20).collect()} == whole
+
+
+def test_a_round_of_slices_is_stored_once(spark, monkeypatch):
+    """What the driver plans and keeps for a round: one stored table of ratings, from the walks themselves."""
+    from tallyline.operators import elo
+
+    pins, rounds, pin, run = [], [], elo.pin, elo._run
+    monkeypatch.setattr(elo, "MAX_SLICES", 5)
+    monkeypatch.setattr(elo, "pin", lambda df: pins.append(1) or pin(df))
+    monkeypatch.setattr(elo, "_run", lambda *a: rounds.append(1) or run(*a))
+    df = spark.createDataFrame(_contests(), SCHEMA)
+    elo._staged(df, None, 20, elo.K_FACTOR, elo.INITIAL, 0.0)
+    # The big pools, the grid of slices and teams, and its first state are stored, too.
+    assert len(rounds) >= 3 and len(pins) == 3 + len(rounds)

@@ -50,3 +50,19 @@ def test_counting_members_broadcasts_no_contests(spark):
     state = player_state(C.prepare(contests), spells, spells, members)
     assert all("SortMergeJoin" in x for x in _joins(state))
     assert state.count() == 240
+
+
+def test_contests_of_orders_broadcast_no_customers(spark, tmp_path):
+    from checks import views as V
+
+    rows = {
+        "region": [(0, "x")], "nation": [(0, "A", 0), (1, "B", 0)],
+        "customer": [(k, "c", k % 2, 1.0, "BUILDING") for k in range(4)], "supplier": [(k, "s", k % 2, 1.0) for k in range(4)],
+        "orders": [(k, k % 4, "F", 30000.0, dt.datetime(1997, 1, 1 + k), "1-URGENT") for k in range(8)],
+        "lineitem": [(k, 1, (k + 1) % 4, 1, 5.0, 1.0, 0.0, 0.0, "N", "O", dt.datetime(1997, 1, 1 + k)) for k in range(8)],
+    }
+    for name, data in rows.items():
+        spark.createDataFrame(data, V.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = V.contests(spark, str(tmp_path))
+    assert not [x for x in _joins(found) if "c_custkey" in x and "Broadcast" in x]
+    assert found.count() == 8
