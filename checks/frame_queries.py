@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from checks import history_queries as H
 from checks import views as V
 from tallyline.functions.scoring import ball_limit, notation_to_balls, overs_notation
-from tallyline.operators import audit, contests as C, frames, live, metrics, quality, resolve
-from tallyline.operators.sizing import key_limit
+from tallyline.operators import audit, contests as C, frames, live, metrics, participants as P, quality, resolve
+from tallyline.operators.sizing import key_limit, long_side
 from tallyline.plans import audit as audit_plan
 from tallyline.plans.features import prematch_features
 from tallyline.session import ensure_checkpoint_dir, staged
@@ -174,18 +174,19 @@ def features(spark, sf, lineups=False):
     source = V.contests_with_lineups(spark, sf) if lineups else staged(V.contests(spark, sf))
     prepared = C.prepare(source)
     rows = C.team_rows(prepared)
-    # All three keys begin with the team's, which is counted once for them.
-    limit = key_limit(rows, [*C.POOL, "team"])
-    rows = C.team_at_venue(C.head_to_head(C.team_form(rows, limit), limit), limit)
     if lineups:
-        from tallyline.operators import participants as P
-
+        # Lists are rated from the plain rows and stored; the windows below carry a word for each, not the list.
         members = P.lineup_members(rows, F.col("xi"))
-        state = P.player_state(prepared, *V.batting_and_bowling(spark, sf), members)
-        rows = rows.join(P.lineup_snapshot(state), ["match_id", "side"], "left").withColumn(
+        snapshot = staged(P.lineup_snapshot(P.player_state(prepared, *V.batting_and_bowling(spark, sf), members)))
+        rows = rows.withColumn(
             "lineup_status",
             F.when(F.col("xi").isNotNull(), "LINEUP_KNOWN").otherwise("LINEUP_UNKNOWN"),
         )
+    # All three keys begin with the team's, which is counted once for them.
+    limit = key_limit(rows, [*C.POOL, "team"])
+    rows = C.team_at_venue(C.head_to_head(C.team_form(rows, limit), limit), limit)
+    if lineups:
+        rows = rows.join(long_side(snapshot), ["match_id", "side"], "left")
     return prematch_features(rows)
 
 
@@ -591,7 +592,7 @@ SELECT competition, count(DISTINCT match_id) AS matches, count(DISTINCT team) AS
 FROM pre GROUP BY competition HAVING count(DISTINCT match_id) >= 10""",
 )
 def coverage_by_group(spark, sf):
-    out = audit.competition_coverage(staged(features(spark, sf, lineups=True)), AUDIT_START, 10)
+    out = audit.competition_coverage(features(spark, sf, lineups=True), AUDIT_START, 10)
     shares = [c for c in out.columns if c.startswith("pct_")]
     return out.withColumns({c: F.round(c, 6) for c in shares})
 

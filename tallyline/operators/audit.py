@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators.metrics import exact_median, orientation_free_auc
+from tallyline.operators.sizing import long_side
+from tallyline.session import staged
 
 NONE = "(none)"
 
@@ -50,15 +52,23 @@ def _window(features: DataFrame, start: str, format_: str | None) -> DataFrame:
 def competition_coverage(
     features: DataFrame, start: str, min_matches: int, format_: str | None = "T20"
 ) -> DataFrame:
-    """How much history the rows of each competition can draw on."""
-    frame = _window(features, start, format_).withColumn(
-        "competition", F.coalesce("competition", F.lit(NONE))
+    """How much history the rows of each competition can draw on.
+
+    Of ``features`` only the rows and columns asked about are stored, for the many passes over them; a table that
+    is not stored itself need not be built any further.
+    """
+    known = [
+        "match_id", "team", "prediction_mode", "home_away", "matches_before", "h2h_matches_before", "team_matches_at_venue",
+        "lineup_status", "xi_mean_batting_average", "xi_mean_bowling_economy", "xi_batters_with_history", "xi_bowlers_with_history",
+    ]
+    frame = staged(
+        _window(features, start, format_).select(F.coalesce("competition", F.lit(NONE)).alias("competition"), *known)
     )
     pre = frame.where(F.col("prediction_mode") == "PRE_TOSS")
     post = frame.where(F.col("prediction_mode") == "POST_TOSS")
     # After-toss rows follow the competition of their match's before-toss rows.
     membership = pre.select("competition", "match_id").distinct()
-    post = post.drop("competition").join(membership, "match_id")
+    post = post.drop("competition").join(long_side(membership), "match_id")
     group = "competition"
 
     def below(name: str, n: int) -> Column:

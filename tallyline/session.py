@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Spark removes the shuffle files of a query when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", name: str = "tallyline") -> SparkSession:
     """A single-JVM session for tests and the benchmark."""
@@ -70,6 +73,14 @@ def staged(df: DataFrame) -> DataFrame:
     For results that several passes read: unlike a cache it survives the loss of
     an executor, and each pass still reads only the columns it needs.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    # The shuffles of the write serve nothing once the table is there; without this they stay on the
+    # executors' disks until the driver happens to collect its garbage.
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
